@@ -266,7 +266,7 @@ BAR = ["symbol", "open_time"]
 @query
 def sma(spark, sf):
     both = I.sma(I.sma(V.bars(spark, sf).select("symbol", "interval", "open_time", "close"), 20), 50)
-    return rounded(both.select(*BAR, "sma_20", "sma_50"), "sma_20", "sma_50")
+    return rounded(both.select(*BAR, "sma_20", "sma_50"), "sma_20", "sma_50", digits=8)
 
 
 @query
@@ -330,7 +330,7 @@ def sma_long_series(spark, sf):
 
 @query
 def build_features(spark, sf):
-    return rounded(features(spark, sf), *FEATURE_COLUMNS)
+    return rounded(features(spark, sf), *FEATURE_COLUMNS, digits=8)
 
 
 # --- model inputs -----------------------------------------------------------------------------
@@ -401,14 +401,14 @@ def quality_failures(spark, sf):
 def metrics_daily(spark, sf):
     facts = M.ohlcv(staged(spark, sf), "day")
     return rounded(doubles(X.query(X.OHLCV_DAILY, facts, ["symbol", "trade_date"],
-                                   list(X.DAILY.measures))), "avg_close")
+                                   list(X.DAILY.measures))), "avg_close", "total_volume", "total_quote_volume")
 
 
 @query
 def metrics_hourly(spark, sf):
     facts = M.ohlcv(staged(spark, sf), "hour")
     return rounded(doubles(X.query(X.OHLCV_HOURLY, facts, ["symbol", "hour_at"],
-                                   list(X.HOURLY.measures))), "avg_close")
+                                   list(X.HOURLY.measures))), "avg_close", "total_volume", "total_quote_volume")
 
 
 @query
@@ -433,7 +433,7 @@ def rollup_requery(spark, sf):
     facts = M.ohlcv(staged(spark, sf), "hour")
     rollup = X.build_rollup(facts, X.HOURLY_ROLLUP)
     out = X.query(X.OHLCV_HOURLY, facts, ["symbol", "hour_at"], list(X.HOURLY.measures), "week", (rollup,))
-    return rounded(doubles(out), "avg_close")
+    return rounded(doubles(out), "avg_close", "total_volume", "total_quote_volume")
 
 
 @query
@@ -467,7 +467,7 @@ def silver_roundtrip(spark, sf):
 def features_roundtrip(spark, sf):
     path = fresh_path(spark, "features")
     sinks.write_features(features(spark, sf), path)
-    return rounded(lake.read_features(spark, path), *FEATURE_COLUMNS)
+    return rounded(lake.read_features(spark, path), *FEATURE_COLUMNS, digits=8)
 
 
 @query

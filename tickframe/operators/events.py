@@ -25,27 +25,65 @@ def unwrap_envelope(df: DataFrame, value: str = "value") -> DataFrame:
     return df.withColumn(value, F.coalesce(F.get_json_object(value, "$.data"), F.col(value)))
 
 
+def _once(struct: Column) -> Column:
+    """Expand a costly struct to columns so that it is computed once per row.
+
+    As plain projections, filters on its fields would be pushed below and parse the text again
+    for every field they name; no filter moves below a generator of its own inputs.
+    """
+    return F.inline_outer(F.array(struct))
+
+
 def parse_json(df: DataFrame, schema: T.StructType, value: str = "value") -> DataFrame:
     """Message text expanded to the columns of ``schema``; fields that do not fit are null."""
-    text = F.col(value).cast("string")
-    return df.select(F.from_json(text, schema).alias("data")).select("data.*")
+    return df.select(_once(F.from_json(F.col(value).cast("string"), schema)))
+
+
+def _texts(names) -> list[T.StructField]:
+    return [T.StructField(n, T.StringType()) for n in names]
+
+
+def _wire_layout() -> tuple[T.StructType, T.StructType]:
+    """All fields of both events in both spellings as text, and the same under unique names.
+
+    Short names differ in case only (t and T), so the parsed struct is renamed by position before
+    any field is used: s_<name> holds the short spelling, l_<name> the long one.
+    """
+    body = T.StructType(_texts(KLINE_KEYS) + _texts(KLINE_KEYS.values()))
+    wire = _texts(TRADE_KEYS) + _texts(TRADE_KEYS.values())
+    wire += [T.StructField("k", body), T.StructField("kline", body)]
 
+    def both(keys) -> list[T.StructField]:
+        return _texts(f"s_{n}" for n in keys.values()) + _texts(f"l_{n}" for n in keys.values())
 
-def _both_spellings(json: Column, short: dict[str, str], layout: T.StructType) -> Column:
-    """Struct of ``layout`` from JSON text that uses short or long field names.
+    unique = both(TRADE_KEYS)
+    for end in ("s", "l"):
+        unique.append(T.StructField(f"{end}_kline", T.StructType(both(KLINE_KEYS))))
+    return T.StructType(wire), T.StructType(unique)
 
-    Every field is read as text and cast after, so "5" and 5 are both a valid number. Short
-    names differ in case only (t and T); casting to neutral names first keeps them apart.
+
+def parse_wire(df: DataFrame, value: str = "value") -> DataFrame:
+    """Add ``trade`` and ``bar`` structs read from message text with one JSON parse per row.
+
+    Every field is read as text and cast after, so "5" and 5 are both a valid number; what does
+    not fit is null.
     """
-    long = {name: letter for letter, name in short.items()}
-    letters = T.StructType([T.StructField(k, T.StringType()) for k in short])
-    neutral = T.StructType([T.StructField(f"s_{name}", T.StringType()) for name in short.values()])
-    names = T.StructType([T.StructField(name, T.StringType()) for name in long])
-    brief, full = F.from_json(json, letters).cast(neutral), F.from_json(json, names)
-    return F.struct(*[
-        F.coalesce(brief[f"s_{f.name}"], full[f.name]).try_cast(f.dataType).alias(f.name)
-        for f in layout
-    ])
+    wire, unique = _wire_layout()
+    parsed = df.select("*", _once(F.from_json(F.col(value).cast("string"), wire).cast(unique)))
+
+    def pick(layout: T.StructType, short: str = "", long: str = "") -> list[Column]:
+        return [
+            F.coalesce(f"{short}s_{f.name}", f"{short}l_{f.name}",
+                       *([f"{long}s_{f.name}", f"{long}l_{f.name}"] if long else []))
+            .try_cast(f.dataType).alias(f.name)
+            for f in layout
+        ]
+
+    head = T.StructType(KLINE_EVENT.fields[:3])
+    return parsed.withColumns({
+        "trade": F.struct(*pick(TRADE)),
+        "bar": F.struct(*pick(head), F.struct(*pick(KLINE_BODY, "s_kline.", "l_kline.")).alias("kline")),
+    }).drop(*unique.names)
 
 
 def _complete(event: str, layout: T.StructType, optional: set[str] = frozenset()) -> Column:
@@ -56,34 +94,24 @@ def _complete(event: str, layout: T.StructType, optional: set[str] = frozenset()
     return ok
 
 
-def _trade_event(json: Column) -> Column:
-    return _both_spellings(json, TRADE_KEYS, TRADE)
-
-
-def _kline_event(json: Column) -> Column:
-    head = T.StructType(KLINE_EVENT.fields[:3])
-    keys = {letter: name for letter, name in TRADE_KEYS.items() if name in head.names}
-    outer = _both_spellings(json, keys, head)
-    body = F.coalesce(F.get_json_object(json, "$.k"), F.get_json_object(json, "$.kline"))
-    return F.struct(*[outer[n].alias(n) for n in head.names],
-                    _both_spellings(body, KLINE_KEYS, KLINE_BODY).alias("kline"))
-
-
 def normalise_trades(df: DataFrame, value: str = "value") -> DataFrame:
     """Trade messages of either spelling as trade rows."""
-    return df.select(_trade_event(F.col(value)).alias("event")).select("event.*")
+    return parse_wire(df, value).select("trade.*")
 
 
 def normalise_klines(df: DataFrame, value: str = "value") -> DataFrame:
     """Bar messages of either spelling as nested bar rows."""
-    return df.select(_kline_event(F.col(value)).alias("event")).select("event.*")
+    return parse_wire(df, value).select("bar.*")
 
 
 def validate(df: DataFrame, schema: T.StructType, optional: set[str] = frozenset(),
              value: str = "value") -> tuple[DataFrame, DataFrame]:
     """Messages with every required field of its type, and the raw others."""
-    names = {n: n for n in schema.names}
-    tagged = df.withColumn("event", _both_spellings(F.col(value), names, schema))
+    raw = T.StructType(_texts(schema.names))
+    neutral = T.StructType(_texts(f"t_{n}" for n in schema.names))
+    parsed = df.select("*", _once(F.from_json(F.col(value).cast("string"), raw).cast(neutral)))
+    event = F.struct(*[F.col(f"t_{f.name}").try_cast(f.dataType).alias(f.name) for f in schema])
+    tagged = parsed.withColumn("event", event).drop(*neutral.names)
     good = _complete("event", schema, optional)
     return tagged.filter(good).select("event.*"), tagged.filter(~good).drop("event")
 
@@ -93,17 +121,11 @@ def tag_events(df: DataFrame, value: str = "value") -> DataFrame:
 
     Messages that are no JSON object or of another type are dropped.
     """
-    body = F.col(value)
-    kind = F.coalesce(F.get_json_object(body, "$.e"), F.get_json_object(body, "$.event_type"))
-    kinds = df.withColumn("kind", kind).filter(F.col("kind").isin("trade", "kline"))
-    parsed = kinds.withColumns({
-        "trade": F.when(F.col("kind") == "trade", _trade_event(body)),
-        "bar": F.when(F.col("kind") == "kline", _kline_event(body)),
-    })
+    parsed = parse_wire(df, value).withColumn("kind", F.col("trade.event_type"))
     head = T.StructType(KLINE_EVENT.fields[:3])
     ok_bar = _complete("bar", head) & _complete("bar.kline", KLINE_BODY)
     ok = F.when(F.col("kind") == "trade", _complete("trade", TRADE, TRADE_OPTIONAL)).otherwise(ok_bar)
-    return parsed.withColumn("is_valid", ok)
+    return parsed.filter(F.col("kind").isin("trade", "kline")).withColumn("is_valid", ok)
 
 
 def split_tagged(tagged: DataFrame, value: str = "value") -> Routed:

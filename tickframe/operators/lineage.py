@@ -22,10 +22,11 @@ DEFAULT_TYPE = "table"
 def manifest_lineage(manifests: DataFrame, text: str = "manifest") -> tuple[DataFrame, DataFrame]:
     """Nodes (id, name, type, layer, description) and parent edges of model manifests."""
     parsed = manifests.select(F.from_json(text, MANIFEST).alias("m"))
+    # Outer explodes: for inner ones Spark adds size checks that parse the text again.
     models = (
-        parsed.select(F.explode("m.nodes").alias("id", "n")).filter("n.resource_type = 'model'")
+        parsed.select(F.explode_outer("m.nodes").alias("id", "n")).filter("n.resource_type = 'model'")
     )
-    sources = parsed.select(F.explode("m.sources").alias("id", "n"))
+    sources = parsed.select(F.explode_outer("m.sources").alias("id", "n")).filter("id IS NOT NULL")
 
     def nodes(df: DataFrame, kind: str, schema: Column, description: str) -> DataFrame:
         return df.select(

@@ -100,7 +100,8 @@ def blocks(
     numbered = positions(df, series)
     low = F.greatest(F.lit(0), F.expr(f"(_pos - {after}) div {block_rows}"))
     high = F.least(F.expr(f"(_len - 1) div {block_rows}"), F.expr(f"(_pos + {before}) div {block_rows}"))
-    return numbered.withColumn("_block", F.explode(F.sequence(low, high)))
+    # Never empty; an inner explode would add a filter that builds the sequence once more.
+    return numbered.withColumn("_block", F.explode_outer(F.sequence(low, high)))
 
 
 def own_rows(df: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:

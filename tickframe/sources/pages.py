@@ -18,7 +18,9 @@ PAGE_POSITIONS = [
 def page_rows(pages: DataFrame) -> DataFrame:
     """One row per bar of every page, with ``is_bar`` false for malformed ones."""
     cells = F.from_json("payload", "array<array<string>>")
-    rows = pages.select("symbol", "interval", F.posexplode(cells).alias("page_pos", "cell"))
+    # Outer, so that no size check parses the page again; an empty page leaves one null position.
+    rows = pages.select("symbol", "interval", F.posexplode_outer(cells).alias("page_pos", "cell"))
+    rows = rows.filter(F.col("page_pos").isNotNull())
     count = F.coalesce(F.size("cell"), F.lit(0))
 
     def at(i: int) -> Column:
