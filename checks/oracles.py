@@ -158,17 +158,15 @@ dead AS (
 
 NODES = """
 made AS (
-  SELECT 'source.part.' || l_partkey AS id, 'raw.part_' || l_partkey AS name, 'dbt_source' AS type FROM lineitem
+  SELECT 'source.priority.' || o_orderpriority AS id, 'raw.' || o_orderpriority AS name, 'dbt_source' AS type
+  FROM orders
   UNION ALL
-  SELECT 'model.order.' || l_orderkey, CASE WHEN l_orderkey % 2 = 0 THEN 'silver' ELSE 'gold' END
-         || '.order_' || l_orderkey, 'table' FROM lineitem),
+  SELECT 'model.order.' || o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'silver' ELSE 'gold' END
+         || '.order_' || o_orderkey, 'table' FROM orders),
 links AS (
-  SELECT 'source.part.' || l_partkey AS from_node, 'model.order.' || l_orderkey AS to_node FROM lineitem
-  UNION ALL SELECT 'source.supplier.' || l_suppkey, 'model.order.' || l_orderkey FROM lineitem),
-kinds AS (
-  SELECT DISTINCT id, CASE WHEN p_partkey IS NOT NULL THEN 'topic' ELSE type END AS type
-  FROM made LEFT JOIN part ON id = 'source.part.' || p_partkey
-  UNION SELECT 'source.part.' || p_partkey, 'topic' FROM part),
+  SELECT 'source.priority.' || o_orderpriority AS from_node, 'model.order.' || o_orderkey AS to_node FROM orders
+  UNION ALL SELECT 'source.customer.' || o_custkey, 'model.order.' || o_orderkey FROM orders),
+kinds AS (SELECT DISTINCT id, type FROM made UNION SELECT 'source.customer.' || c_custkey, 'topic' FROM customer),
 resolved AS (
   SELECT DISTINCT from_node, to_node, 'dbt_model_dependency' AS relationship,
          coalesce(a.type, 'table') AS from_type, coalesce(b.type, 'table') AS to_type
@@ -375,6 +373,9 @@ def all_oracles() -> dict[str, str]:
           SELECT 'node' AS kind, id, name, type AS detail, count(*) AS copies FROM made GROUP BY ALL
           UNION ALL SELECT 'edge', from_node, to_node, 'dbt_model_dependency', count(*) FROM links GROUP BY ALL""",
         "lineage_graph": w + NODES + "SELECT * FROM resolved",
+        "export_lineage": w + NODES + "SELECT from_node, to_node, relationship FROM resolved",
+        "validate": w + TRADES
+        + "SELECT symbol, trade_id, trade_id % 17 <> 0 AS ok FROM trades WHERE trade_id % 5 = 2",
         "lineage_events": w + NODES + """
           SELECT '{"eventType":"COMPLETE","eventTime":"2024-01-01T00:00:00Z","run":{"runId":"'
             || md5(from_node || '|' || to_node) || '"},"job":{"namespace":"market","name":"' || from_node || '_to_'

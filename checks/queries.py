@@ -20,7 +20,7 @@ from tickframe.operators import silver as S
 from tickframe.operators.microstructure import microstructure, type_trades
 from tickframe.plans import metrics as X
 from tickframe.plans.jobs import gold_facts
-from tickframe.schemas import FEATURE_COLUMNS
+from tickframe.schemas import FEATURE_COLUMNS, TRADE, TRADE_OPTIONAL
 from tickframe.session import fresh_path, prepare
 from tickframe.sources import lake, pages, sinks
 from tickframe.streaming import jobs as J
@@ -81,6 +81,15 @@ def route_events(spark, sf):
     return trades.unionByName(bars).unionByName(dead)
 
 
+@query
+def validate(spark, sf):
+    """The long-named messages alone, checked against the trade layout."""
+    good, bad = E.validate(V.messages(spark, sf).filter(F.col("value").startswith('{"event_type"')), TRADE, TRADE_OPTIONAL)
+    return good.select("symbol", "trade_id", F.lit(True).alias("ok")).unionByName(bad.select(
+        F.get_json_object("value", "$.symbol").alias("symbol"),
+        F.get_json_object("value", "$.trade_id").cast("long").alias("trade_id"), F.lit(False).alias("ok")))
+
+
 @query
 def closed_bars_batch(spark, sf):
     return doubles(E.closed_bars(V.bar_events(spark, sf)))
@@ -490,11 +499,11 @@ def upsert_table(spark, sf):
 
 def _graph(spark, sf):
     nodes, edges = L.manifest_lineage(V.manifests(spark, sf))
-    parts = V.table(spark, sf, "part").select(
-        F.concat(F.lit("source.part."), F.col("p_partkey").cast("string")).alias("id"),
-        F.col("p_name").alias("name"), F.lit("topic").alias("type"), F.lit("lake").alias("layer"),
-        F.col("p_brand").alias("description"))
-    return L.lineage_graph([(nodes, edges), (parts, edges)])
+    customers = V.table(spark, sf, "customer").select(
+        F.concat(F.lit("source.customer."), F.col("c_custkey").cast("string")).alias("id"),
+        F.col("c_name").alias("name"), F.lit("topic").alias("type"), F.lit("lake").alias("layer"),
+        F.lit("customer feed").alias("description"))
+    return L.lineage_graph([(nodes, edges), (customers, edges)])
 
 
 @query
@@ -519,3 +528,13 @@ def lineage_events(spark, sf):
     edge_text = F.concat_ws("|", "from_node", "to_node")
     return L.lineage_events(L.resolve_edges(edges, nodes), "market", F.lit("2024-01-01T00:00:00Z"),
                             F.md5(edge_text)).select("run_event", "lineage_request")
+
+
+@query
+def export_lineage(spark, sf):
+    """Lineage written as JSON lines; the edges read back."""
+    nodes, edges = _graph(spark, sf)
+    folder = fresh_path(spark, "lineage")
+    events = L.lineage_events(L.resolve_edges(edges, nodes), "market", F.lit("2024-01-01T00:00:00Z"), F.lit("run"))
+    L.export_lineage(nodes, edges, events, folder)
+    return spark.read.schema(edges.schema).json(f"{folder}/edges")

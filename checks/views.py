@@ -174,18 +174,18 @@ def lines(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def manifests(spark: SparkSession, sf: str) -> DataFrame:
-    """One model manifest per line item: its order as a model that depends on part and supplier."""
-    li = table(spark, sf, "lineitem")
-    order, part, supplier = (F.col(c).cast("string") for c in ("l_orderkey", "l_partkey", "l_suppkey"))
-    parents = F.struct(F.array(F.concat(F.lit("source.part."), part),
-                               F.concat(F.lit("source.supplier."), supplier)).alias("nodes"))
-    schema = F.when(F.col("l_orderkey") % 2 == 0, F.lit("silver")).alias("schema")
+    """One model manifest per order: a model that depends on its priority and its customer."""
+    o = table(spark, sf, "orders")
+    order, customer = F.col("o_orderkey").cast("string"), F.col("o_custkey").cast("string")
+    priority = F.concat(F.lit("source.priority."), "o_orderpriority")
+    parents = F.struct(F.array(priority, F.concat(F.lit("source.customer."), customer)).alias("nodes"))
+    schema = F.when(F.col("o_orderkey") % 2 == 0, F.lit("silver")).alias("schema")
     model = F.struct(F.lit("model").alias("resource_type"), F.concat(F.lit("order_"), order).alias("name"),
                      schema, parents.alias("depends_on"))
     test = F.struct(F.lit("test").alias("resource_type"), F.lit("t").alias("name"),
                     schema, parents.alias("depends_on"))
     nodes = F.create_map(F.concat(F.lit("model.order."), order), model,
                          F.concat(F.lit("test.order."), order), test)
-    source = F.struct(F.lit("raw").alias("schema"), F.concat(F.lit("part_"), part).alias("name"))
-    sources = F.create_map(F.concat(F.lit("source.part."), part), source)
-    return li.select(F.to_json(F.struct(nodes.alias("nodes"), sources.alias("sources"))).alias("manifest"))
+    source = F.struct(F.lit("raw").alias("schema"), F.col("o_orderpriority").alias("name"))
+    sources = F.create_map(priority, source)
+    return o.select(F.to_json(F.struct(nodes.alias("nodes"), sources.alias("sources"))).alias("manifest"))

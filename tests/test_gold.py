@@ -134,7 +134,7 @@ def test_export_one_csv_per_view(spark, tmp_path):
 
 
 def test_empty_export_has_a_header(spark, tmp_path):
-    path = sinks.export_csv(spark.createDataFrame([], "a int, b int"), str(tmp_path), "none", single_file=True)
+    path = sinks.export_csv(spark.createDataFrame([], "a int, b int"), str(tmp_path), "none")
     parts = glob.glob(f"{path}/part-*")
     assert len(parts) == 1 and open(parts[0]).read().strip() == "a,b"
 

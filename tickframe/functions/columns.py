@@ -64,3 +64,12 @@ def path_part(number: str | Column, width: int = 2) -> Column:
 def day_start_ms(day: str | Column) -> Column:
     """Epoch milliseconds of 00:00 UTC of a date."""
     return F.unix_millis(col_of(day).cast("date").cast("timestamp"))
+
+
+def parsed_once(struct: Column) -> Column:
+    """Expand a costly struct (parsed text) to columns so that it is computed once per row.
+
+    As plain projections, filters on its fields would be pushed below and parse the text again
+    for every field they name; nothing moves below a generator of its own outputs.
+    """
+    return F.inline_outer(F.array(struct))

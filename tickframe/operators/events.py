@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tickframe.functions.columns import parsed_once
 from tickframe.operators.silver import cast_prices
 from tickframe.schemas import (
     KLINE_BODY, KLINE_COLUMNS, KLINE_EVENT, KLINE_KEYS, TRADE, TRADE_KEYS, TRADE_OPTIONAL,
@@ -25,18 +26,9 @@ def unwrap_envelope(df: DataFrame, value: str = "value") -> DataFrame:
     return df.withColumn(value, F.coalesce(F.get_json_object(value, "$.data"), F.col(value)))
 
 
-def _once(struct: Column) -> Column:
-    """Expand a costly struct to columns so that it is computed once per row.
-
-    As plain projections, filters on its fields would be pushed below and parse the text again
-    for every field they name; no filter moves below a generator of its own inputs.
-    """
-    return F.inline_outer(F.array(struct))
-
-
 def parse_json(df: DataFrame, schema: T.StructType, value: str = "value") -> DataFrame:
     """Message text expanded to the columns of ``schema``; fields that do not fit are null."""
-    return df.select(_once(F.from_json(F.col(value).cast("string"), schema)))
+    return df.select(parsed_once(F.from_json(F.col(value).cast("string"), schema)))
 
 
 def _texts(names) -> list[T.StructField]:
@@ -69,7 +61,7 @@ def parse_wire(df: DataFrame, value: str = "value") -> DataFrame:
     not fit is null.
     """
     wire, unique = _wire_layout()
-    parsed = df.select("*", _once(F.from_json(F.col(value).cast("string"), wire).cast(unique)))
+    parsed = df.select("*", parsed_once(F.from_json(F.col(value).cast("string"), wire).cast(unique)))
 
     def pick(layout: T.StructType, short: str = "", long: str = "") -> list[Column]:
         return [
@@ -109,7 +101,7 @@ def validate(df: DataFrame, schema: T.StructType, optional: set[str] = frozenset
     """Messages with every required field of its type, and the raw others."""
     raw = T.StructType(_texts(schema.names))
     neutral = T.StructType(_texts(f"t_{n}" for n in schema.names))
-    parsed = df.select("*", _once(F.from_json(F.col(value).cast("string"), raw).cast(neutral)))
+    parsed = df.select("*", parsed_once(F.from_json(F.col(value).cast("string"), raw).cast(neutral)))
     event = F.struct(*[F.col(f"t_{f.name}").try_cast(f.dataType).alias(f.name) for f in schema])
     tagged = parsed.withColumn("event", event).drop(*neutral.names)
     good = _complete("event", schema, optional)

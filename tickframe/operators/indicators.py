@@ -19,42 +19,45 @@ def _last(series: Series, n: int):
     return series.block_window().rowsBetween(-(n - 1), 0)
 
 
-def sma_expr(value: str, n: int, series: Series = BARS) -> Column:
-    return F.avg(F.col(value).cast("double")).over(_last(series, n))
+def sma_expr(x: Column, n: int, series: Series = BARS) -> Column:
+    return F.avg(x).over(_last(series, n))
 
 
-def std_expr(value: str, n: int, series: Series = BARS) -> Column:
-    """Sample deviation of the last ``n`` rows; 0 where there is only one."""
-    return F.coalesce(F.stddev_samp(F.col(value).cast("double")).over(_last(series, n)), F.lit(0.0))
+def std_expr(x: Column, n: int, series: Series = BARS) -> Column:
+    """Sample deviation of the last ``n`` rows; null where there is only one."""
+    return F.stddev_samp(x).over(_last(series, n))
 
 
-def band_exprs(value: str, n: int, k: float, ddof: int, series: Series = BARS) -> tuple[Column, Column]:
-    spread = F.stddev_pop if ddof == 0 else F.stddev_samp
-    x = F.col(value).cast("double")
-    middle = F.avg(x).over(_last(series, n))
-    width = F.lit(float(k)) * spread(x).over(_last(series, n))
-    return F.coalesce(middle + width, x), F.coalesce(middle - width, x)
+def bands(mean: Column, std: Column, count: Column, k: float, ddof: int) -> tuple[Column, Column]:
+    """Mean plus and minus ``k`` deviations, from the sample deviation of ``count`` rows."""
+    std = F.coalesce(std, F.lit(0.0))
+    width = k * (std if ddof else std * F.sqrt((count - 1) / count))
+    return mean + width, mean - width
 
 
 def sma(df: DataFrame, n: int, value: str = "close", out: str | None = None,
         series: Series = BARS, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Mean of the last ``n`` rows; fewer at the start of a series."""
-    return framed(df, {out or f"sma_{n}": sma_expr(value, n, series)}, series,
+    return framed(df, {out or f"sma_{n}": sma_expr(x_double(value), n, series)}, series,
                   before=n - 1, block_rows=block_rows)
 
 
 def rolling_std(df: DataFrame, n: int = 20, value: str = "close", out: str | None = None,
                 series: Series = BARS, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    return framed(df, {out or f"vol_{n}": std_expr(value, n, series)}, series,
-                  before=n - 1, block_rows=block_rows)
+    std = F.coalesce(std_expr(x_double(value), n, series), F.lit(0.0))
+    return framed(df, {out or f"vol_{n}": std}, series, before=n - 1, block_rows=block_rows)
 
 
 def bollinger(df: DataFrame, n: int = 20, k: float = 2.0, ddof: int = 0, value: str = "close",
               series: Series = BARS, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """``bb_upper`` and ``bb_lower``: mean plus and minus ``k`` deviations of the last ``n`` rows."""
-    upper, lower = band_exprs(value, n, k, ddof, series)
-    return framed(df, {"bb_upper": upper, "bb_lower": lower}, series,
-                  before=n - 1, block_rows=block_rows)
+    x = x_double(value)
+    out = framed(df, {
+        "_mean": sma_expr(x, n, series), "_std": std_expr(x, n, series),
+        "_count": F.count(x).over(_last(series, n)),
+    }, series, before=n - 1, block_rows=block_rows)
+    upper, lower = bands(F.col("_mean"), F.col("_std"), F.col("_count"), k, ddof)
+    return out.withColumns({"bb_upper": upper, "bb_lower": lower}).drop("_mean", "_std", "_count")
 
 
 def returns_1(df: DataFrame, value: str = "close", out: str = "returns_1",
@@ -103,23 +106,29 @@ def build_features(df: DataFrame, series: Series = BARS, ddof: int = 0,
     One shuffle numbers the rows and one builds the blocks; every window and both
     recurrence passes then use the block partitioning.
     """
+    if block_rows <= 14:
+        raise ValueError("a block must be longer than the RSI period")
     w = series.block_window()
     x = F.col("close_float")
-    upper, lower = band_exprs("close_float", 20, 2.0, ddof, series)
     slim = df.select(*series.keys, "open_time", x_double("close").alias("close_float"), "volume")
     cut = blocks(slim, series, before=49, after=1, block_rows=block_rows)
     windowed = cut.withColumns({
-        "sma_20": sma_expr("close_float", 20, series),
-        "sma_50": sma_expr("close_float", 50, series),
-        "vol_20": std_expr("close_float", 20, series),
-        "bb_upper": upper,
-        "bb_lower": lower,
-        "_x": x,
+        "sma_20": sma_expr(x, 20, series),
+        "sma_50": sma_expr(x, 50, series),
+        "vol_20": std_expr(x, 20, series),
+        "_count": F.count(x).over(_last(series, 20)),
         "_prev": F.lag(x).over(w),
-        "target_direction": direction_expr(x, F.lead(x).over(w)),
+        "_next": F.lead(x).over(w),
     })
-    own = own_rows(windowed, block_rows).withColumn("returns_1", log_ratio(x, F.col("_prev")))
-    return fill_defaults(plain(momentum(own, series))).select(*FEATURE_ROW.names)
+    upper, lower = bands(F.col("sma_20"), F.col("vol_20"), F.col("_count"), 2.0, ddof)
+    own = own_rows(windowed, block_rows).withColumns({
+        "bb_upper": upper,
+        "bb_lower": lower,
+        "returns_1": log_ratio(x, F.col("_prev")),
+        "target_direction": direction_expr(x, F.col("_next")),
+    }).drop("_count", "_next")
+    scanned = momentum(own, "close_float", cut.columns, series)
+    return fill_defaults(plain(scanned)).select(*FEATURE_ROW.names)
 
 
 def x_double(name: str) -> Column:

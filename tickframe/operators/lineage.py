@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tickframe.functions.columns import parsed_once
 from tickframe.operators.silver import dedup_latest
 
 MANIFEST = (
@@ -21,27 +22,31 @@ DEFAULT_TYPE = "table"
 
 def manifest_lineage(manifests: DataFrame, text: str = "manifest") -> tuple[DataFrame, DataFrame]:
     """Nodes (id, name, type, layer, description) and parent edges of model manifests."""
-    parsed = manifests.select(F.from_json(text, MANIFEST).alias("m"))
-    # Outer explodes: for inner ones Spark adds size checks that parse the text again.
-    models = (
-        parsed.select(F.explode_outer("m.nodes").alias("id", "n")).filter("n.resource_type = 'model'")
-    )
-    sources = parsed.select(F.explode_outer("m.sources").alias("id", "n")).filter("id IS NOT NULL")
-
-    def nodes(df: DataFrame, kind: str, schema: Column, description: str) -> DataFrame:
-        return df.select(
-            "id", F.concat_ws(".", schema, "n.name").alias("name"), F.lit(kind).alias("type"),
-            F.lit("olap").alias("layer"),
-            F.coalesce("n.description", F.lit(description)).alias("description"),
-        )
-
-    found = nodes(sources, "dbt_source", F.col("n.schema"), "dbt source table").unionByName(
-        nodes(models, "table", F.coalesce("n.schema", F.lit("gold")), "dbt SQL gold model"))
-    edges = models.select(
-        F.explode("n.depends_on.nodes").alias("from_node"), F.col("id").alias("to_node"),
+    parsed = manifests.select(parsed_once(F.from_json(text, MANIFEST)))
+    models = F.filter(F.map_entries("nodes"), lambda e: e["value"]["resource_type"] == "model")
+
+    def node(kind: str, default_schema: str | None, description: str):
+        def build(e: Column) -> Column:
+            schema = e["value"]["schema"]
+            schema = F.coalesce(schema, F.lit(default_schema)) if default_schema else schema
+            return F.struct(
+                e["key"].alias("id"), F.concat_ws(".", schema, e["value"]["name"]).alias("name"),
+                F.lit(kind).alias("type"), F.lit("olap").alias("layer"),
+                F.coalesce(e["value"]["description"], F.lit(description)).alias("description"),
+            )
+
+        return build
+
+    none = F.array()
+    made = F.transform(models, node("table", "gold", "dbt SQL gold model"))
+    raw = F.transform(F.map_entries("sources"), node("dbt_source", None, "dbt source table"))
+    # Outer generators: for inner ones Spark adds size checks that compute the input again.
+    nodes = parsed.select(F.inline_outer(F.concat(F.coalesce(raw, none), F.coalesce(made, none))))
+    edges = parsed.select(F.explode_outer(models).alias("m")).select(
+        F.explode_outer("m.value.depends_on.nodes").alias("from_node"), F.col("m.key").alias("to_node"),
         F.lit(MODEL_EDGE).alias("relationship"),
     )
-    return found, edges
+    return nodes.filter("id IS NOT NULL"), edges.filter("from_node IS NOT NULL")
 
 
 def lineage_graph(parts: list[tuple[DataFrame, DataFrame]]) -> tuple[DataFrame, DataFrame]:

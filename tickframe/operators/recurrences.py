@@ -13,7 +13,7 @@ the sorted block rows and keeps one state at a time. The results are those of th
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -68,14 +68,21 @@ def _carry_states(ends: DataFrame, series: Series, advance: Callable) -> DataFra
 
 def _scan(
     blocked: DataFrame,
+    x: str,
     series: Series,
     end_state: Callable,
     advance: Callable,
     emit: Callable,
     outputs: list[str],
+    shared: Iterable[str],
 ) -> DataFrame:
-    """Run the three steps on a blocked frame with ``_x`` and ``_prev`` columns."""
+    """Run the three steps on a blocked frame; ``_prev`` holds the value before ``x``.
+
+    Step 1 needs few columns, but a narrower frame would be shuffled once more instead of
+    sharing the blocks of step 3. A hash of the other columns keeps both plans alike up to there.
+    """
     at = [*series.keys, "_block"]
+    computed = {"_prev", "_pos", x, *at}
     ends_layout = T.StructType(
         [blocked.schema[k] for k in series.keys]
         + [T.StructField("_block", T.LongType()), T.StructField("_n", T.LongType()),
@@ -84,16 +91,18 @@ def _scan(
 
     def summarise(table: pa.Table) -> pa.Table:
         table = table.sort_by("_pos")
-        x, prev = table["_x"].to_numpy(), table["_prev"].to_numpy()
+        values, prev = table[x].to_numpy(), table["_prev"].to_numpy()
         first = table.slice(0, 1).select(at)
-        end = end_state(x, prev, first["_block"][0].as_py() == 0)
+        end = end_state(values, prev, first["_block"][0].as_py() == 0)
         return (
-            first.append_column("_n", pa.array([len(x)], pa.int64()))
-            .append_column("_head", pa.array([float(x[0])], pa.float64()))
+            first.append_column("_n", pa.array([len(values)], pa.int64()))
+            .append_column("_head", pa.array([float(values[0])], pa.float64()))
             .append_column("_end", pa.array([[float(v) for v in end]], pa.list_(pa.float64())))
         )
 
-    slim = blocked.select(*at, "_pos", "_x", "_prev")
+    rest = [c for c in shared if c in blocked.columns and c not in computed
+            and blocked.schema[c].dataType.typeName() not in ("map", "variant")]
+    slim = blocked.select(*at, "_pos", x, "_prev", F.hash(*rest).alias("_rest"))
     ends = slim.groupBy(*at).applyInArrow(summarise, ends_layout)
     starts = _carry_states(ends, series, advance)
 
@@ -103,11 +112,10 @@ def _scan(
 
     def finish(table: pa.Table) -> pa.Table:
         table = table.sort_by("_pos")
-        x, prev = table["_x"].to_numpy(), table["_prev"].to_numpy()
+        values, prev = table[x].to_numpy(), table["_prev"].to_numpy()
         start = table["_start"][0].as_py()
-        values = emit(x, prev, table["_block"][0].as_py() == 0, start)
         out = table.select(kept)
-        for name, value in zip(outputs, values):
+        for name, value in zip(outputs, emit(values, prev, table["_block"][0].as_py() == 0, start)):
             out = out.append_column(name, pa.array(value, pa.float64()))
         return out
 
@@ -115,11 +123,13 @@ def _scan(
     return joined.groupBy(*at).applyInArrow(finish, out_layout)
 
 
-def _with_inputs(df: DataFrame, value: str, series: Series, block_rows: int) -> DataFrame:
-    w = series.block_window()
-    x = F.col(value).cast("double")
-    return framed(df, {"_x": x, "_prev": F.lag(x).over(w)}, series, before=1,
-                  block_rows=block_rows, helpers=True)
+def _scan_series(df: DataFrame, value: str, series: Series, block_rows: int, steps: tuple,
+                 outputs: list[str]) -> DataFrame:
+    """Cut a plain frame into blocks and scan it."""
+    inputs = df.withColumn("_x", F.col(value).cast("double"))
+    cut = framed(inputs, {"_prev": F.lag("_x").over(series.block_window())}, series, before=1,
+                 block_rows=block_rows, helpers=True)
+    return plain(_scan(cut, "_x", series, *steps, outputs, [*df.columns, "_len"]))
 
 
 def _momentum(
@@ -223,8 +233,7 @@ def ema(
     def emit(x, prev, first_block, start):
         return [smooth(x, alpha, start[0])]
 
-    blocked = _with_inputs(df, value, series, block_rows)
-    return plain(_scan(blocked, series, end_state, advance, emit, [out or f"ema_{n}"]))
+    return _scan_series(df, value, series, block_rows, (end_state, advance, emit), [out or f"ema_{n}"])
 
 
 def rsi(
@@ -234,8 +243,7 @@ def rsi(
     """Relative strength index with Wilder smoothing; 50 for the first ``n`` rows."""
     if block_rows <= n:
         raise ValueError("a block must be longer than the RSI period")
-    blocked = _with_inputs(df, value, series, block_rows)
-    return plain(_scan(blocked, series, *_momentum(None, None, None, n), [out or f"rsi_{n}"]))
+    return _scan_series(df, value, series, block_rows, _momentum(None, None, None, n), [out or f"rsi_{n}"])
 
 
 def macd(
@@ -243,13 +251,15 @@ def macd(
     series: Series = BARS, block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Adds ``macd``, ``macd_signal`` and ``macd_hist``."""
-    blocked = _with_inputs(df, value, series, block_rows)
-    return plain(_scan(blocked, series, *_momentum(fast, slow, signal, None),
-                       ["macd", "macd_signal", "macd_hist"]))
+    return _scan_series(df, value, series, block_rows, _momentum(fast, slow, signal, None),
+                        ["macd", "macd_signal", "macd_hist"])
 
 
-def momentum(blocked: DataFrame, series: Series = BARS, n: int = 14,
+def momentum(blocked: DataFrame, x: str, shared: Iterable[str], series: Series = BARS, n: int = 14,
              fast: int = 12, slow: int = 26, signal: int = 9) -> DataFrame:
-    """RSI and MACD in one scan of a frame that is already in blocks, with ``_x`` and ``_prev``."""
-    return _scan(blocked, series, *_momentum(fast, slow, signal, n),
-                 [f"rsi_{n}", "macd", "macd_signal", "macd_hist"])
+    """RSI and MACD of column ``x`` in one scan of a frame that is already in blocks.
+
+    ``shared`` names the columns the frame had when it was cut.
+    """
+    return _scan(blocked, x, series, *_momentum(fast, slow, signal, n),
+                 [f"rsi_{n}", "macd", "macd_signal", "macd_hist"], shared)

@@ -20,10 +20,12 @@ def run_silver(spark: SparkSession, bronze: str, silver: str, rejects: str) -> d
     again when it is retried.
     """
     raw = read_bronze_klines(spark, bronze)
+    counts = silver_metrics(raw).first().asDict()
     kept, bad = to_silver(raw)
     write_silver(kept, silver)
-    write_rejects(bad, rejects)
-    return silver_metrics(raw).first().asDict()
+    if counts["rejected"]:
+        write_rejects(bad, rejects)
+    return counts
 
 
 def load_raw(spark: SparkSession, silver: str, table: str) -> None:
@@ -51,8 +53,13 @@ def gold_facts(raw: DataFrame) -> dict[str, DataFrame]:
 def build_gold(raw: DataFrame) -> dict[str, DataFrame]:
     """Write the fact tables to the gold schema and return them as stored."""
     out = {}
+    order = {
+        "fct_daily_klines": ["symbol", "trade_date"],
+        "fct_hourly_klines": ["symbol", "hour_at"],
+        "fct_kline_returns": ["symbol", "interval", "open_at"],
+    }
     for name, facts in gold_facts(raw).items():
-        materialize(facts, name, "table", "gold")
+        materialize(facts, name, "table", "gold", order[name])
         out[name] = raw.sparkSession.table(f"gold.{name}")
     return out
 

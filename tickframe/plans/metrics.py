@@ -207,9 +207,9 @@ EXPORTS = [
 ]
 
 
-def export_views(facts: dict[str, DataFrame], folder: str, single_file: bool = False) -> list[str]:
+def export_views(facts: dict[str, DataFrame], folder: str) -> list[str]:
     """One CSV per view from the fact tables, keyed by table name."""
     return [
-        export_csv(query(v, facts[v.cube.table], dims, list(v.cube.measures)), folder, v.name, single_file)
+        export_csv(query(v, facts[v.cube.table], dims, list(v.cube.measures)), folder, v.name)
         for v, dims in EXPORTS
     ]

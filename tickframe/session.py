@@ -10,7 +10,11 @@ from pyspark.sql import SparkSession
 
 def build_session(app: str = "tickframe", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings the operators expect; ``conf`` keys use ``__`` for dots."""
-    builder = SparkSession.builder.appName(app)
+    builder = SparkSession.builder.appName(app).config(
+        # Dedup state of a busy stream outgrows the heap; this store keeps it on disk.
+        "spark.sql.streaming.stateStore.providerClass",
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    )
     if master:
         builder = builder.master(master)
     for key, value in conf.items():

@@ -91,15 +91,17 @@ def to_kafka_json(df: DataFrame, key: str = "symbol", columns: Iterable[str] | N
     return df.select(F.col(key).cast("string").alias("key"), F.to_json(body).alias("value"))
 
 
-def materialize(df: DataFrame, name: str, kind: str = "view", schema: str | None = None) -> None:
-    """A model as a view (staging) or as a table in its schema (marts)."""
+def materialize(df: DataFrame, name: str, kind: str = "view", schema: str | None = None,
+                order: Iterable[str] = ()) -> None:
+    """A model as a view (staging) or as a table in its schema (marts), stored in ``order``."""
     spark = df.sparkSession
     if kind == "view":
         df.createOrReplaceTempView(name)
     elif kind == "table":
         if schema:
             spark.sql(f"CREATE DATABASE IF NOT EXISTS `{schema}`")
-        df.write.mode("overwrite").saveAsTable(f"`{schema}`.`{name}`" if schema else f"`{name}`")
+        stored = df.orderBy(*order) if order else df
+        stored.write.mode("overwrite").saveAsTable(f"`{schema}`.`{name}`" if schema else f"`{name}`")
     else:
         raise ValueError(f"kind must be 'view' or 'table', not {kind!r}")
 
@@ -114,11 +116,8 @@ def times_as_text(df: DataFrame) -> DataFrame:
     })
 
 
-def export_csv(df: DataFrame, folder: str, name: str, single_file: bool = False) -> str:
+def export_csv(df: DataFrame, folder: str, name: str) -> str:
     """Write ``fct_<name>.csv`` (a folder of parts) with a header also when there are no rows."""
     path = f"{folder.rstrip('/')}/fct_{name}.csv"
-    out = times_as_text(df)
-    if single_file:
-        out = out.coalesce(1)
-    out.write.mode("overwrite").option("header", True).csv(path)
+    times_as_text(df).write.mode("overwrite").option("header", True).csv(path)
     return path
