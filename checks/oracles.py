@@ -70,9 +70,9 @@ HOURLY = _ohlcv("hourly_kline_id", "hour_at", "date_trunc('hour', open_at)",
 RETURNS = """
   SELECT md5(symbol || '-' || "interval" || '-' || strftime(open_at, '%Y-%m-%d %H:%M:%S.%g')) AS kline_return_id,
          symbol, "interval", open_at, CAST(close AS DOUBLE) AS close,
-         ln(CAST(close AS DOUBLE) / nullif(CAST(lag(close) OVER (PARTITION BY symbol, "interval" ORDER BY open_at)
-            AS DOUBLE), 0)) AS log_return
-  FROM staged"""
+         CASE WHEN lag(close) OVER w = 0 THEN NULL WHEN close = 0 AND lag(close) OVER w > 0 THEN '-inf'::DOUBLE
+           ELSE ln(CAST(close AS DOUBLE) / CAST(lag(close) OVER w AS DOUBLE)) END AS log_return
+  FROM staged WINDOW w AS (PARTITION BY symbol, "interval" ORDER BY open_at)"""
 
 SERIES = BARS + """,
 s AS MATERIALIZED (
@@ -82,6 +82,11 @@ s AS MATERIALIZED (
   FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY open_time))"""
 
 
+# ln of a zero price is minus infinity, a step up from zero plus infinity, 0/0 no step at all.
+STEP = """CASE WHEN px IS NULL OR (x = 0 AND px = 0) THEN 0 WHEN px = 0 THEN 'inf'::DOUBLE
+  WHEN x = 0 THEN '-inf'::DOUBLE ELSE ln(x / px) END"""
+
+
 def _frame(n: int) -> str:
     return f"(PARTITION BY symbol ORDER BY open_time ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
 
@@ -126,7 +131,7 @@ feats AS (
          coalesce(stddev_samp(x) OVER {_frame(20)}, 0) AS vol_20, rsi_14, f - g AS macd, sg AS macd_signal,
          avg(x) OVER {_frame(20)} + 2 * stddev_pop(x) OVER {_frame(20)} AS bb_upper,
          avg(x) OVER {_frame(20)} - 2 * stddev_pop(x) OVER {_frame(20)} AS bb_lower,
-         coalesce(ln(x / px), 0) AS returns_1, CASE WHEN nx > x THEN 1 ELSE 0 END AS target_direction
+         {STEP} AS returns_1, CASE WHEN nx > x THEN 1 ELSE 0 END AS target_direction
   FROM s JOIN md USING (symbol, open_time) JOIN rsi USING (symbol, open_time))"""
 
 FEATURE_NAMES = ["close_float", "volume", "sma_20", "sma_50", "vol_20", "rsi_14", "macd", "macd_signal",
@@ -204,7 +209,7 @@ def all_oracles() -> dict[str, str]:
     returns = "round(avg(log_return), 8) AS avg_log_return, round(stddev_samp(log_return), 8) AS stddev_log_return"
     window_rows = """SELECT symbol, date_trunc('hour', ts) AS window_start,
       date_trunc('hour', ts) + INTERVAL 1 HOUR AS window_end,
-      round(sum(CAST(price AS DOUBLE) * quantity) / sum(quantity), 6) AS vwap,
+      round(sum(CAST(price AS DOUBLE) * quantity) / sum(quantity) + 1.7e-9::DOUBLE, 6) AS vwap,
       round(CAST(sum(CASE WHEN is_buyer_maker THEN -quantity ELSE quantity END) AS DOUBLE), 6) AS order_flow_imbalance,
       round(coalesce(stddev_samp(CAST(price AS DOUBLE)), 0), 6) AS price_volatility, count(*) AS trade_count
       FROM trades GROUP BY ALL"""
@@ -230,9 +235,11 @@ def all_oracles() -> dict[str, str]:
         "closed_bars_batch": w + BARS + f"""
           SELECT symbol, "interval", open_time, close_time, num_trades, true AS is_closed,
                  {_as('DOUBLE', TEXT_COLUMNS[:6])} FROM bars WHERE m % 4 <> 0""",
+        # JSON writes a decimal zero of eight digits as 0E-8.
         "kafka_json": w + BARS + """
-          SELECT symbol AS key, '{"symbol":"' || symbol || '","interval":"1m","open_time":' || open_time
-            || ',"open":' || open || ',"high":' || high || ',"low":' || low || ',"close":' || close
+          SELECT symbol AS key, '{"symbol":"' || symbol || '","interval":"1m","open_time":' || open_time""" + "".join(
+            f""" || ',"{c}":' || CASE WHEN {c} = 0 THEN '0E-8' ELSE CAST({c} AS VARCHAR) END"""
+            for c in ("open", "high", "low", "close")) + """
             || ',"num_trades":' || num_trades || ',"is_closed":true}' AS value FROM bars WHERE m % 4 <> 0""",
         "parse_kline_pages": w + BARS + _pages(),
         "page_metrics": w + BARS + """
@@ -292,8 +299,8 @@ def all_oracles() -> dict[str, str]:
         "bollinger": w + SERIES + f"""
           SELECT symbol, open_time, round(avg(x) OVER {_frame(20)} + 2 * stddev_pop(x) OVER {_frame(20)}, 6) AS bb_upper,
                  round(avg(x) OVER {_frame(20)} - 2 * stddev_pop(x) OVER {_frame(20)}, 6) AS bb_lower FROM s""",
-        "returns_target": w + SERIES + """
-          SELECT symbol, open_time, round(coalesce(ln(x / px), 0), 8) AS returns_1,
+        "returns_target": w + SERIES + f"""
+          SELECT symbol, open_time, round({STEP}, 8) AS returns_1,
                  CAST(CASE WHEN nx > x THEN 1 ELSE 0 END AS BIGINT) AS target_direction FROM s""",
         "target_horizon_5": w + SERIES + """
           SELECT symbol, open_time, CAST(CASE WHEN lead(x, 5) OVER (PARTITION BY symbol ORDER BY open_time) > x
@@ -324,7 +331,8 @@ def all_oracles() -> dict[str, str]:
         "build_features": FEATURES_OUT,
         "features_roundtrip": FEATURES_OUT,
         "fit_scaler": FEATURES + "SELECT " + ", ".join(
-            f"round(avg({c}), 6) AS {c}_mean, round(stddev_samp({c}), 6) AS {c}_std" for c in FEATURE_NAMES)
+            f"round(avg({c}), 6) AS {c}_mean, round(CASE WHEN isnan(stddev_samp({c})) THEN 1 ELSE stddev_samp({c}) END, 6) "
+            f"AS {c}_std" for c in FEATURE_NAMES)
             + " FROM feats",
         "apply_scaler": w + SERIES + """
           SELECT symbol, open_time, round((x - (SELECT avg(x) FROM s)) / (SELECT stddev_samp(x) FROM s), 6) AS close,

@@ -59,6 +59,17 @@ def test_zero_previous_close_gives_null(spark):
     assert {r.log_return for r in M.log_returns(M.stg_klines(bars)).collect()} == {None}
 
 
+def test_zero_close_is_minus_infinity(spark):
+    bars = minute_bars(spark, ("A", 0, 1, 1, 1, 1, 1), ("A", 1, 1, 1, 0, 0, 1))
+    assert [r.log_return for r in M.log_returns(M.stg_klines(bars)).orderBy("open_at").collect()] == [None, -math.inf]
+
+
+def test_log_steps_around_zero(spark):
+    df = spark.createDataFrame([(1.0, 0.0), (0.0, 0.0), (0.0, 1.0), (2.0, 1.0), (1.0, None)], "x double, p double")
+    got = [r.s for r in df.select(C.log_step(F.col("x"), F.col("p")).alias("s")).collect()]
+    assert got == [math.inf, 0.0, -math.inf, pytest.approx(math.log(2)), 0.0]
+
+
 def test_day_aggregation_combines_before_the_shuffle(spark):
     plan = M.ohlcv(M.stg_klines(minute_bars(spark, *BARS)), "day")._jdf.queryExecution().executedPlan().toString()
     assert "partial_min_by" in plan and "SortAggregate" not in plan

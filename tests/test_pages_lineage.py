@@ -84,6 +84,6 @@ def test_graph_events(spark, rows, tmp_path):
     assert event["inputs"][0]["name"] == "model.p.fct" and event["outputs"][0]["name"] == "gone"
     assert request["edge"]["fromEntity"] == {"id": "model.p.fct", "type": "view"}
     assert request["lineageDetails"]["sqlQuery"] == "Relationship: exposes"
-    L.export_lineage(n, e, events, str(tmp_path))
-    assert spark.read.json(str(tmp_path / "edges")).count() == 3
+    L.export_lineage(n, e, str(tmp_path), "ns", run_id=F.lit("id-1"))
+    assert [spark.read.json(str(tmp_path / p)).count() for p in ("nodes", "edges", "events")] == [3, 3, 3]
     assert L.lineage_events(resolved, "ns").count() == 3

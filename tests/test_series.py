@@ -193,3 +193,26 @@ def test_hot_series_is_spread_over_tasks(spark):
     cut = Z.blocks(df, SMALL, before=3, block_rows=20).repartition(4, "symbol", "interval", "_block")
     sizes = cut.groupBy(F.spark_partition_id()).count().collect()
     assert len(sizes) > 1 and max(r["count"] for r in sizes) < 400
+
+
+def exchanges(df):
+    """Shuffles above and below the first per-cell aggregate, in plan order."""
+    lines = df._jdf.queryExecution().executedPlan().toString().splitlines()
+    at = [i for i, line in enumerate(lines) if "Exchange hashpartitioning" in line]
+    scan = next(i for i, line in enumerate(lines) if "FileScan" in line)
+    return sum(i < scan for i in at), sum(i > scan for i in at)
+
+
+def test_rows_are_shuffled_once_for_neighbours_and_twice_for_frames(spark, tmp_path):
+    """With broadcasts off; every other exchange moves one row per cell or block."""
+    data(spark).write.parquet(str(tmp_path / "bars"))
+    df = spark.read.parquet(str(tmp_path / "bars"))
+    limits = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    try:
+        for name in limits:
+            spark.conf.set(name, "-1")
+        assert exchanges(Z.neighbours(df, "close", previous="p")) == (1, 3)
+        assert exchanges(I.sma(df, 20)) == (2, 3)
+    finally:
+        for name in limits:
+            spark.conf.unset(name)

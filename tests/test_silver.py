@@ -108,3 +108,19 @@ def test_live_and_backfill_share_a_layout(spark):
 def test_conform_casts_and_adds(spark):
     out = S.conform(spark.createDataFrame([(1, "x")], "open_time int, extra string"), SILVER_KLINE)
     assert out.schema.names == SILVER_KLINE.names and out.first().open_time == 1
+
+
+def test_upsert_reads_and_rewrites_only_touched_folders(spark, tmp_path, rows):
+    path = str(tmp_path / "t")
+    layout = "symbol string, interval string, open_time long, close double, _loaded_at int"
+    load = lambda *r: sinks.upsert_table(spark, spark.createDataFrame(list(r), layout), path, ["symbol"])
+    load(("1", "1m", 1, 1.0, 1), ("B", "1m", 1, 1.0, 1), (None, "1m", 1, 1.0, 1))
+    kept = {f: os.path.getmtime(f"{path}/symbol=B/{f}") for f in os.listdir(f"{path}/symbol=B")}
+    load(("1", "1m", 2, 2.0, 2), (None, "1m", 1, 2.0, 2), (None, "1m", 2, 2.0, 2))
+    assert {f: os.path.getmtime(f"{path}/symbol=B/{f}") for f in os.listdir(f"{path}/symbol=B")} == kept
+    stored = spark.read.schema(layout).parquet(path)
+    assert rows(stored, "symbol", "open_time", "close") == [
+        ("1", 1, 1.0), ("1", 2, 2.0), ("B", 1, 1.0), (None, 1, 2.0), (None, 2, 2.0)]
+    part = sinks._touched_rows(stored, spark.createDataFrame([("B", "1m", 1, 1.0, 1)], layout), ["symbol"])
+    plan = part._jdf.queryExecution().executedPlan().toString()
+    assert "B" in plan.split("PartitionFilters: [")[1].split("]")[0]

@@ -45,9 +45,18 @@ def interval_ms(interval: str | Column = "interval") -> Column:
 
 
 def log_ratio(value: Column, base: Column) -> Column:
-    """ln(value / base) in double; null when the base is null or zero or the ratio not positive."""
+    """ln(value / base) in double, as IEEE arithmetic has it: -inf for a zero value, NaN for a
+    negative ratio. Null when either is null or the base is zero."""
     ratio = F.try_divide(value.cast("double"), base.cast("double"))
-    return F.ln(F.when(ratio > 0, ratio))
+    return (F.when(ratio > 0, F.ln(ratio))
+            .when(ratio == 0, F.lit(float("-inf")))
+            .when(ratio < 0, F.lit(float("nan"))))
+
+
+def log_step(value: Column, base: Column) -> Column:
+    """Log return as a feature: +inf from a zero base; 0 where it is undefined (no base, 0/0)."""
+    out = F.when((base == 0) & (value > 0), F.lit(float("inf"))).otherwise(log_ratio(value, base))
+    return F.coalesce(F.nanvl(out, F.lit(0.0)), F.lit(0.0))
 
 
 def argmax(scores: str | Column) -> Column:

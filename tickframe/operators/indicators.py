@@ -7,7 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickframe.functions.columns import log_ratio
+from tickframe.functions.columns import log_step
 from tickframe.operators.series import (
     BARS, BLOCK_ROWS, Series, blocks, fill_gaps, framed, neighbours, own_rows, plain,
 )
@@ -64,8 +64,7 @@ def returns_1(df: DataFrame, value: str = "close", out: str = "returns_1",
               series: Series = BARS) -> DataFrame:
     """Log return against the previous row; 0 on the first."""
     near = neighbours(df, value, series, previous="_previous")
-    filled = F.coalesce(log_ratio(F.col(value), F.col("_previous")), F.lit(0.0))
-    return near.withColumn(out, filled).drop("_previous")
+    return near.withColumn(out, log_step(F.col(value), F.col("_previous"))).drop("_previous")
 
 
 def direction_expr(value: Column, later: Column) -> Column:
@@ -124,7 +123,7 @@ def build_features(df: DataFrame, series: Series = BARS, ddof: int = 0,
     own = own_rows(windowed, block_rows).withColumns({
         "bb_upper": upper,
         "bb_lower": lower,
-        "returns_1": log_ratio(x, F.col("_prev")),
+        "returns_1": log_step(x, F.col("_prev")),
         "target_direction": direction_expr(x, F.col("_next")),
     }).drop("_count", "_next")
     scanned = momentum(own, "close_float", cut.columns, series)

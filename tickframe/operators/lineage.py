@@ -110,7 +110,16 @@ def lineage_events(
     )
 
 
-def export_lineage(nodes: DataFrame, edges: DataFrame, events: DataFrame, folder: str) -> None:
-    """Nodes, edges and events as JSON lines below ``folder``."""
-    for name, df in (("nodes", nodes), ("edges", edges), ("events", events)):
-        df.write.mode("overwrite").json(f"{folder.rstrip('/')}/{name}")
+def export_lineage(nodes: DataFrame, edges: DataFrame, folder: str, namespace: str, **details) -> None:
+    """Nodes, edges and events as JSON lines below ``folder``.
+
+    Events are made from the written graph, so the manifests behind it are not parsed again.
+    ``details`` are those of ``lineage_events``.
+    """
+    folder = folder.rstrip("/")
+    stored = {}
+    for name, df in (("nodes", nodes), ("edges", edges)):
+        df.write.mode("overwrite").json(f"{folder}/{name}")
+        stored[name] = df.sparkSession.read.schema(df.schema).json(f"{folder}/{name}")
+    events = lineage_events(resolve_edges(stored["edges"], stored["nodes"]), namespace, **details)
+    events.write.mode("overwrite").json(f"{folder}/events")

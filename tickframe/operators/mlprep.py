@@ -21,7 +21,7 @@ def fit_scaler(df: DataFrame, columns: Iterable[str] = tuple(FEATURE_COLUMNS)) -
     for c in columns:
         x = F.col(c).cast("double")
         std = F.stddev_samp(x)
-        stats += [F.avg(x).alias(f"{c}_mean"), F.when(std > 0, std).otherwise(1.0).alias(f"{c}_std")]
+        stats += [F.avg(x).alias(f"{c}_mean"), F.when((std > 0) & ~F.isnan(std), std).otherwise(1.0).alias(f"{c}_std")]
     return df.agg(*stats)
 
 

@@ -29,8 +29,11 @@ def read_stream(
     return reader.options(**options).load()
 
 
-def _read_or_empty(spark: SparkSession, path: str, layout: StructType) -> DataFrame:
-    """A fixed layout also keeps folder keys such as a symbol "123" text."""
+def read_or_empty(spark: SparkSession, path: str, layout: StructType) -> DataFrame:
+    """A Parquet table, without rows if the path is missing.
+
+    The fixed layout also keeps folder keys such as a symbol "123" text.
+    """
     try:
         return spark.read.schema(layout).parquet(path)
     except AnalysisException as error:
@@ -41,19 +44,19 @@ def _read_or_empty(spark: SparkSession, path: str, layout: StructType) -> DataFr
 
 def read_bronze_klines(spark: SparkSession, path: str) -> DataFrame:
     """Bronze bars with the fixed schema; folder keys other than symbol and interval are left out."""
-    return _read_or_empty(spark, path, BRONZE_KLINE).select(*KLINE_COLUMNS)
+    return read_or_empty(spark, path, BRONZE_KLINE).select(*KLINE_COLUMNS)
 
 
 def read_silver_klines(
     spark: SparkSession, path: str, columns: Iterable[str] = tuple(KLINE_COLUMNS)
 ) -> DataFrame:
     """Silver bars, by default without partition helpers; a missing path has no rows."""
-    return _read_or_empty(spark, path, SILVER_KLINE).select(*columns)
+    return read_or_empty(spark, path, SILVER_KLINE).select(*columns)
 
 
 def read_features(spark: SparkSession, path: str) -> DataFrame:
     """Model features, every feature column as double."""
-    rows = _read_or_empty(spark, path, FEATURE_ROW).select(*FEATURE_ROW.names)
+    rows = read_or_empty(spark, path, FEATURE_ROW).select(*FEATURE_ROW.names)
     return rows.withColumns({c: F.col(c).cast("double") for c in FEATURE_COLUMNS})
 
 

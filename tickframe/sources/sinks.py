@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from tickframe.functions.columns import ms_to_ts, path_part
 from tickframe.operators.silver import BAR_KEYS, upsert_latest
 from tickframe.session import fresh_path
+from tickframe.sources.lake import read_or_empty
+
+LISTED_FOLDERS = 1000
 
 
 def _by_folder(df: DataFrame, folders: list[str], order: Iterable[str] = ()) -> DataFrame:
@@ -51,6 +54,26 @@ def write_features(df: DataFrame, path: str) -> None:
      .partitionBy("symbol").parquet(path))
 
 
+def _touched_rows(table: DataFrame, new: DataFrame, partitions: list[str]) -> DataFrame:
+    """Rows of the folders ``new`` has rows for.
+
+    Up to LISTED_FOLDERS folder values become plain filters, so that only those folders are read;
+    the null-safe semi join then decides exactly, and alone when there are more.
+    """
+    touched = new.select(*partitions).distinct()
+    listed = touched.limit(LISTED_FOLDERS + 1).collect()
+    if len(listed) <= LISTED_FOLDERS:
+        for c in partitions:
+            values = {r[c] for r in listed}
+            if None not in values:
+                table = table.filter(F.col(c).isin(*values))
+    wanted = touched.toDF(*[f"_t_{c}" for c in partitions])
+    same = F.lit(True)
+    for c in partitions:
+        same = same & F.col(c).eqNullSafe(F.col(f"_t_{c}"))
+    return table.join(wanted, same, "left_semi")
+
+
 def upsert_table(
     spark: SparkSession,
     new: DataFrame,
@@ -66,14 +89,8 @@ def upsert_table(
     """
     partitions = list(partitions)
     staged = fresh_path(spark, "upsert")
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    exists = target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
-    if exists:
-        touched = new.select(*partitions).distinct()
-        old = spark.read.schema(new.schema).parquet(path).join(touched, partitions, "left_semi")
-        merged = upsert_latest(new, old.select(*new.columns), keys, version)
-    else:
-        merged = upsert_latest(new, new.limit(0), keys, version)
+    old = _touched_rows(read_or_empty(spark, path, new.schema), new, partitions)
+    merged = upsert_latest(new, old.select(*new.columns), keys, version)
     merged.write.partitionBy(*partitions).parquet(staged)
     ready = spark.read.schema(new.schema).parquet(staged).select(*new.columns)
     (_by_folder(ready, partitions).write.mode("overwrite")
