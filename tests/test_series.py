@@ -216,3 +216,25 @@ def test_rows_are_shuffled_once_for_neighbours_and_twice_for_frames(spark, tmp_p
     finally:
         for name in limits:
             spark.conf.unset(name)
+
+
+def test_rows_without_a_place_are_kept(spark):
+    df = data(spark)
+    loose = df.limit(2).withColumn("open_time", F.lit(None).cast("long")).unionByName(
+        df.limit(1).withColumn("symbol", F.lit(None).cast("string")))
+    both = df.unionByName(loose)
+    lost = F.col("symbol").isNull() | F.col("open_time").isNull()
+    outs = {
+        "sma_5": I.sma(both, 5, series=SMALL, block_rows=16),
+        "ema_5": R.ema(both, 5, series=SMALL, block_rows=16),
+        "rsi_14": R.rsi(both, series=SMALL, block_rows=16),
+        "p": Z.neighbours(both, "close", SMALL, previous="p"),
+    }
+    for name, out in outs.items():
+        assert out.count() == df.count() + 3
+        assert [r[name] for r in out.filter(lost).collect()] == [None] * 3
+    alone = by_symbol(R.ema(df, 5, series=SMALL, block_rows=16), "ema_5")
+    close_to(by_symbol(outs["ema_5"].filter(~lost), "ema_5"), alone)
+    assert I.bfill_ffill(both, ["close"], SMALL).count() == df.count() + 3
+    full = both.withColumn("volume", F.col("volume").cast("decimal(18,8)"))
+    assert I.build_features(full, series=SMALL, block_rows=20).count() == df.count() + 3

@@ -44,8 +44,9 @@ def sma(df: DataFrame, n: int, value: str = "close", out: str | None = None,
 
 def rolling_std(df: DataFrame, n: int = 20, value: str = "close", out: str | None = None,
                 series: Series = BARS, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    std = F.coalesce(std_expr(x_double(value), n, series), F.lit(0.0))
-    return framed(df, {out or f"vol_{n}": std}, series, before=n - 1, block_rows=block_rows)
+    name = out or f"vol_{n}"
+    wide = framed(df, {name: std_expr(x_double(value), n, series)}, series, before=n - 1, block_rows=block_rows)
+    return wide.fillna({name: 0.0})
 
 
 def bollinger(df: DataFrame, n: int = 20, k: float = 2.0, ddof: int = 0, value: str = "close",
@@ -111,14 +112,15 @@ def build_features(df: DataFrame, series: Series = BARS, ddof: int = 0,
     x = F.col("close_float")
     slim = df.select(*series.keys, "open_time", x_double("close").alias("close_float"), "volume")
     cut = blocks(slim, series, before=49, after=1, block_rows=block_rows)
-    windowed = cut.withColumns({
+    placed = F.col("_pos").isNotNull()
+    windowed = cut.withColumns({n: F.when(placed, c) for n, c in {
         "sma_20": sma_expr(x, 20, series),
         "sma_50": sma_expr(x, 50, series),
         "vol_20": std_expr(x, 20, series),
         "_count": F.count(x).over(_last(series, 20)),
         "_prev": F.lag(x).over(w),
         "_next": F.lead(x).over(w),
-    })
+    }.items()})
     upper, lower = bands(F.col("sma_20"), F.col("vol_20"), F.col("_count"), 2.0, ddof)
     own = own_rows(windowed, block_rows).withColumns({
         "bb_upper": upper,

@@ -58,9 +58,9 @@ def sequences(df: DataFrame, columns: Iterable[str] = tuple(FEATURE_COLUMNS), le
 
 def temporal_split(df: DataFrame, share: float = 0.8,
                    series: Series = BARS) -> tuple[DataFrame, DataFrame]:
-    """The first ``share`` of every series in time order, and the rest."""
+    """The first ``share`` of every series in time order, and the rest (with rows of no known time)."""
     numbered = positions(df, series)
-    early = F.col("_pos") < F.floor(F.col("_len") * F.lit(share))
+    early = F.coalesce(F.col("_pos") < F.floor(F.col("_len") * F.lit(share)), F.lit(False))
     return plain(numbered.filter(early)), plain(numbered.filter(~early))
 
 

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tickframe.operators.series import BARS, BLOCK_ROWS, Series, framed, plain
+from tickframe.operators.series import BARS, BLOCK_ROWS, Series, framed, plain, spread
 
 
 def _make_smooth() -> Callable:
@@ -101,9 +101,9 @@ def _scan(
         )
 
     rest = [c for c in shared if c in blocked.columns and c not in computed
-            and blocked.schema[c].dataType.typeName() not in ("map", "variant")]
+            and c in spread(blocked)]
     slim = blocked.select(*at, "_pos", x, "_prev", F.hash(*rest).alias("_rest"))
-    ends = slim.groupBy(*at).applyInArrow(summarise, ends_layout)
+    ends = slim.filter("_block >= 0").groupBy(*at).applyInArrow(summarise, ends_layout)
     starts = _carry_states(ends, series, advance)
 
     kept = [c for c in blocked.columns if c not in ("_x", "_prev")]
@@ -115,11 +115,15 @@ def _scan(
         values, prev = table[x].to_numpy(), table["_prev"].to_numpy()
         start = table["_start"][0].as_py()
         out = table.select(kept)
+        if start is None:
+            for name in outputs:
+                out = out.append_column(name, pa.nulls(out.num_rows, pa.float64()))
+            return out
         for name, value in zip(outputs, emit(values, prev, table["_block"][0].as_py() == 0, start)):
             out = out.append_column(name, pa.array(value, pa.float64()))
         return out
 
-    joined = blocked.join(starts, at)
+    joined = blocked.join(starts, at, "left")
     return joined.groupBy(*at).applyInArrow(finish, out_layout)
 
 

@@ -11,8 +11,12 @@ that holds a third of all rows decides the run time. Here a series is cut twice:
   give the same values as on the whole series.
 
 Both shuffles spread a hot series over all tasks, and both are functions of the row values only,
-so a lost executor's work can be redone with the same outcome. Key and order columns must
-not be null and the order must be total within a series (the silver tables guarantee both).
+so a lost executor's work can be redone with the same outcome. A bar series has at most one row
+per interval step, so ten years of one-second bars are 77 thousand cells: that is what a
+running sum over the cells of one series sorts.
+
+The order must be total within a series (the dedup of the silver tables sees to that). Rows with a
+null key or order column have no place in a series: they are kept, with null results.
 """
 
 from __future__ import annotations
@@ -50,6 +54,13 @@ class Series:
     def cell_names(self) -> list[str]:
         return [f"_cell{i}" for i in range(len(self.cells))]
 
+    def placed(self) -> Column:
+        """True for rows that have a place in a series."""
+        ok = F.lit(True)
+        for c in (*self.keys, *self.order):
+            ok = ok & F.col(c).isNotNull()
+        return ok
+
     def with_cells(self, df: DataFrame) -> DataFrame:
         return df.withColumns({n: F.expr(e) for n, e in zip(self.cell_names, self.cells)})
 
@@ -72,7 +83,7 @@ def positions(df: DataFrame, series: Series = BARS) -> DataFrame:
     at = [*series.keys, *series.cell_names]
     before = series.over_cells().rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        celled.groupBy(*at)
+        celled.filter(series.placed()).groupBy(*at)
         .agg(F.count(F.lit(1)).alias("_n"))
         .select(
             *at,
@@ -82,8 +93,8 @@ def positions(df: DataFrame, series: Series = BARS) -> DataFrame:
     )
     ranked = celled.withColumn("_rank", F.row_number().over(series.cell_window()))
     return (
-        ranked.join(offsets, at)
-        .withColumn("_pos", F.col("_first") + F.col("_rank") - 1)
+        ranked.join(offsets, at, "left")
+        .withColumn("_pos", F.when(series.placed(), F.col("_first") + F.col("_rank") - 1))
         .drop(*series.cell_names, "_rank", "_first")
     )
 
@@ -96,16 +107,26 @@ def blocks(
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Rows with ``_pos``, ``_len`` and ``_block``; neighbours within ``before`` rows ahead of a
-    block and ``after`` rows behind it appear in that block too, until ``own_rows`` drops them."""
+    block and ``after`` rows behind it appear in that block too, until ``own_rows`` drops them.
+
+    Rows without a place are spread over blocks below zero.
+    """
     numbered = positions(df, series)
     low = F.greatest(F.lit(0), F.expr(f"(_pos - {after}) div {block_rows}"))
     high = F.least(F.expr(f"(_len - 1) div {block_rows}"), F.expr(f"(_pos + {before}) div {block_rows}"))
+    loose = F.array(-1 - F.pmod(F.hash(*series.order, *series.keys, *spread(df)), F.lit(4096)).cast("long"))
+    own = F.when(F.col("_pos").isNotNull(), F.sequence(low, high)).otherwise(loose)
     # Never empty; an inner explode would add a filter that builds the sequence once more.
-    return numbered.withColumn("_block", F.explode_outer(F.sequence(low, high)))
+    return numbered.withColumn("_block", F.explode_outer(own))
+
+
+def spread(df: DataFrame) -> list[str]:
+    """Columns that can be hashed."""
+    return [f.name for f in df.schema if f.dataType.typeName() not in ("map", "variant")]
 
 
 def own_rows(df: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    return df.filter(F.expr(f"_pos div {block_rows}") == F.col("_block"))
+    return df.filter(F.coalesce(F.expr(f"_pos div {block_rows}") == F.col("_block"), F.lit(True)))
 
 
 def plain(df: DataFrame) -> DataFrame:
@@ -124,7 +145,8 @@ def framed(
 ) -> DataFrame:
     """Add window ``columns`` written over ``series.block_window()`` that look at most ``before``
     rows back and ``after`` rows ahead."""
-    out = own_rows(blocks(df, series, before, after, block_rows).withColumns(columns), block_rows)
+    known = {name: F.when(F.col("_pos").isNotNull(), c) for name, c in columns.items()}
+    out = own_rows(blocks(df, series, before, after, block_rows).withColumns(known), block_rows)
     return out if helpers else plain(out)
 
 
@@ -150,7 +172,8 @@ def neighbours(
     if following:
         edges.append(F.min_by(value, order).alias("_head"))
         picks["_after"] = F.lead("_head").over(series.over_cells())
-    carried = celled.groupBy(*at).agg(*edges).withColumns(picks).select(*at, *picks)
+    known = celled.filter(series.placed())
+    carried = known.groupBy(*at).agg(*edges).withColumns(picks).select(*at, *picks)
     w = series.cell_window()
     out = {}
     if previous:
@@ -159,13 +182,13 @@ def neighbours(
     if following:
         out["_last_in_cell"] = F.lead(F.lit(True)).over(w).isNull()
         out[following] = F.lead(value).over(w)
-    joined = celled.withColumns(out).join(carried, at)
+    joined = celled.withColumns(out).join(carried, at, "left")
     if previous:
-        joined = joined.withColumn(
-            previous, F.when(F.col("_first_in_cell"), F.col("_before")).otherwise(F.col(previous)))
+        near = F.when(F.col("_first_in_cell"), F.col("_before")).otherwise(F.col(previous))
+        joined = joined.withColumn(previous, F.when(series.placed(), near))
     if following:
-        joined = joined.withColumn(
-            following, F.when(F.col("_last_in_cell"), F.col("_after")).otherwise(F.col(following)))
+        near = F.when(F.col("_last_in_cell"), F.col("_after")).otherwise(F.col(following))
+        joined = joined.withColumn(following, F.when(series.placed(), near))
     return joined.drop(*series.cell_names, *picks, "_first_in_cell", "_last_in_cell")
 
 
@@ -187,7 +210,8 @@ def fill_gaps(df: DataFrame, columns: Iterable[str], series: Series = BARS) -> D
     for c in columns:
         picks[f"_next_{c}"] = F.last(f"_head_{c}", ignorenulls=True).over(down)
         picks[f"_prev_{c}"] = F.last(f"_tail_{c}", ignorenulls=True).over(up)
-    carried = celled.groupBy(*at).agg(*edges).withColumns(picks).select(*at, *picks)
+    known = celled.filter(series.placed())
+    carried = known.groupBy(*at).agg(*edges).withColumns(picks).select(*at, *picks)
     forward = series.cell_window().rowsBetween(Window.unboundedPreceding, 0)
     backward = (Window.partitionBy(*at).orderBy(*[F.col(o).desc() for o in series.order])
                 .rowsBetween(Window.unboundedPreceding, 0))
@@ -195,8 +219,9 @@ def fill_gaps(df: DataFrame, columns: Iterable[str], series: Series = BARS) -> D
     for c in columns:
         inside[f"_up_{c}"] = F.last(c, ignorenulls=True).over(forward)
         inside[f"_down_{c}"] = F.last(c, ignorenulls=True).over(backward)
-    joined = celled.withColumns(inside).join(carried, at)
+    joined = celled.withColumns(inside).join(carried, at, "left")
     filled = {
-        c: F.coalesce(c, f"_down_{c}", f"_next_{c}", f"_up_{c}", f"_prev_{c}") for c in columns
+        c: F.coalesce(c, F.when(series.placed(), F.coalesce(
+            f"_down_{c}", f"_next_{c}", f"_up_{c}", f"_prev_{c}"))) for c in columns
     }
     return joined.withColumns(filled).drop(*series.cell_names, *inside, *picks)
