@@ -189,6 +189,11 @@ def _repeats(column: str, source: str) -> str:
             f"(SELECT {column} FROM {source} WHERE {column} IS NOT NULL GROUP BY 1 HAVING count(*) > 1)")
 
 
+SOURCE_NOT_NULL = ["symbol", "interval", "open_time", "open", "high", "low", "close", "volume", "close_time",
+                   "quote_volume", "num_trades", "taker_buy_base_volume", "taker_buy_quote_volume"]
+STAGING_NOT_NULL = ["kline_id", "symbol", "interval", "open_at", "open", "high", "low", "close", "volume", "close_at"]
+HOURLY_NOT_NULL = ["hourly_kline_id", "hour_at", "symbol", "open", "high", "low", "close", "volume"]
+RETURNS_NOT_NULL = ["kline_return_id", "symbol", "interval", "open_at", "close"]
 DAILY_NOT_NULL = ["daily_kline_id", "trade_date", "symbol", "open", "high", "low", "close", "volume"]
 
 
@@ -364,6 +369,17 @@ def all_oracles() -> dict[str, str]:
             [("not_null", "open", "open IS NULL"), ("not_null", "close", "close IS NULL"),
              ("holds", "high >= low", "high < low"), ("holds", "volume >= 0", "volume < 0")], "keyed")
             + _repeats("bar_key", "keyed"),
+        "quality_models": w + STAGED + f", h AS ({HOURLY}), q AS ({RETURNS}) " + " UNION ALL ".join(
+            f"SELECT *, '{model}' AS model FROM ({sql})" for model, sql in {
+                "source": _rules([("not_null", c, f'"{c}" IS NULL') for c in SOURCE_NOT_NULL], "bars"),
+                "staging": _rules([("not_null", c, f'"{c}" IS NULL') for c in STAGING_NOT_NULL], "staged")
+                + _repeats("kline_id", "staged"),
+                "hourly": _rules([("not_null", c, f"{c} IS NULL") for c in HOURLY_NOT_NULL] + [
+                    ("holds", "high >= low", "high < low"), ("holds", "volume >= 0", "volume < 0"),
+                    ("holds", "num_trades >= 0", "num_trades < 0")], "h") + _repeats("hourly_kline_id", "h"),
+                "returns": _rules([("not_null", c, f'"{c}" IS NULL') for c in RETURNS_NOT_NULL], "q")
+                + _repeats("kline_return_id", "q"),
+            }.items()),
         "metrics_daily": w + STAGED + f", d AS ({DAILY}) SELECT symbol, trade_date, {measures} FROM d GROUP BY ALL",
         "metrics_hourly": w + STAGED + f", h AS ({HOURLY}) SELECT symbol, hour_at, {measures} FROM h GROUP BY ALL",
         "metrics_returns": w + STAGED + f""", q AS ({RETURNS})

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -399,6 +400,20 @@ def quality_checks(spark, sf):
     return Q.check(M.ohlcv(staged(spark, sf), "day"), Q.DAILY_RULES)
 
 
+@query
+def quality_models(spark, sf):
+    """The rules of the other models: source bars, staging, hourly bars and returns."""
+    bars = V.bars(spark, sf)
+    staging = M.stg_klines(bars)
+    checked = {
+        "source": (bars, Q.SOURCE_RULES), "staging": (staging, Q.STAGING_RULES),
+        "hourly": (M.ohlcv(staging, "hour"), Q.HOURLY_RULES),
+        "returns": (M.log_returns(staging), Q.RETURNS_RULES),
+    }
+    parts = [Q.check(df, rules).withColumn("model", F.lit(name)) for name, (df, rules) in checked.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
 @query
 def quality_failures(spark, sf):
     """The same kinds of rules on damaged and copied bars, where they fail."""

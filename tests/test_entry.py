@@ -3,6 +3,7 @@ import os
 import pytest
 
 import __spark_entry__ as entry
+from tickframe.session import fresh_path
 
 
 def test_every_query_has_sql():
@@ -13,3 +14,8 @@ def test_every_query_has_sql():
 def test_flagship_runs(spark):
     df = entry.entry(spark)
     assert df.count() > 0 and df.columns[:3] == ["open_time", "symbol", "interval"]
+
+
+def test_shared_folder_is_the_one_named(spark):
+    named = spark.conf.get("spark.checkpoint.dir")
+    assert fresh_path(spark, "x").startswith(f"{named}/x-") and fresh_path(spark, "x") != fresh_path(spark, "x")

@@ -7,6 +7,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tickframe.schemas import KLINE_COLUMNS
+
 
 @dataclass(frozen=True)
 class Rules:
@@ -53,6 +55,7 @@ def check(df: DataFrame, rules: Rules) -> DataFrame:
 _OHLC = {"high >= low": "high >= low", "volume >= 0": "volume >= 0", "num_trades >= 0": "num_trades >= 0"}
 _TOTALS = ("symbol", "open", "high", "low", "close", "volume")
 
+SOURCE_RULES = Rules(tuple(KLINE_COLUMNS))
 DAILY_RULES = Rules(("daily_kline_id", "trade_date", *_TOTALS), ("daily_kline_id",), _OHLC)
 HOURLY_RULES = Rules(("hourly_kline_id", "hour_at", *_TOTALS), ("hourly_kline_id",), _OHLC)
 RETURNS_RULES = Rules(("kline_return_id", "symbol", "interval", "open_at", "close"), ("kline_return_id",))
