@@ -87,10 +87,9 @@ def upsert_latest(new: DataFrame, existing: DataFrame, keys: Iterable[str] = BAR
 
 
 def to_silver(bronze: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Bronze bars to (silver, rejected)."""
-    typed = with_times(cast_prices(bronze.select(*KLINE_COLUMNS)))
-    valid, rejected = split_valid(typed)
-    return with_partitions(dedup_latest(valid)), rejected
+    """Bronze bars to (silver, rejected); derived columns are added after the dedup shuffle."""
+    valid, rejected = split_valid(cast_prices(bronze.select(*KLINE_COLUMNS)))
+    return with_partitions(with_times(dedup_latest(valid))), with_times(rejected)
 
 
 def silver_metrics(bronze: DataFrame) -> DataFrame:
