@@ -3,11 +3,14 @@ import os
 import pytest
 
 import __spark_entry__ as entry
+from checks.oracles import all_oracles
+from checks.queries import all_queries
 from tickframe.session import fresh_path
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(all_queries()) == set(all_oracles())
+    assert set(all_queries()) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
 
 
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="needs the given tables")
