@@ -19,11 +19,10 @@ from math import log2
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickframe.llm.common import SPACES, staged, trimmed, words
+from tickframe.llm.common import staged, trimmed, words
 
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 SYMBOLS = "#*$%&|<>"
-REPEAT = 5  # words of a window whose repeats are counted
 
 #: What a rule may test: an integer expression over the statistics, and the thresholds to choose from.
 FEATURES = {
@@ -63,21 +62,22 @@ Rule = tuple[Condition, ...]
 def _repeat_words() -> Column:
     """Words inside windows that occur twice or more in ``w``.
 
-    Window hashes that are all distinct end it early. Otherwise sorted (hash, place) pairs bring equal
-    windows side by side, and the sorted places of repeated windows say how many words they cover. The
-    one-element ``transform`` calls bind a value to a name, so that it is computed once per row.
+    Word hashes (a) are hashed by fives (h). Fives that are all distinct end it early. Otherwise sorted
+    (hash, place) pairs bring equal windows side by side, and the sorted places of repeated windows say
+    how many words they cover. The one-element ``transform`` calls bind a value to a name, so that it is computed once per row.
     """
-    window = ", ".join(f"w[i + {k}]" for k in range(REPEAT))
-    return F.expr(f"""
-      if(size(w) < {REPEAT}, 0L,
-        transform(array(transform(sequence(0, greatest(size(w) - {REPEAT}, 0)), i -> xxhash64({window}))), h ->
+    return F.expr("""
+      if(size(w) < 5, 0L,
+        transform(array(transform(w, x -> xxhash64(x))), a ->
+        transform(array(transform(sequence(0, greatest(size(a) - 5, 0)), i ->
+            xxhash64(get(a, i), get(a, i + 1), get(a, i + 2), get(a, i + 3), get(a, i + 4)))), h ->
           if(size(array_distinct(h)) = size(h), 0L,
             transform(array(sort_array(transform(h, (x, i) -> struct(x, i)))), s ->
               transform(array(sort_array(transform(
                   filter(s, (e, j) -> coalesce(get(s, j - 1).x = e.x, false) or coalesce(get(s, j + 1).x = e.x, false)),
                   e -> e.i))), p ->
-                aggregate(transform(p, (a, k) -> least({REPEAT}, coalesce(get(p, k + 1) - a, {REPEAT}))),
-                          0L, (n, c) -> n + c))[0])[0]))[0])""")
+                aggregate(transform(p, (a, k) -> least(5, coalesce(get(p, k + 1) - a, 5))),
+                          0L, (n, v) -> n + v))[0])[0]))[0])[0])""")
 
 
 def statistics(docs: DataFrame, *carried: Column) -> DataFrame:
@@ -86,10 +86,11 @@ def statistics(docs: DataFrame, *carried: Column) -> DataFrame:
     lines = F.filter(F.split(text, "\n"), lambda line: trimmed(line) != "")
     return docs.select(
         F.col("doc_id"), words(F.col("text")).alias("w"), lines.alias("lines"),
-        F.length(F.translate(text, SPACES, "")).cast("long").alias("word_chars"),
-        (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"), *carried,
+        F.when(text.rlike(f"[{SYMBOLS}]"), F.length(text) - F.length(F.translate(text, SYMBOLS, "")))
+        .otherwise(0).cast("long").alias("n_symbols"), *carried,
     ).select(
-        "doc_id", F.size("w").cast("long").alias("n_words"), "word_chars", "n_symbols",
+        "doc_id", F.size("w").cast("long").alias("n_words"),
+        F.length(F.array_join("w", "")).cast("long").alias("word_chars"), "n_symbols",
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         _repeat_words().cast("long").alias("n_repeat_words"), F.size("lines").cast("long").alias("n_lines"),
         *(["row"] if carried else []))
