@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tickframe.llm import quality_rules
+from tickframe.llm import quality_rules, simhash, substring_dedup
 from tickframe.llm.common import table
 from tickframe.session import prepare
 
@@ -18,7 +18,9 @@ def query(fn: Query) -> Query:
     """Register under the function's name; sessions are prepared first."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return fn(prepare(spark), sf_dir)
+        # Rows hold whole texts, some very long: small Arrow batches bound the memory of a Python worker.
+        prepare(spark).conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
+        return fn(spark, sf_dir)
 
     _QUERIES[fn.__name__] = run
     return run
@@ -32,6 +34,16 @@ def all_oracles() -> dict[str, str]:
     return {}
 
 
+@query
+def op1_substring_dedup(spark, sf_dir):
+    return substring_dedup.digests(table(spark, sf_dir, "documents"))
+
+
 @query
 def op2_quality_rules(spark, sf_dir):
     return quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op6_simhash(spark, sf_dir):
+    return simhash.groups(table(spark, sf_dir, "documents"))
