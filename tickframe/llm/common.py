@@ -5,12 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickframe.session import fresh_path
+from tickframe.session import fresh_path, prepare
 
 #: The characters between words; words are everything else. ``bytes.split()`` splits at the same ones.
 SPACES = " \t\n\x0b\x0c\r"
 
 
+def small_batches(spark: SparkSession) -> SparkSession:
+    """The prepared session; rows hold whole texts, so few of them go to a Python worker at once."""
+    prepare(spark).conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
+    return spark
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` below the shared folder and read it again: computed once, lineage cut.
 
@@ -40,3 +46,14 @@ def words(text: Column) -> Column:
 def remainder(doc_id: Column, n: int) -> Column:
     """crc32 of the id as text, modulo ``n``; 0 for a null id."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % n, F.lit(0))
+
+
+def least_count(counts: DataFrame, most: int) -> int:
+    """The smallest ``n`` so that at most ``most`` rows of ``counts`` have a column n of at least this, 1 or more."""
+    sizes = counts.groupBy("n").agg(F.count("*").alias("rows")).orderBy(F.desc("n")).limit(most + 1).collect()
+    held = 0
+    for r in sizes:
+        held += r["rows"]
+        if held > most:
+            return r["n"] + 1
+    return 1

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tickframe.llm import quality_rules, simhash, substring_dedup
-from tickframe.llm.common import table
-from tickframe.session import prepare
+from tickframe.llm import (
+    byte_bpe, language_id, license_scan, mixing, ngram_lm, quality_rules, simhash, substring_dedup, topk, url_filter)
+from tickframe.llm.common import small_batches, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -18,9 +19,7 @@ def query(fn: Query) -> Query:
     """Register under the function's name; sessions are prepared first."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        # Rows hold whole texts, some very long: small Arrow batches bound the memory of a Python worker.
-        prepare(spark).conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
-        return fn(spark, sf_dir)
+        return fn(small_batches(spark), sf_dir)
 
     _QUERIES[fn.__name__] = run
     return run
@@ -30,10 +29,6 @@ def all_queries() -> dict[str, Query]:
     return dict(_QUERIES)
 
 
-def all_oracles() -> dict[str, str]:
-    return {}
-
-
 @query
 def op1_substring_dedup(spark, sf_dir):
     return substring_dedup.digests(table(spark, sf_dir, "documents"))
@@ -44,6 +39,48 @@ def op2_quality_rules(spark, sf_dir):
     return quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@query
+def op3_language_id(spark, sf_dir):
+    return language_id.predict(table(spark, sf_dir, "documents"))
+
+
+@query
+def op4_url_filter(spark, sf_dir):
+    return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
+@query
+def op5_mixing(spark, sf_dir):
+    return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).select(
+        "doc_id", "source", "slot", "place")
+
+
 @query
 def op6_simhash(spark, sf_dir):
     return simhash.groups(table(spark, sf_dir, "documents"))
+
+
+@query
+def op7_license_scan(spark, sf_dir):
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
+@query
+def op8_byte_bpe(spark, sf_dir):
+    tokens = byte_bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return byte_bpe.digests(
+        table(spark, sf_dir, "documents"), byte_bpe.ByteBpe(spark, tokens, public_tokenizers.PATTERN))
+
+
+@query
+def op9_topk(spark, sf_dir):
+    return topk.search(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op10_ngram_lm(spark, sf_dir):
+    return ngram_lm.score(table(spark, sf_dir, "documents"))
+
+
+def all_oracles() -> dict[str, str]:
+    return {}
