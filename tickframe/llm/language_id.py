@@ -125,7 +125,9 @@ def predict(docs: DataFrame, modulus: int = 4, held: int = 2) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             names, scores = model.predict(batch["text"].to_list())
-            yield batch[["doc_id", "held_out"]].assign(lang_pred=names, score=scores)
+            yield batch[["id", "held_out"]].assign(lang_pred=names, score=scores)
 
-    return marked.select(F.col("doc_id").cast("long"), "held_out", "text").mapInPandas(
-        run, "doc_id long, held_out boolean, lang_pred string, score double")
+    # Ids go through pandas as text, since a batch with a null would turn them to floats.
+    made = marked.select(F.col("doc_id").cast("string").alias("id"), "held_out", "text").mapInPandas(
+        run, "id string, held_out boolean, lang_pred string, score double")
+    return made.select(F.col("id").cast(docs.schema["doc_id"].dataType).alias("doc_id"), "held_out", "lang_pred", "score")

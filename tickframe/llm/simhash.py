@@ -26,7 +26,6 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tickframe.llm.common import staged
 
@@ -35,6 +34,7 @@ SEED = 42
 MIXER = 0x9E3779B97F4A7C15
 SAMPLE = 32_768  # points the upper tree is built from
 SHARD = 6_000    # points a shard should hold
+DEAL = 20_000    # points a task sends to shards at once
 LEAF = 192       # points compared all with all
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
 
@@ -80,11 +80,11 @@ def fingerprints(docs: DataFrame, shingle: int = 3, tables: int = 1) -> DataFram
             for text in batch["text"]:
                 hashes = shingle_hashes(text, shingle)
                 out.append([fingerprint(_rehashed(hashes, t)) for t in range(tables)])
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "prints": out})
+            yield pd.DataFrame({"id": batch["id"], "prints": out})
 
-    schema = T.StructType([
-        T.StructField("doc_id", T.LongType()), T.StructField("prints", T.ArrayType(T.LongType()))])
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, schema)
+    # Ids go through pandas as text, since a batch with a null would turn them to floats.
+    made = docs.select(F.col("doc_id").cast("string").alias("id"), "text").mapInPandas(run, "id string, prints array<long>")
+    return made.select(F.col("id").cast("long").alias("doc_id"), "prints")
 
 
 # --- vantage-point trees ----------------------------------------------------------------------
@@ -176,16 +176,19 @@ def links(points: DataFrame, radius: int) -> DataFrame:
     tree = build_tree(np.sort(sample), max(1, total // SHARD), radius)
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for name, own in route(batch["print"].to_numpy(np.int64).view(np.uint64), tree, radius):
-                yield batch.iloc[own].assign(shard=name)
+        held = list(batches)
+        if held:
+            points_ = pd.concat(held, ignore_index=True)
+            for name, own in route(points_["print"].to_numpy(np.int64).view(np.uint64), tree, radius):
+                yield points_.iloc[own].assign(shard=name)
 
     def link(group: pd.DataFrame) -> pd.DataFrame:
         node = group["node"].to_numpy(np.int64)
         pairs = local_links(group["print"].to_numpy(np.int64).view(np.uint64), radius)
         return pd.DataFrame({"a": node[pairs[:, 0]], "b": node[pairs[:, 1]]})
 
-    dealt = points.select("tab", "print", "node").mapInPandas(deal, "tab int, print long, node long, shard string")
+    spread = points.select("tab", "print", "node").repartition(max(1, total // DEAL), "print", "tab")
+    dealt = spread.mapInPandas(deal, "tab int, print long, node long, shard string")
     return dealt.groupBy("tab", "shard").applyInPandas(link, "a long, b long")
 
 

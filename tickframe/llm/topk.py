@@ -97,7 +97,7 @@ def search(vectors: DataFrame, k: int = 5, every: int = 50, id_column: str = "ve
     # A shard goes to every block of queries, and a block of queries to every shard.
     left = dealt.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     right = rows.filter(F.col("id") % every == 0).groupBy("id").agg(F.min("v").alias("v")).withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-    right = right.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).cast("long"))
+    right = right.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))))
 
     def meet(shard: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         out = []

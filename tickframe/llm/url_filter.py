@@ -2,8 +2,9 @@
 
 A URL is cut into host and path. A given rule fits its host and every subdomain, if the path starts with
 the rule's path; the longest wins. What the given rules decide labels those URLs. FP-growth mines token
-combinations (host labels and path parts) that go with a label; rules below the support or confidence
-asked for are pruned, and so is a rule that a shorter one with the same verdict makes needless. URLs that
+combinations (host labels and path parts) that go with a label, over all distinct URLs: those without a
+label count against a rule's confidence, so that a token is not blocked for a few blocked URLs. Rules below
+the support or confidence asked for are pruned, and so is one that a shorter one of its verdict makes needless. URLs that
 no given rule fits take the verdict of the most confident mined rule, or ``allow``.
 
 Mined rules are matched by an inverted index: each rule stands under its rarest token, distinct URLs are
@@ -70,11 +71,12 @@ def tokens() -> Column:
 
 
 def mine(labelled: DataFrame, min_support: float = 0.002, min_confidence: float = 0.9) -> DataFrame:
-    """Rules from ``tokens`` and ``verdict``: (need, verdict, confidence, support), and the token to index by.
+    """Rules from ``tokens`` and ``verdict`` (null: no label): (need, verdict, confidence, support), and the token to index by.
 
     Their number is bounded by the support asked for, not by the data.
     """
-    baskets = labelled.select(F.concat("tokens", F.array(F.concat(F.lit(LABEL), "verdict"))).alias("items"))
+    label = F.when(F.col("verdict").isNull(), F.array().cast("array<string>")).otherwise(F.array(F.concat(F.lit(LABEL), "verdict")))
+    baskets = labelled.select(F.concat("tokens", label).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets)
     single = model.freqItemsets.filter(F.size("items") == 1).select(F.col("items")[0].alias("token"), "freq")
     rules = model.associationRules.filter(
@@ -109,9 +111,9 @@ def judge(pages: DataFrame, rules: tuple[HostRule, ...] = RULES, min_support: fl
     parted = pages.select("page_id", host.alias("host"), path.alias("path"))
     urls = parted.groupBy("host", "path").agg(F.count("*").alias("pages"))
     urls = staged(urls.select("host", "path", "pages", fixed_rule(rules).alias("fixed"), tokens().alias("tokens")), "urls")
-    labelled = urls.filter(F.col("fixed").isNotNull()).select("tokens", "fixed.verdict")
+    labelled = urls.filter(F.size("tokens") > 0).select("tokens", "fixed.verdict")
     open_ = urls.filter(F.col("fixed").isNull() & (F.size("tokens") > 0))
-    if labelled.isEmpty():
+    if labelled.filter(F.col("verdict").isNotNull()).isEmpty():
         mined = open_.select("host", "path", F.lit(None).cast("string").alias("mined"), F.lit(None).cast("string").alias("mined_rule"))
     else:
         mined = match(open_, mine(labelled, min_support, min_confidence))
