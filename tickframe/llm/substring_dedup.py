@@ -1,16 +1,15 @@
 """Substring dedup: a relative Lempel-Ziv parse of every document against the documents before it.
 
-The reference is the whole corpus in doc_id order, cut into blocks at content-defined anchors: in every
-run of WINDOW words the SEED words with the smallest hash are an anchor, so equal passages are cut alike
-wherever they stand. A block reaches from one anchor to the end of the next.
-
-1. All anchors are written once. The index maps a seed to the smallest document that holds it, and to the
-   block that follows there.
-2. A document is factored greedily: a block equal to the indexed one is a match, and a match that goes on
-   at the same reference place extends the factor. Windows inside a factor are duplicates.
-3. Windows over factor boundaries may repeat elsewhere, in a document that is first for none of its
-   seeds. They are compared by their own 128-bit hash, over all documents. A document that is the first
-   to hold a window never has it inside a factor, so the smallest doc_id of each hash is exact.
+The reference is the whole corpus in doc_id order. In every window of WINDOW words the SEED words with the
+smallest hash are its anchor, so equal passages have equal anchors wherever they stand. The words of all
+windows of one anchor are a block; blocks overlap and together hold every window of a document once.
+
+1. All blocks are written once, as hashes. The index maps a seed to the smallest document that holds it.
+2. A document is factored against the indexed blocks: a block equal to one of an earlier document is a
+   match, and matches that follow each other extend a factor. All windows inside a factor are duplicates.
+3. At factor boundaries a block differs, though some of its windows may still repeat. Where a seed stands
+   in different blocks, the windows of the unmatched ones are compared one by one, by 128-bit hashes. The
+   first document to hold a window never has it inside a factor, so the smallest doc_id is exact.
 4. Windows found either way become spans; their words are removed.
 
 Windows without a seed in two documents are never shuffled. Grouped minima combine before the shuffle and
@@ -37,7 +36,7 @@ from pyspark.sql import functions as F
 from tickframe.llm.common import staged
 
 WINDOW = 50
-SEED = 16
+SEED = 8
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -78,113 +77,81 @@ class Runs:
         return x ^ (x >> np.uint64(29))
 
 
-def anchors(runs: Runs) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Seed hashes by place, the anchor of every window, and the anchors in order."""
+def anchors(runs: Runs) -> np.ndarray:
+    """The place of the anchor of every window; it never falls from one window to the next."""
     if runs.n < WINDOW:
-        none = np.zeros(0, np.int64)
-        return np.zeros(0, np.uint64), none, none
+        return np.zeros(0, np.int64)
     starts = np.arange(runs.n - SEED + 1)
     seeds = runs.hashes(starts, starts + SEED)
-    width = WINDOW - SEED + 1
-    of_window = np.lib.stride_tricks.sliding_window_view(seeds, width).argmin(axis=1) + np.arange(runs.n - WINDOW + 1)
-    return seeds, of_window, np.unique(of_window)
+    near = np.lib.stride_tricks.sliding_window_view(seeds, WINDOW - SEED + 1)
+    return near.argmin(axis=1) + np.arange(len(near))
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
-def _anchor_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _block_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Per block: hash of the seed, hash of the block, its first window and the number of its windows."""
     for batch in batches:
         out = []
         for doc_id, rid, text in zip(batch["doc_id"], batch["rid"], batch["text"]):
             runs = Runs((text or "").encode().split())
-            seeds, _, places = anchors(runs)
+            places, first, n = np.unique(anchors(runs), return_index=True, return_counts=True)
             if not len(places):
                 continue
-            ends = np.append(places[1:] + SEED, places[-1] + SEED)
+            block = runs.hashes(first, first + n - 1 + WINDOW)
+            # Equal words with the anchor elsewhere are not the same windows.
+            block ^= (places - first).astype(np.uint64) * np.uint64(_BASES[0])
             out.append(pd.DataFrame({
-                "seed": _signed(seeds[places]), "doc_id": doc_id, "rid": rid, "pos": places.astype(np.int32),
-                "gap": np.append(np.diff(places), 0).astype(np.int32), "block": _signed(runs.hashes(places, ends))}))
+                "seed": _signed(runs.hashes(places, places + SEED)), "block": _signed(block), "doc_id": doc_id, "rid": rid,
+                "pos": first.astype(np.int32), "n": n.astype(np.int32)}))
         if out:
             yield pd.concat(out, ignore_index=True)
 
 
-# --- factors ----------------------------------------------------------------------------------
-
-def factors(places: np.ndarray, gaps: np.ndarray, match: np.ndarray, ref: np.ndarray, ref_pos: np.ndarray) -> list[tuple[int, int]]:
-    """Greedy factors [start, stop) from a document's shared anchors in order.
-
-    ``match``: the block after the anchor equals the indexed one. A factor grows while the next anchor
-    follows without a gap and is indexed at the place where the reference goes on.
-    """
-    found: list[tuple[int, int]] = []
-    start = None
-    for i in range(len(places)):
-        if not match[i]:
-            continue
-        if start is None:
-            start = places[i]
-        stop = places[i] + gaps[i]
-        goes_on = (i + 1 < len(places) and match[i + 1] and places[i + 1] == stop and ref[i + 1] == ref[i]
-                   and ref_pos[i + 1] == ref_pos[i] + gaps[i])
-        if not goes_on:
-            found.append((int(start), int(stop) + SEED))
-            start = None
-    return [(a, b) for a, b in found if b - a >= WINDOW]
-
-
-def _factor_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows of factors (no hash) and of the windows to compare (with their hash)."""
+def _window_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The windows of the blocks asked for, each with its hash."""
     for batch in batches:
         out = []
-        for doc_id, rid, text, shared in zip(batch["doc_id"], batch["rid"], batch["text"], batch["shared"]):
+        for doc_id, rid, text, blocks in zip(batch["doc_id"], batch["rid"], batch["text"], batch["blocks"]):
             runs = Runs((text or "").encode().split())
-            _, of_window, _ = anchors(runs)
-            rows = sorted({(r["pos"], r["gap"], r["same"], r["ref"], r["ref_pos"]) for r in shared})
-            places = np.array([r[0] for r in rows])
-            proven = np.zeros(len(of_window), bool)
-            spans = factors(places, *[np.array([r[k] for r in rows]) for k in (1, 2, 3, 4)])
-            for a, b in spans:
-                proven[a:b - WINDOW + 1] = True
-            ask = np.flatnonzero(np.isin(of_window, places) & ~proven)
-            if spans:
-                out.append(pd.DataFrame({"doc_id": doc_id, "rid": rid, "pos": [a for a, _ in spans],
-                                         "stop": [b for _, b in spans]}))
-            if len(ask):
-                out.append(pd.DataFrame({
-                    "doc_id": doc_id, "rid": rid, "pos": ask, "stop": ask + WINDOW,
-                    "h1": _signed(runs.hashes(ask, ask + WINDOW)), "h2": _signed(runs.hashes(ask, ask + WINDOW, 1))}))
+            at = np.unique(np.concatenate([np.arange(b["pos"], b["pos"] + b["n"]) for b in blocks]))
+            out.append(pd.DataFrame({
+                "doc_id": doc_id, "rid": rid, "pos": at.astype(np.int32),
+                "h1": _signed(runs.hashes(at, at + WINDOW)), "h2": _signed(runs.hashes(at, at + WINDOW, 1))}))
         if out:
-            made = pd.concat(out, ignore_index=True)
-            yield made.reindex(columns=["doc_id", "rid", "pos", "stop", "h1", "h2"]).astype({"h1": "Int64", "h2": "Int64"})
+            yield pd.concat(out, ignore_index=True)
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
     """doc_id and text, and a key that tells rows with the same doc_id apart."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("rid"), "text")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.hash("text").alias("rid"), "text")
 
 
 def spans(docs: DataFrame) -> DataFrame:
     """doc_id, rid and ``spans``: word ranges [pos, stop) covered by windows that start in an earlier document."""
     keyed = _keyed(docs).filter(F.col("doc_id").isNotNull())
-    marks = staged(keyed.mapInPandas(
-        _anchor_rows, "seed long, doc_id long, rid long, pos int, gap int, block long"), "anchors")
-    seeds = marks.groupBy("seed").agg(F.min("doc_id").alias("ref"), F.max("doc_id").alias("last")).filter("ref < last")
-    shared = marks.join(seeds.select("seed", "ref"), "seed")
-    index = shared.filter("doc_id = ref").groupBy("seed").agg(F.min(F.struct("pos", "gap", "block")).alias("at"))
-    same = (F.col("doc_id") > F.col("ref")) & (F.col("gap") > 0) & (F.col("gap") == F.col("at.gap")) & (
-        F.col("block") == F.col("at.block"))
-    per_row = shared.join(index, "seed").groupBy("doc_id", "rid").agg(F.collect_set(F.struct(
-        "pos", "gap", same.alias("same"), "ref", F.col("at.pos").alias("ref_pos"))).alias("shared"))
-    parsed = staged(keyed.join(per_row, ["doc_id", "rid"]).mapInPandas(
-        _factor_rows, "doc_id long, rid long, pos int, stop int, h1 long, h2 long"), "factors")
-    windows = parsed.filter(F.col("h1").isNotNull())
+    blocks = staged(keyed.mapInPandas(
+        _block_rows, "seed long, block long, doc_id long, rid int, pos int, n int"), "blocks")
+    seeds = blocks.groupBy("seed").agg(
+        F.min("doc_id").alias("first"), F.max("doc_id").alias("last"),
+        F.min("block").alias("low"), F.max("block").alias("high")).filter("first < last")
+    # Blocks of one seed that are all alike are settled by it; only the others need their own first document.
+    shared = staged(blocks.join(seeds.select("seed", "first", (F.col("low") < F.col("high")).alias("differ")), "seed"), "shared")
+    differ = shared.filter("differ")
+    own = differ.groupBy("seed", "block").agg(F.min("doc_id").alias("own_first"))
+    differ = staged(differ.join(own, ["seed", "block"]).select("doc_id", "rid", "pos", "n", "own_first"), "differ")
+    matched = shared.filter("NOT differ AND doc_id > first").select("doc_id", "rid", "pos", "n").union(
+        differ.filter("doc_id > own_first").select("doc_id", "rid", "pos", "n"))
+    ask = differ.filter("doc_id = own_first").groupBy("doc_id", "rid").agg(F.collect_set(F.struct("pos", "n")).alias("blocks"))
+    windows = staged(keyed.join(ask, ["doc_id", "rid"]).mapInPandas(
+        _window_rows, "doc_id long, rid int, pos int, h1 long, h2 long"), "windows")
     first = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last")
     again = windows.join(first, ["h1", "h2"]).filter("doc_id > first")
-    columns = ["doc_id", "rid", "pos", "stop"]
-    return again.select(*columns).union(parsed.filter(F.col("h1").isNull()).select(*columns)).groupBy("doc_id", "rid").agg(
-        F.collect_set(F.struct("pos", "stop")).alias("spans"))
+    found = matched.select("doc_id", "rid", "pos", (F.col("pos") + F.col("n") - 1 + WINDOW).alias("stop")).union(
+        again.select("doc_id", "rid", "pos", (F.col("pos") + WINDOW).alias("stop")))
+    return found.groupBy("doc_id", "rid").agg(F.collect_set(F.struct("pos", "stop")).alias("spans"))
 
 
 def _removed(n: int, found) -> np.ndarray:
@@ -208,10 +175,12 @@ def digests(docs: DataFrame) -> DataFrame:
                 kept = [w for w, g in zip(words, gone.tolist()) if not g]
                 out.append((len(words), len(words) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()))
             rows = pd.DataFrame(out, columns=["n_words", "n_removed", "kept_sha256"])
-            yield pd.concat([batch[["doc_id"]].reset_index(drop=True), rows], axis=1)
+            yield pd.concat([batch[["id"]].reset_index(drop=True), rows], axis=1)
 
-    joined = _keyed(docs).join(spans(docs), ["doc_id", "rid"], "left").select("doc_id", "text", "spans")
-    return joined.mapInPandas(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    joined = _keyed(docs).join(spans(docs), ["doc_id", "rid"], "left").select(
+        F.col("doc_id").cast("string").alias("id"), "text", "spans")  # as text, since a batch with a null would turn to floats
+    made = joined.mapInPandas(run, "id string, n_words long, n_removed long, kept_sha256 string")
+    return made.select(F.col("id").cast("long").alias("doc_id"), "n_words", "n_removed", "kept_sha256")
 
 
 def cut(text: str, found) -> str:
@@ -240,7 +209,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
                 columns["n_chars"] = pa.array(counted, old.type)
             yield pa.RecordBatch.from_arrays(list(columns.values()), names=names)
 
-    keys = [F.col("doc_id").cast("long").alias("key_id"), F.xxhash64("text").alias("key_rid")]
+    keys = [F.col("doc_id").cast("long").alias("key_id"), F.hash("text").alias("key_rid")]
     rows = docs.select(F.struct(*names).alias("row"), *keys)
     found = spans(docs).select(F.col("doc_id").alias("key_id"), F.col("rid").alias("key_rid"), "spans")
     joined = rows.join(found, ["key_id", "key_rid"], "left").select("row.*", "spans")
