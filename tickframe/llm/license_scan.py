@@ -58,7 +58,8 @@ SPELLINGS = {
     "copyright owner": "copyright holder", "copyright owners": "copyright holders",
 }
 
-_STEPS = [
+#: Patterns to replace in lower-cased text, in this order.
+STEPS = [
     # A line that states a copyright: an optional comment mark, then the word or sign and a year or sign.
     (r"(?m)^[^a-z0-9©\n]*(copyright[ \t]+(\(c\)|©|[0-9])|\(c\)[ \t]|©)[^\n]*$", ""),
     ("https?://", "http://"),
@@ -70,7 +71,7 @@ _STEPS = [
 def canonical(text: Column) -> Column:
     """The text without what may differ between copies of one licence."""
     out = F.lower(F.coalesce(text, F.lit("")))
-    for pattern, instead in _STEPS:
+    for pattern, instead in STEPS:
         out = F.regexp_replace(out, pattern, instead)
     for other, usual in SPELLINGS.items():
         out = F.regexp_replace(out, rf"\b{other}\b", usual)

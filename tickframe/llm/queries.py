@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tickframe.llm import (
     byte_bpe, language_id, license_scan, mixing, ngram_lm, quality_rules, simhash, substring_dedup, topk, url_filter)
@@ -62,7 +63,7 @@ def op6_simhash(spark, sf_dir):
 
 @query
 def op7_license_scan(spark, sf_dir):
-    return license_scan.scan(table(spark, sf_dir, "documents"))
+    return license_scan.scan(table(spark, sf_dir, "documents")).withColumn("notices", F.array_join("notices", ", "))
 
 
 @query
@@ -82,5 +83,92 @@ def op10_ngram_lm(spark, sf_dir):
     return ngram_lm.score(table(spark, sf_dir, "documents"))
 
 
+# --- SQL --------------------------------------------------------------------------------------
+# Learned rules (2, 4), models (3, 10), fingerprints (6) and tokenizing (8) are beyond SQL; they are tested
+# against brute force, round trips and held-out accuracy.
+
+def _quoted(value: str) -> str:
+    return "'" + value.replace("'", "''") + "'"
+
+
+def _substring_sql() -> str:
+    """Every window of every document, by its words."""
+    return r"""
+      WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+                 FROM documents),
+      win AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS h
+              FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d)),
+      first AS (SELECT h, min(doc_id) AS f FROM win GROUP BY h),
+      gone AS (SELECT doc_id, list_sort(list_distinct(list(p))) AS ps
+               FROM (SELECT doc_id, unnest(range(i, i + 50)) AS p FROM win JOIN first USING (h) WHERE f < doc_id)
+               GROUP BY doc_id),
+      kept AS (SELECT d.doc_id, len(w) AS n, string_agg(word, ' ' ORDER BY p) AS text, count(word) AS k
+               FROM (SELECT doc_id, w, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM d) d LEFT JOIN gone USING (doc_id)
+               WHERE gone.ps IS NULL OR NOT list_contains(gone.ps, p) GROUP BY ALL)
+      SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(len(d.w) - coalesce(k, 0) AS BIGINT) AS n_removed,
+             sha256(coalesce(kept.text, '')) AS kept_sha256
+      FROM d LEFT JOIN kept USING (doc_id)"""
+
+
+def _mixing_sql() -> str:
+    """Earliest deadline first, slot by slot over one cycle, then the place of every document."""
+    weights = ", ".join(f"{_quoted(k)}: {v}" for k, v in mixing.TARGETS.items())
+    return f"""
+      WITH RECURSIVE own AS (SELECT src, coalesce(MAP {{{weights}}}[src], 1) AS a
+                             FROM (SELECT DISTINCT coalesce(source, '') AS src FROM documents)),
+      w AS (SELECT list(src ORDER BY src) AS s, list(a ORDER BY src) AS a, CAST(sum(a) AS BIGINT) AS q FROM own),
+      cyc(t, done, pick) AS (
+        SELECT CAST(-1 AS BIGINT), list_transform(a, lambda x: CAST(0 AS BIGINT)), CAST(0 AS BIGINT) FROM w
+        UNION ALL
+        SELECT t + 1, list_transform(done, lambda x, i: x + CASE WHEN i = p THEN 1 ELSE 0 END), p
+        FROM (SELECT t, done, q, list_min(list_filter(list_transform(range(1, len(a) + 1), lambda i:
+                CASE WHEN done[i] < a[i] AND (done[i] * q) // a[i] <= t + 1
+                     THEN struct_pack(due := ((done[i] + 1) * q + a[i] - 1) // a[i], i := i) END),
+                lambda x: x IS NOT NULL)).i AS p FROM cyc, w WHERE t + 1 < q)),
+      plan AS (SELECT s[pick] AS src, done[pick] - 1 AS k, t AS cycle_slot, a[pick] AS share, q FROM cyc, w WHERE t >= 0),
+      placed AS (SELECT doc_id, source, coalesce(source, '') AS src, row_number() OVER (
+                   PARTITION BY coalesce(source, '') ORDER BY doc_id IS NULL, md5(coalesce(CAST(doc_id AS VARCHAR), '')), doc_id) - 1 AS pos
+                 FROM documents)
+      SELECT doc_id, source, CAST((pos // {mixing.BLOCK} // share) * q + cycle_slot AS BIGINT) AS slot,
+             CAST(pos % {mixing.BLOCK} AS INTEGER) AS place
+      FROM placed JOIN plan ON plan.src = placed.src AND plan.k = (pos // {mixing.BLOCK}) % share"""
+
+
+def _license_sql() -> str:
+    def canonical(text: str) -> str:
+        out = f"lower(coalesce({text}, ''))"
+        for pattern, instead in license_scan.STEPS:
+            out = f"regexp_replace({out}, {_quoted(pattern)}, {_quoted(instead)}, 'g')"
+        for other, usual in license_scan.SPELLINGS.items():
+            out = f"regexp_replace({out}, {_quoted(chr(92) + 'b' + other + chr(92) + 'b')}, {_quoted(usual)}, 'g')"
+        return f"trim({out})"
+
+    known = ", ".join(f"({_quoted(k)}, {_quoted(v)})" for k, v in license_scan.KNOWN.items())
+    longest = 2 * max(map(len, license_scan.KNOWN.values()))
+    return f"""
+      WITH known AS (SELECT digest, min(name) AS license
+                     FROM (SELECT name, sha256({canonical('t')}) AS digest FROM (VALUES {known}) k(name, t)) GROUP BY digest),
+      lines AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents),
+      found AS (SELECT doc_id, string_agg(DISTINCT license, ', ' ORDER BY license) AS notices
+                FROM (SELECT doc_id, sha256({canonical('line')}) AS digest FROM lines WHERE length(line) <= {longest})
+                JOIN known USING (digest) GROUP BY doc_id),
+      whole AS (SELECT doc_id, {canonical('text')} AS c FROM documents)
+      SELECT doc_id, CASE WHEN c <> '' THEN sha256(c) END AS digest, license, coalesce(notices, '') AS notices
+      FROM whole LEFT JOIN known ON known.digest = sha256(c) AND c <> '' LEFT JOIN found USING (doc_id)"""
+
+
+_TOPK_SQL = """
+  WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+             WHERE vec_id IS NOT NULL AND len(embedding) > 0
+               AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+  pairs AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+            FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id)
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+  FROM pairs QUALIFY rank <= 5"""
+
+
 def all_oracles() -> dict[str, str]:
-    return {}
+    return {
+        "op1_substring_dedup": _substring_sql(), "op5_mixing": _mixing_sql(), "op7_license_scan": _license_sql(),
+        "op9_topk": _TOPK_SQL,
+    }
