@@ -134,20 +134,22 @@ def spans(docs: DataFrame) -> DataFrame:
     keyed = _keyed(docs).filter(F.col("doc_id").isNotNull())
     blocks = staged(keyed.mapInPandas(
         _block_rows, "seed long, block long, doc_id long, rid int, pos int, n int"), "blocks")
-    seeds = blocks.groupBy("seed").agg(
+    # Grouped tables are staged before they are joined: beside an aggregation Spark cannot split a hot seed.
+    seeds = staged(blocks.groupBy("seed").agg(
         F.min("doc_id").alias("first"), F.max("doc_id").alias("last"),
-        F.min("block").alias("low"), F.max("block").alias("high")).filter("first < last")
+        F.min("block").alias("low"), F.max("block").alias("high")).filter("first < last"), "seeds")
     # Blocks of one seed that are all alike are settled by it; only the others need their own first document.
     shared = staged(blocks.join(seeds.select("seed", "first", (F.col("low") < F.col("high")).alias("differ")), "seed"), "shared")
     differ = shared.filter("differ")
-    own = differ.groupBy("seed", "block").agg(F.min("doc_id").alias("own_first"))
+    own = staged(differ.groupBy("seed", "block").agg(F.min("doc_id").alias("own_first")), "own")
     differ = staged(differ.join(own, ["seed", "block"]).select("doc_id", "rid", "pos", "n", "own_first"), "differ")
     matched = shared.filter("NOT differ AND doc_id > first").select("doc_id", "rid", "pos", "n").union(
         differ.filter("doc_id > own_first").select("doc_id", "rid", "pos", "n"))
     ask = differ.filter("doc_id = own_first").groupBy("doc_id", "rid").agg(F.collect_set(F.struct("pos", "n")).alias("blocks"))
     windows = staged(keyed.join(ask, ["doc_id", "rid"]).mapInPandas(
         _window_rows, "doc_id long, rid int, pos int, h1 long, h2 long"), "windows")
-    first = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last")
+    first = staged(windows.groupBy("h1", "h2").agg(
+        F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last"), "first")
     again = windows.join(first, ["h1", "h2"]).filter("doc_id > first")
     found = matched.select("doc_id", "rid", "pos", (F.col("pos") + F.col("n") - 1 + WINDOW).alias("stop")).union(
         again.select("doc_id", "rid", "pos", (F.col("pos") + WINDOW).alias("stop")))
