@@ -82,9 +82,23 @@ s AS MATERIALIZED (
   FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY open_time))"""
 
 
-# ln of a zero price is minus infinity, a step up from zero plus infinity, 0/0 no step at all.
-STEP = """CASE WHEN px IS NULL OR (x = 0 AND px = 0) THEN 0 WHEN px = 0 THEN 'inf'::DOUBLE
-  WHEN x = 0 THEN '-inf'::DOUBLE ELSE ln(x / px) END"""
+# A step from or to a zero price is undefined and counts as none.
+STEP = "CASE WHEN x > 0 AND px > 0 THEN ln(x / px) ELSE 0 END"
+
+
+def _scale(c: str, digits: int) -> str:
+    """Mean, deviation and odd values of a feature, over its finite values."""
+    finite = f"FILTER (WHERE isfinite({c}))"
+    std = f"stddev_samp({c}) {finite}"
+    return (f"round(avg({c}) {finite}, {digits}) AS {c}_mean, round(CASE WHEN {std} > 0 THEN {std} ELSE 1 END, {digits}) AS {c}_std, "
+            f"count(*) FILTER (WHERE NOT isfinite({c})) AS {c}_odd")
+
+
+def _line_texts() -> list[str]:
+    """All columns of the line items as text."""
+    amounts = [f"CAST(CAST({c} AS DECIMAL(18,2)) AS VARCHAR)" for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax")]
+    return [f"CAST({c} AS VARCHAR)" for c in ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")] + amounts + [
+        "l_returnflag", "l_linestatus", "strftime(l_shipdate, '%Y-%m-%d %H:%M:%S')"]
 
 
 def _frame(n: int) -> str:
@@ -214,7 +228,7 @@ def all_oracles() -> dict[str, str]:
     returns = "round(avg(log_return), 8) AS avg_log_return, round(stddev_samp(log_return), 8) AS stddev_log_return"
     window_rows = """SELECT symbol, date_trunc('hour', ts) AS window_start,
       date_trunc('hour', ts) + INTERVAL 1 HOUR AS window_end,
-      round(sum(CAST(price AS DOUBLE) * quantity) / sum(quantity) + 1.7e-9::DOUBLE, 6) AS vwap,
+      round(sum(CAST(price AS DOUBLE) * quantity) / sum(quantity), 9) AS vwap,
       round(CAST(sum(CASE WHEN is_buyer_maker THEN -quantity ELSE quantity END) AS DOUBLE), 6) AS order_flow_imbalance,
       round(coalesce(stddev_samp(CAST(price AS DOUBLE)), 0), 6) AS price_volatility, count(*) AS trade_count
       FROM trades GROUP BY ALL"""
@@ -229,7 +243,7 @@ def all_oracles() -> dict[str, str]:
       CAST(price AS DOUBLE) AS open, CAST(price AS DOUBLE) AS high, CAST(price AS DOUBLE) AS low,
       CAST(price AS DOUBLE) AS close, CAST(quantity AS DOUBLE) AS volume, CAST(price AS DOUBLE) AS quote_volume,
       trade_id AS num_trades, true AS is_closed FROM trades WHERE is_buyer_maker"""
-    return {
+    found = {
         "route_events": w + TAGGED + """
           SELECT 'trade' AS route, symbol AS key, trade_time AS event_time, CAST(price AS VARCHAR) AS text,
                  CAST(quantity AS VARCHAR) AS quantity FROM msgs WHERE kind < 3 AND NOT bad
@@ -242,10 +256,25 @@ def all_oracles() -> dict[str, str]:
                  {_as('DOUBLE', TEXT_COLUMNS[:6])} FROM bars WHERE m % 4 <> 0""",
         # JSON writes a decimal zero of eight digits as 0E-8.
         "kafka_json": w + BARS + """
-          SELECT symbol AS key, '{"symbol":"' || symbol || '","interval":"1m","open_time":' || open_time""" + "".join(
+          SELECT symbol AS key, '{"symbol":"' || symbol || '","interval":"1m","open_time":' || open_time || ',"close_time":' || close_time""" + "".join(
             f""" || ',"{c}":' || CASE WHEN {c} = 0 THEN '0E-8' ELSE CAST({c} AS VARCHAR) END"""
-            for c in ("open", "high", "low", "close")) + """
+            for c in ("open", "high", "low", "close", "volume", "quote_volume")) + """
             || ',"num_trades":' || num_trades || ',"is_closed":true}' AS value FROM bars WHERE m % 4 <> 0""",
+        "page_rejects": w + BARS + """
+          SELECT symbol, "interval", CASE page % 3 WHEN 0 THEN '{"code":-1121}' ELSE '[[1,"2"' END AS payload,
+                 'unreadable payload' AS reject_reason
+          FROM (SELECT DISTINCT symbol, "interval", open_time // 60000000 AS page FROM bars) WHERE page % 3 < 2""",
+        "rejects_roundtrip": w + BARS + """
+          SELECT * FROM (
+            SELECT symbol, "interval", CASE WHEN m % 37 <> 0 THEN open_time END AS open_time, close_time,
+              CASE WHEN m % 17 <> 0 THEN CAST(open AS VARCHAR) END AS open_text,
+              CASE WHEN m % 31 = 0 THEN '30000000000000' ELSE CAST(high AS VARCHAR) END AS high_text,
+              CASE WHEN m % 23 = 0 THEN 'abc' ELSE CAST(close AS VARCHAR) END AS close_text,
+              CASE WHEN m % 19 = 0 THEN '-' ELSE '' END || CAST(volume AS VARCHAR) AS volume_text,
+              CASE WHEN m % 37 = 0 THEN 'open_time missing' WHEN m % 31 = 0 THEN 'high unreadable'
+                WHEN m % 23 = 0 THEN 'close unreadable' WHEN m % 17 = 0 THEN 'open missing'
+                WHEN m % 19 = 0 THEN 'volume negative' END AS reject_reason FROM bars)
+          WHERE reject_reason IS NOT NULL""",
         "parse_kline_pages": w + BARS + _pages(),
         "page_metrics": w + BARS + """
           SELECT symbol, "interval", CAST(count(*) FILTER (m % 17 <> 0 AND m % 29 <> 0) AS BIGINT) AS bars,
@@ -259,14 +288,14 @@ def all_oracles() -> dict[str, str]:
           SELECT symbol, iv AS "interval", page, s + page * step AS page_start,
                  least(s + (page + 1) * step, e) AS page_end FROM numbered""",
         "split_valid": w + BARS + """
-          SELECT symbol, "interval", open_time, CASE WHEN m % 17 = 0 THEN 'open missing'
-            WHEN m % 23 = 0 THEN 'close missing' WHEN m % 19 = 0 THEN 'volume negative' ELSE 'valid' END AS outcome
+          SELECT symbol, "interval", open_time, CASE WHEN m % 23 = 0 THEN 'close unreadable'
+            WHEN m % 17 = 0 THEN 'open missing' WHEN m % 19 = 0 THEN 'volume negative' ELSE 'valid' END AS outcome
           FROM bars""",
         "dedup_latest": w + BARS + """
           SELECT symbol, "interval", open_time, CASE WHEN m % 5 = 0 THEN close_time + 1 ELSE close_time END AS close_time,
                  CAST(CASE WHEN m % 5 = 0 THEN high + 1 ELSE high END AS DOUBLE) AS high FROM bars""",
         "union_bronze": w + BARS + f"""
-          SELECT symbol, "interval", open_time, close_time, num_trades, {_as('VARCHAR')} FROM bars WHERE m % 2 = 0
+          SELECT symbol, "interval", open_time, close_time, num_trades, {_as('VARCHAR')} FROM bars
           UNION ALL
           SELECT symbol, "interval", open_time, close_time, num_trades, {_as('VARCHAR', TEXT_COLUMNS[:6])}, NULL, NULL
           FROM bars WHERE m % 4 <> 0""",
@@ -336,24 +365,25 @@ def all_oracles() -> dict[str, str]:
         "build_features": FEATURES_OUT,
         "features_roundtrip": FEATURES_OUT,
         "fit_scaler": FEATURES + "SELECT " + ", ".join(
-            f"round(avg({c}), 6) AS {c}_mean, round(CASE WHEN isnan(stddev_samp({c})) THEN 1 ELSE stddev_samp({c}) END, 6) "
-            f"AS {c}_std" for c in FEATURE_NAMES)
-            + " FROM feats",
-        "apply_scaler": w + SERIES + """
-          SELECT symbol, open_time, round((x - (SELECT avg(x) FROM s)) / (SELECT stddev_samp(x) FROM s), 6) AS close,
-                 round((v - (SELECT avg(v) FROM s)) / (SELECT stddev_samp(v) FROM s), 6) AS volume FROM s""",
-        "sequences": w + SERIES + f"""
-          SELECT symbol, open_time, CAST(60 AS BIGINT) AS steps, first_close, last_close, round(total, 6) AS total,
-                 CAST(label AS BIGINT) AS label FROM (
+            _scale(c, 6) for c in FEATURE_NAMES) + " FROM feats",
+        "fit_scaler_zero_prices": FEATURES.replace(
+            "CAST(close AS DOUBLE)", "(CASE WHEN m % 50 = 0 THEN 0.0::DOUBLE ELSE CAST(close AS DOUBLE) END)")
+            + "SELECT " + ", ".join(_scale(c, 5) for c in FEATURE_NAMES) + " FROM feats",
+        "apply_scaler": FEATURES + "SELECT symbol, open_time, " + ", ".join(
+            f"round(({c} - (SELECT avg({c}) FROM feats)) / (SELECT stddev_samp({c}) FROM feats), 5) AS {c}"
+            for c in FEATURE_NAMES) + " FROM feats",
+        "sequences": FEATURES + f"""
+          SELECT symbol, open_time, CAST(60 AS BIGINT) AS steps, CAST(660 AS BIGINT) AS cells, first_close, last_close,
+                 round(total, 3) AS total, CAST(label AS BIGINT) AS label FROM (
             SELECT symbol, open_time, rn, n, lag(x, 59) OVER (PARTITION BY symbol ORDER BY open_time) AS first_close,
-                   x AS last_close, sum(x * v) OVER {_frame(60)} AS total, CASE WHEN nx > x THEN 1 ELSE 0 END AS label
-            FROM s) WHERE rn >= 60 AND rn < n""",
+                   x AS last_close, sum({' + '.join(FEATURE_NAMES)}) OVER {_frame(60)} AS total, target_direction AS label
+            FROM feats JOIN (SELECT symbol, open_time, rn, n, x FROM s) USING (symbol, open_time)) WHERE rn >= 60 AND rn < n""",
         "temporal_split": w + SERIES + """
           SELECT symbol, open_time, '1m' AS "interval",
                  CASE WHEN rn <= floor(n * 0.8) THEN 'train' ELSE 'test' END AS part FROM s""",
         "fingerprint": """
-          SELECT count(*) AS row_count, CAST(sum(CAST(('0x' || substr(md5(concat_ws('|', l_orderkey, l_partkey,
-            l_suppkey, l_linenumber, l_returnflag, l_linestatus)), 1, 15)) AS HUGEINT)) AS VARCHAR) AS digest
+          SELECT count(*) AS row_count, CAST(sum(CAST(('0x' || substr(md5(""" + " || ".join(
+            f"coalesce(length({c}) || ':' || {c}, '-')" for c in _line_texts()) + """), 1, 15)) AS HUGEINT)) AS VARCHAR) AS digest
           FROM lineitem""",
         "accuracy": w + BARS + """,
           t AS (SELECT CAST(close - open AS DOUBLE) AS rise, CASE WHEN lead(close) OVER
@@ -399,7 +429,8 @@ def all_oracles() -> dict[str, str]:
         "lineage_graph": w + NODES + "SELECT * FROM resolved",
         "export_lineage": w + NODES + "SELECT from_node, to_node, relationship FROM resolved",
         "validate": w + TRADES
-        + "SELECT symbol, trade_id, trade_id % 17 <> 0 AS ok FROM trades WHERE trade_id % 5 = 2",
+        + """SELECT CASE WHEN trade_id % 5 = 2 THEN symbol END AS symbol, CASE WHEN trade_id % 5 = 2 THEN trade_id END AS trade_id,
+               trade_id % 5 = 2 AND trade_id % 17 <> 0 AND trade_id % 13 <> 0 AS ok FROM trades""",
         "lineage_events": w + NODES + """
           SELECT '{"eventType":"COMPLETE","eventTime":"2024-01-01T00:00:00Z","run":{"runId":"'
             || md5(from_node || '|' || to_node) || '"},"job":{"namespace":"market","name":"' || from_node || '_to_'
@@ -411,3 +442,6 @@ def all_oracles() -> dict[str, str]:
             || to_node || '","type":"' || to_type || '"}},"lineageDetails":{"sqlQuery":"Relationship: '
             || relationship || '"}}' AS lineage_request FROM resolved""",
     }
+    # Small blocks change how a series is computed, not what comes out.
+    return found | {f"{n}_blocks": found[n] for n in (
+        "sma", "bollinger", "ema", "rsi", "macd", "sequences", "build_features", "target_horizon_5")}

@@ -1,5 +1,6 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from tickframe.operators import lineage as L
@@ -87,3 +88,21 @@ def test_graph_events(spark, rows, tmp_path):
     L.export_lineage(n, e, str(tmp_path), "ns", run_id=F.lit("id-1"))
     assert [spark.read.json(str(tmp_path / p)).count() for p in ("nodes", "edges", "events")] == [3, 3, 3]
     assert L.lineage_events(resolved, "ns").count() == 3
+
+
+def test_unreadable_pages_are_counted_and_kept(spark):
+    whole = json.dumps([BAR, BAR])
+    df = page(spark, whole, whole[:-1], "no json", '{"code":-1121,"msg":"Invalid symbol."}', "[]", None)
+    assert pages.parse_kline_pages(df).count() == 2
+    assert pages.page_metrics(df).first()[2:] == (2, 4)
+    rejects = {(r.payload, r.reject_reason) for r in pages.page_rejects(df).collect()}
+    assert rejects == {(p, "unreadable payload") for p in (whole[:-1], "no json", '{"code":-1121,"msg":"Invalid symbol."}')} | {
+        (None, "no payload")}
+
+
+def test_plan_refuses_what_it_cannot_plan(spark):
+    ranges = spark.createDataFrame([("A", "2024-01-01", "2024-01-02")], "symbol string, start_date string, end_date string")
+    with pytest.raises(ValueError, match="10m"):
+        pages.backfill_plan(ranges, ["1d", "10m"])
+    with pytest.raises(Exception, match="no start_date for A"):
+        pages.backfill_plan(ranges.withColumn("start_date", F.lit(None).cast("string")), ["1d"]).collect()

@@ -1,6 +1,8 @@
 import os
 from decimal import Decimal
 
+import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from samples import BAR_1, BAR_2, H, bronze
@@ -31,7 +33,8 @@ def test_rejects_have_reasons(spark, tmp_path, rows):
                   changed(BAR_1, close="abc"), changed(BAR_1, symbol=None), changed(BAR_1, high=None))
     kept, bad = S.to_silver(bars)
     assert rows(bad, "reject_reason") == [
-        ("close missing",), ("open missing",), ("symbol missing",), ("volume negative",)]
+        ("close unreadable",), ("open missing",), ("symbol missing",), ("volume negative",)]
+    assert rows(bad.filter("close_text = 'abc'"), "close") == [(None,)]
     # A missing high is no reason to reject; both bars share a key, so one survives.
     assert kept.count() == 1
     assert sinks.write_rejects(bad, str(tmp_path / "bad"))
@@ -39,6 +42,17 @@ def test_rejects_have_reasons(spark, tmp_path, rows):
     assert S.silver_metrics(bars).first().asDict() == {"raw": 6, "rejected": 4, "kept": 1, "duplicates": 1}
 
 
+def test_rejects_keep_what_was_wrong(spark, rows):
+    bars = bronze(spark, BAR_1, changed(BAR_1, volume="30000000000000"), changed(BAR_1, high="x"), changed(BAR_1, open_time=None),
+                  changed(BAR_1, open_time=None, close_time=5), changed(BAR_1, quote_volume="20000000000.5"))
+    kept, bad = S.to_silver(bars)
+    assert kept.count() == 1
+    assert rows(bad, "reject_reason", "volume_text", "high_text") == sorted([
+        ("volume unreadable", "30000000000000", BAR_1[4]), ("high unreadable", BAR_1[7], "x"),
+        ("open_time missing", BAR_1[7], BAR_1[4]), ("open_time missing", BAR_1[7], BAR_1[4]),
+        ("quote_volume unreadable", BAR_1[7], BAR_1[4])], key=lambda t: tuple(map(str, t)))
+
+
 def test_large_numbers_become_null(spark):
     assert S.cast_prices(bronze(spark, changed(BAR_1, open="12345678901"))).first().open is None
 
@@ -80,10 +94,18 @@ def test_upsert_highest_version_wins(spark, rows):
     assert rows(S.upsert_latest(new, old), "open_time", "close") == [(1, 1.0), (2, 2.0), (3, 2.0)]
 
 
-def test_missing_path_is_empty(spark, tmp_path):
-    assert lake.read_silver_klines(spark, str(tmp_path / "none")).count() == 0
-    assert lake.read_bronze_klines(spark, str(tmp_path / "none")).count() == 0
-    assert lake.read_features(spark, str(tmp_path / "none")).count() == 0
+def test_missing_path_is_an_error_and_harms_nothing(spark, tmp_path):
+    none, gold, table = (str(tmp_path / n) for n in ("none", "gold", "table"))
+    for read in (lake.read_silver_klines, lake.read_bronze_klines, lake.read_features):
+        with pytest.raises(AnalysisException):
+            read(spark, none)
+    spark.range(4).write.parquet(gold)
+    with pytest.raises(AnalysisException):
+        jobs.run_features(spark, none, gold)
+    assert spark.read.parquet(gold).count() == 4
+    # Only the serving load may find nothing; it then writes nothing.
+    jobs.load_raw(spark, none, table)
+    assert not os.path.exists(table)
 
 
 def test_bronze_folders_follow_each_bar(spark, tmp_path):
@@ -121,6 +143,14 @@ def test_upsert_reads_and_rewrites_only_touched_folders(spark, tmp_path, rows):
     stored = spark.read.schema(layout).parquet(path)
     assert rows(stored, "symbol", "open_time", "close") == [
         ("1", 1, 1.0), ("1", 2, 2.0), ("B", 1, 1.0), (None, 1, 2.0), (None, 2, 2.0)]
-    part = sinks._touched_rows(stored, spark.createDataFrame([("B", "1m", 1, 1.0, 1)], layout), ["symbol"])
-    plan = part._jdf.queryExecution().executedPlan().toString()
-    assert "B" in plan.split("PartitionFilters: [")[1].split("]")[0]
+
+
+def test_upsert_handles_any_number_of_folders_and_odd_names(spark, tmp_path, rows):
+    path = str(tmp_path / "t")
+    layout = "symbol string, interval string, open_time long, close double, _loaded_at int"
+    names = [f"s{k} /%:ä" for k in range(30)]
+    for version in (1, 2, 2):
+        some = [(n, "1m", 1, float(version), version) for n in names[:: version]]
+        sinks.upsert_table(spark, spark.createDataFrame(some, layout), path, ["symbol"])
+    assert rows(spark.read.schema(layout).parquet(path), "symbol", "close") == sorted(
+        (n, 2.0 if k % 2 == 0 else 1.0) for k, n in enumerate(names))

@@ -54,9 +54,8 @@ def log_ratio(value: Column, base: Column) -> Column:
 
 
 def log_step(value: Column, base: Column) -> Column:
-    """Log return as a feature: +inf from a zero base; 0 where it is undefined (no base, 0/0)."""
-    out = F.when((base == 0) & (value > 0), F.lit(float("inf"))).otherwise(log_ratio(value, base))
-    return F.coalesce(F.nanvl(out, F.lit(0.0)), F.lit(0.0))
+    """Log return as a feature: 0 where it is undefined or infinite (no base, or a price that is not positive)."""
+    return F.when((base > 0) & (value > 0), log_ratio(value, base)).otherwise(0.0)
 
 
 def argmax(scores: str | Column) -> Column:

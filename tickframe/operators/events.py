@@ -78,6 +78,14 @@ def parse_wire(df: DataFrame, value: str = "value") -> DataFrame:
     }).drop(*unique.names)
 
 
+def _strict(field: Column, kind: T.DataType) -> Column:
+    """A parsed field as its type; null if it does not fit, or if a text field holds anything but text."""
+    text = F.try_variant_get(field, "$", "string")
+    if isinstance(kind, T.StringType):
+        return F.when(F.schema_of_variant(field) == "STRING", text)
+    return text.try_cast(kind)
+
+
 def _complete(event: str, layout: T.StructType, optional: set[str] = frozenset()) -> Column:
     ok = F.lit(True)
     for f in layout:
@@ -98,11 +106,14 @@ def normalise_klines(df: DataFrame, value: str = "value") -> DataFrame:
 
 def validate(df: DataFrame, schema: T.StructType, optional: set[str] = frozenset(),
              value: str = "value") -> tuple[DataFrame, DataFrame]:
-    """Messages with every required field of its type, and the raw others."""
-    raw = T.StructType(_texts(schema.names))
-    neutral = T.StructType(_texts(f"t_{n}" for n in schema.names))
+    """Messages with every required field of its type, and the raw others.
+
+    A text field must be text in the message; a number field may be a number or its text.
+    """
+    raw = T.StructType([T.StructField(n, T.VariantType()) for n in schema.names])
+    neutral = T.StructType([T.StructField(f"t_{n}", T.VariantType()) for n in schema.names])
     parsed = df.select("*", parsed_once(F.from_json(F.col(value).cast("string"), raw).cast(neutral)))
-    event = F.struct(*[F.col(f"t_{f.name}").try_cast(f.dataType).alias(f.name) for f in schema])
+    event = F.struct(*[_strict(F.col(f"t_{f.name}"), f.dataType).alias(f.name) for f in schema])
     tagged = parsed.withColumn("event", event).drop(*neutral.names)
     good = _complete("event", schema, optional)
     return tagged.filter(good).select("event.*"), tagged.filter(~good).drop("event")

@@ -38,8 +38,8 @@ def manifest_lineage(manifests: DataFrame, text: str = "manifest") -> tuple[Data
         return build
 
     none = F.array()
-    made = F.transform(models, node("table", "gold", "dbt SQL gold model"))
-    raw = F.transform(F.map_entries("sources"), node("dbt_source", None, "dbt source table"))
+    made = F.transform(models, node("table", "gold", "model built in SQL"))
+    raw = F.transform(F.map_entries("sources"), node("dbt_source", None, "raw table"))
     # Outer generators: for inner ones Spark adds size checks that compute the input again.
     nodes = parsed.select(F.inline_outer(F.concat(F.coalesce(raw, none), F.coalesce(made, none))))
     edges = parsed.select(F.explode_outer(models).alias("m")).select(

@@ -13,15 +13,19 @@ from tickframe.schemas import FEATURE_COLUMNS
 
 
 def fit_scaler(df: DataFrame, columns: Iterable[str] = tuple(FEATURE_COLUMNS)) -> DataFrame:
-    """One row with ``<column>_mean`` and ``<column>_std`` over all rows.
+    """One row with ``<column>_mean`` and ``<column>_std`` over all finite values, and ``<column>_odd``, the
+    number of values that are not finite.
 
     A deviation that is zero or undefined counts as 1, so scaling never divides by it.
     """
     stats = []
     for c in columns:
         x = F.col(c).cast("double")
-        std = F.stddev_samp(x)
-        stats += [F.avg(x).alias(f"{c}_mean"), F.when((std > 0) & ~F.isnan(std), std).otherwise(1.0).alias(f"{c}_std")]
+        odd = F.isnan(x) | (F.abs(x) == float("inf"))
+        finite = F.when(~odd, x)
+        std = F.stddev_samp(finite)
+        stats += [F.avg(finite).alias(f"{c}_mean"), F.when(std > 0, std).otherwise(1.0).alias(f"{c}_std"),
+                  F.count_if(odd).alias(f"{c}_odd")]
     return df.agg(*stats)
 
 
@@ -65,9 +69,13 @@ def temporal_split(df: DataFrame, share: float = 0.8,
 
 
 def fingerprint(df: DataFrame, columns: Iterable[str] | None = None) -> DataFrame:
-    """Row count and an order-free digest: the sum over rows of 60 bits of the row's md5."""
-    parts = [F.coalesce(F.col(c).cast("string"), F.lit("\\N")) for c in (columns or df.columns)]
-    bits = F.conv(F.substring(F.md5(F.concat_ws("|", *parts)), 1, 15), 16, 10)
+    """Row count and an order-free digest: the sum over rows of 60 bits of the row's md5.
+
+    A value is written as its length, a colon and its text, a null as "-", so no two rows are written alike.
+    """
+    texts = [F.col(c).cast("string") for c in (columns or df.columns)]
+    parts = [F.coalesce(F.concat(F.length(t), F.lit(":"), t), F.lit("-")) for t in texts]
+    bits = F.conv(F.substring(F.md5(F.concat(*parts)), 1, 15), 16, 10)
     return df.agg(
         F.count(F.lit(1)).alias("row_count"),
         F.coalesce(F.sum(bits.cast("decimal(20,0)")), F.lit(0)).cast("string").alias("digest"),

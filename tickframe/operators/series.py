@@ -62,7 +62,11 @@ class Series:
         return ok
 
     def with_cells(self, df: DataFrame) -> DataFrame:
-        return df.withColumns({n: F.expr(e) for n, e in zip(self.cell_names, self.cells)})
+        """Add the cells. Rows without a place are dealt to cells by their hash, so that many of them
+        (no symbol, no time) do not meet in one task."""
+        loose = F.pmod(F.hash(*self.order, *self.keys, *spread(df)), F.lit(4096)).cast("long")
+        return df.withColumns({
+            n: F.when(self.placed(), F.expr(e).cast("long")).otherwise(loose) for n, e in zip(self.cell_names, self.cells)})
 
     def cell_window(self) -> WindowSpec:
         return Window.partitionBy(*self.keys, *self.cell_names).orderBy(*self.order)
@@ -77,20 +81,34 @@ class Series:
 BARS = Series()
 
 
+def _running(counts: DataFrame, keys: list[str], order: list[str], first: str) -> DataFrame:
+    """``counts`` with the sum of ``_n`` before each row and over all rows of its keys (``_len``)."""
+    before = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return counts.withColumns({
+        first: F.coalesce(F.sum("_n").over(before), F.lit(0)), "_len": F.sum("_n").over(Window.partitionBy(*keys))})
+
+
+def _offsets(counts: DataFrame, series: Series) -> DataFrame:
+    """Rows before each cell (``_first``) and in the whole series (``_len``) from rows per cell.
+
+    With several cell columns in two steps: first over the values of the first column (days, say), then
+    over the cells of each value, so that the rows that meet in one task do not grow with the data of a day
+    times its days.
+    """
+    keys, cells = list(series.keys), series.cell_names
+    if len(cells) == 1:
+        return _running(counts, keys, cells, "_first").drop("_n")
+    coarse = _running(counts.groupBy(*keys, cells[0]).agg(F.sum("_n").alias("_n")), keys, cells[:1], "_base").drop("_n")
+    fine = _running(counts, [*keys, cells[0]], cells[1:], "_inner").drop("_n", "_len")
+    return fine.join(coarse, [*keys, cells[0]]).withColumn("_first", F.col("_base") + F.col("_inner")).drop("_base", "_inner")
+
+
 def positions(df: DataFrame, series: Series = BARS) -> DataFrame:
     """Add ``_pos`` (0-based rank in the series) and ``_len`` (rows of the series)."""
     celled = series.with_cells(df)
     at = [*series.keys, *series.cell_names]
-    before = series.over_cells().rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        celled.filter(series.placed()).groupBy(*at)
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .select(
-            *at,
-            F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"),
-            F.sum("_n").over(Window.partitionBy(*series.keys)).alias("_len"),
-        )
-    )
+    counts = celled.filter(series.placed()).groupBy(*at).agg(F.count(F.lit(1)).alias("_n"))
+    offsets = _offsets(counts, series)
     ranked = celled.withColumn("_rank", F.row_number().over(series.cell_window()))
     return (
         ranked.join(offsets, at, "left")

@@ -27,10 +27,26 @@ def with_partitions(df: DataFrame, ts: str = "open_ts") -> DataFrame:
     return df.withColumns({"year": F.year(ts), "month": F.month(ts)})
 
 
-def kline_rules() -> dict[str, Column]:
-    """Reject reasons of a typed bar; each is true or false, never null."""
-    missing = {f"{c} missing": F.col(c).isNull() for c in ("symbol", "open", "close", "volume")}
-    return {**missing, "volume negative": F.coalesce(F.col("volume") < 0, F.lit(False))}
+def raw_name(column: str) -> str:
+    return f"{column}_text"
+
+
+def keep_text(df: DataFrame) -> DataFrame:
+    """Copies of the number columns as they came, so that a rejected row still shows what was wrong."""
+    return df.withColumns({raw_name(c): F.col(c) for c in DECIMAL_COLUMNS if c in df.columns})
+
+
+def kline_rules(columns: Iterable[str] = ()) -> dict[str, Column]:
+    """Reject reasons of a typed bar; each is true or false, never null.
+
+    ``columns`` are those of the frame: where the text of a number is there, a number that could not be read
+    or is out of range is told from a missing one, in optional columns too.
+    """
+    texts = [c for c in DECIMAL_COLUMNS if raw_name(c) in set(columns)]
+    unreadable = {f"{c} unreadable": F.col(raw_name(c)).isNotNull() & F.col(c).isNull() for c in texts}
+    keys = {f"{c} missing": F.col(c).isNull() for c in BAR_KEYS}
+    missing = {f"{c} missing": F.col(c).isNull() for c in ("open", "close", "volume")}
+    return {**keys, **unreadable, **missing, "volume negative": F.coalesce(F.col("volume") < 0, F.lit(False))}
 
 
 def reject_reason(rules: Mapping[str, Column]) -> Column:
@@ -42,7 +58,7 @@ def split_valid(
     df: DataFrame, rules: Mapping[str, Column] | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """Valid rows, and rejected rows with a ``reject_reason``."""
-    tagged = df.withColumn("reject_reason", reject_reason(rules or kline_rules()))
+    tagged = df.withColumn("reject_reason", reject_reason(rules or kline_rules(df.columns)))
     valid = tagged.filter(F.col("reject_reason").isNull()).drop("reject_reason")
     return valid, tagged.filter(F.col("reject_reason").isNotNull())
 
@@ -87,8 +103,12 @@ def upsert_latest(new: DataFrame, existing: DataFrame, keys: Iterable[str] = BAR
 
 
 def to_silver(bronze: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Bronze bars to (silver, rejected); derived columns are added after the dedup shuffle."""
-    valid, rejected = split_valid(cast_prices(bronze.select(*KLINE_COLUMNS)))
+    """Bronze bars to (silver, rejected); derived columns are added after the dedup shuffle.
+
+    Rejected rows carry the text of their numbers in ``<column>_text``.
+    """
+    valid, rejected = split_valid(cast_prices(keep_text(bronze.select(*KLINE_COLUMNS))))
+    valid = valid.select(*KLINE_COLUMNS)
     return with_partitions(with_times(dedup_latest(valid))), with_times(rejected)
 
 
@@ -97,8 +117,8 @@ def silver_metrics(bronze: DataFrame) -> DataFrame:
 
     Rows are counted per key first (combined before the shuffle), so no copies are moved.
     """
-    typed = cast_prices(bronze.select(*KLINE_COLUMNS))
-    bad = reject_reason(kline_rules()).isNotNull()
+    typed = cast_prices(keep_text(bronze.select(*KLINE_COLUMNS)))
+    bad = reject_reason(kline_rules(typed.columns)).isNotNull()
     per_key = typed.groupBy(*BAR_KEYS).agg(
         F.count(F.lit(1)).alias("raw"), F.count_if(bad).alias("rejected"))
     return per_key.agg(

@@ -9,7 +9,8 @@ from tickframe.operators.indicators import build_features
 from tickframe.operators.marts import log_returns, ohlcv, stg_klines
 from tickframe.operators.silver import silver_metrics, to_silver
 from tickframe.plans.metrics import export_views
-from tickframe.sources.lake import read_bronze_klines, read_silver_klines, scan_latest
+from tickframe.schemas import SILVER_KLINE
+from tickframe.sources.lake import read_bronze_klines, read_or_empty, read_silver_klines, scan_latest
 from tickframe.sources.sinks import materialize, upsert_table, write_features, write_rejects, write_silver
 
 
@@ -23,18 +24,22 @@ def run_silver(spark: SparkSession, bronze: str, silver: str, rejects: str) -> d
     counts = silver_metrics(raw).first().asDict()
     kept, bad = to_silver(raw)
     write_silver(kept, silver)
-    if counts["rejected"]:
-        write_rejects(bad, rejects)
+    write_rejects(bad, rejects, counts["rejected"])
     return counts
 
 
 def load_raw(spark: SparkSession, silver: str, table: str) -> None:
-    """Load silver bars into the versioned serving table; loading again changes nothing."""
-    bars = read_silver_klines(spark, silver, columns=[
+    """Load silver bars into the versioned serving table; loading again changes nothing.
+
+    A silver path that is not there yet loads nothing.
+    """
+    bars = read_or_empty(spark, silver, SILVER_KLINE).select(*[
         "symbol", "interval", "open_time", "open", "high", "low", "close", "volume", "close_time",
         "quote_volume", "num_trades", "taker_buy_base_volume", "taker_buy_quote_volume",
         "open_ts", "close_ts", "year", "month",
     ])
+    if bars.isEmpty():
+        return
     upsert_table(spark, bars.withColumn("_loaded_at", F.current_timestamp()), table,
                  ["symbol", "year", "month"])
 

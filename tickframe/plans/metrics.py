@@ -168,6 +168,7 @@ def without_prefix(df: DataFrame, view: View) -> DataFrame:
     return df.toDF(*[c.removeprefix(f"{view.name}.") for c in df.columns])
 
 
+# The names of tables, measures, dimensions and views below.
 def _ohlcv_cube(table: str, key: str, time: str) -> Cube:
     return Cube(
         table, key,

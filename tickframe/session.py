@@ -8,13 +8,14 @@ import uuid
 from pyspark.sql import SparkSession
 
 
+# Dedup state of a busy stream outgrows the heap; this store keeps it on disk.
+STATE_STORE = ("spark.sql.streaming.stateStore.providerClass",
+               "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
 def build_session(app: str = "tickframe", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings the operators expect; ``conf`` keys use ``__`` for dots."""
-    builder = SparkSession.builder.appName(app).config(
-        # Dedup state of a busy stream outgrows the heap; this store keeps it on disk.
-        "spark.sql.streaming.stateStore.providerClass",
-        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
-    )
+    builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
     for key, value in conf.items():
@@ -29,17 +30,20 @@ def prepare(spark: SparkSession) -> SparkSession:
     """
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.execution.arrow.pyspark.enabled", "true")
+    spark.conf.set(*STATE_STORE)
     shared_folder(spark)
     return spark
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a temporary one only if it is unset."""
+    """The folder named by ``spark.checkpoint.dir``; a temporary one only if it is unset and Spark runs locally."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         if not spark.sparkContext.getCheckpointDir():
             spark.sparkContext.setCheckpointDir(named)
         return named
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     local = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     spark.sparkContext.setCheckpointDir(local)
     return local

@@ -30,9 +30,9 @@ def read_stream(
 
 
 def read_or_empty(spark: SparkSession, path: str, layout: StructType) -> DataFrame:
-    """A Parquet table, without rows if the path is missing.
+    """A Parquet table, without rows if the path is missing: only for a table that a first load creates.
 
-    The fixed layout also keeps folder keys such as a symbol "123" text.
+    Other readers raise, so that a mistyped path never looks like a table without rows. The fixed layout also keeps folder keys such as a symbol "123" text.
     """
     try:
         return spark.read.schema(layout).parquet(path)
@@ -44,19 +44,19 @@ def read_or_empty(spark: SparkSession, path: str, layout: StructType) -> DataFra
 
 def read_bronze_klines(spark: SparkSession, path: str) -> DataFrame:
     """Bronze bars with the fixed schema; folder keys other than symbol and interval are left out."""
-    return read_or_empty(spark, path, BRONZE_KLINE).select(*KLINE_COLUMNS)
+    return spark.read.schema(BRONZE_KLINE).parquet(path).select(*KLINE_COLUMNS)
 
 
 def read_silver_klines(
     spark: SparkSession, path: str, columns: Iterable[str] = tuple(KLINE_COLUMNS)
 ) -> DataFrame:
-    """Silver bars, by default without partition helpers; a missing path has no rows."""
-    return read_or_empty(spark, path, SILVER_KLINE).select(*columns)
+    """Silver bars, by default without partition helpers."""
+    return spark.read.schema(SILVER_KLINE).parquet(path).select(*columns)
 
 
 def read_features(spark: SparkSession, path: str) -> DataFrame:
     """Model features, every feature column as double."""
-    rows = read_or_empty(spark, path, FEATURE_ROW).select(*FEATURE_ROW.names)
+    rows = spark.read.schema(FEATURE_ROW).parquet(path).select(*FEATURE_ROW.names)
     return rows.withColumns({c: F.col(c).cast("double") for c in FEATURE_COLUMNS})
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from urllib.parse import unquote, urlsplit
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,8 +13,6 @@ from tickframe.operators.silver import BAR_KEYS, upsert_latest
 from tickframe.session import fresh_path
 from tickframe.sources.lake import read_or_empty
 
-LISTED_FOLDERS = 1000
-
 
 def _by_folder(df: DataFrame, folders: list[str], order: Iterable[str] = ()) -> DataFrame:
     """Each task writes sorted runs of whole folders, which gives few files and tight
@@ -29,9 +28,9 @@ def write_silver(df: DataFrame, path: str) -> None:
      .partitionBy(*folders).parquet(path))
 
 
-def write_rejects(df: DataFrame, path: str) -> bool:
-    """Append rejected rows; nothing is written when there are none."""
-    if df.isEmpty():
+def write_rejects(df: DataFrame, path: str, known: int | None = None) -> bool:
+    """Append rejected rows; nothing is written when there are none. ``known``: their number, if counted before."""
+    if known == 0 or known is None and df.isEmpty():
         return False
     df.write.mode("append").option("compression", "snappy").parquet(path)
     return True
@@ -54,24 +53,11 @@ def write_features(df: DataFrame, path: str) -> None:
      .partitionBy("symbol").parquet(path))
 
 
-def _touched_rows(table: DataFrame, new: DataFrame, partitions: list[str]) -> DataFrame:
-    """Rows of the folders ``new`` has rows for.
-
-    Up to LISTED_FOLDERS folder values become plain filters, so that only those folders are read;
-    the null-safe semi join then decides exactly, and alone when there are more.
-    """
-    touched = new.select(*partitions).distinct()
-    listed = touched.limit(LISTED_FOLDERS + 1).collect()
-    if len(listed) <= LISTED_FOLDERS:
-        for c in partitions:
-            values = {r[c] for r in listed}
-            if None not in values:
-                table = table.filter(F.col(c).isin(*values))
-    wanted = touched.toDF(*[f"_t_{c}" for c in partitions])
-    same = F.lit(True)
-    for c in partitions:
-        same = same & F.col(c).eqNullSafe(F.col(f"_t_{c}"))
-    return table.join(wanted, same, "left_semi")
+def _folders(df: DataFrame, root: str) -> set[str]:
+    """Partition folders below ``root`` that hold files of a stored table, from its file listing."""
+    base = f"{urlsplit(unquote(root)).path.rstrip('/')}/"
+    paths = {urlsplit(f).path for f in df.inputFiles()}
+    return {unquote(p).rpartition("/")[0].split(base, 1)[-1] for p in paths}
 
 
 def upsert_table(
@@ -84,17 +70,28 @@ def upsert_table(
 ) -> None:
     """Merge ``new`` into a partitioned Parquet table, rewriting only the folders it touches.
 
-    The merged rows are staged in the shared folder first, because a plan must not overwrite the
-    files it still reads.
+    ``new`` is computed once, into a staged table in the shared folder. Its own folders name the ones of
+    the table to read, however many they are. The merged rows are staged too, because a plan must not
+    overwrite the files it still reads; both staged tables are emptied at the end.
     """
-    partitions = list(partitions)
-    staged = fresh_path(spark, "upsert")
-    old = _touched_rows(read_or_empty(spark, path, new.schema), new, partitions)
-    merged = upsert_latest(new, old.select(*new.columns), keys, version)
-    merged.write.partitionBy(*partitions).parquet(staged)
-    ready = spark.read.schema(new.schema).parquet(staged).select(*new.columns)
+    partitions, root = list(partitions), path.rstrip("/")
+    arrived, merged = fresh_path(spark, "arrived"), fresh_path(spark, "merged")
+    _by_folder(new, partitions).write.partitionBy(*partitions).parquet(arrived)
+    fresh = spark.read.schema(new.schema).parquet(arrived).select(*new.columns)
+    stored = read_or_empty(spark, root, new.schema)
+    touched = sorted(_folders(fresh, arrived) & _folders(stored, root))
+    rows = fresh
+    if touched:
+        reader = spark.read.schema(new.schema).option("basePath", root)
+        rows = upsert_latest(fresh, reader.parquet(*[f"{root}/{t}" for t in touched]).select(*new.columns), keys, version)
+    else:
+        rows = upsert_latest(fresh, fresh.limit(0), keys, version)
+    _by_folder(rows, partitions).write.partitionBy(*partitions).parquet(merged)
+    ready = spark.read.schema(new.schema).parquet(merged).select(*new.columns)
     (_by_folder(ready, partitions).write.mode("overwrite")
      .option("partitionOverwriteMode", "dynamic").partitionBy(*partitions).parquet(path))
+    for staged in (arrived, merged):
+        spark.createDataFrame([], new.schema).write.mode("overwrite").parquet(staged)
 
 
 def to_kafka_json(df: DataFrame, key: str = "symbol", columns: Iterable[str] | None = None,
@@ -110,14 +107,15 @@ def to_kafka_json(df: DataFrame, key: str = "symbol", columns: Iterable[str] | N
 
 def materialize(df: DataFrame, name: str, kind: str = "view", schema: str | None = None,
                 order: Iterable[str] = ()) -> None:
-    """A model as a view (staging) or as a table in its schema (marts), stored in ``order``."""
+    """A model as a view (staging) or as a table in its schema (marts), sorted by ``order`` within its files."""
     spark = df.sparkSession
     if kind == "view":
         df.createOrReplaceTempView(name)
     elif kind == "table":
         if schema:
             spark.sql(f"CREATE DATABASE IF NOT EXISTS `{schema}`")
-        stored = df.orderBy(*order) if order else df
+        # Sorted within files; a global sort would compute the whole model once more to sample it.
+        stored = df.hint("rebalance", *list(order)[:1]).sortWithinPartitions(*order) if order else df
         stored.write.mode("overwrite").saveAsTable(f"`{schema}`.`{name}`" if schema else f"`{name}`")
     else:
         raise ValueError(f"kind must be 'view' or 'table', not {kind!r}")
