@@ -309,6 +309,13 @@ def all_oracles() -> dict[str, str]:
                      AS kept FROM copied)""",
         "upsert_latest": w + BARS + upserted,
         "upsert_table": w + BARS + upserted,
+        "scan_latest": w + BARS + upserted,
+        "live_to_silver": w + BARS + f"""
+          SELECT symbol, "interval", open_time, close_time, num_trades, {_as('DOUBLE', TEXT_COLUMNS[:6])},
+                 CAST(CASE WHEN m % 2 = 0 THEN taker_buy_base_volume END AS DOUBLE) AS taker_buy_base_volume,
+                 CAST(CASE WHEN m % 2 = 0 THEN taker_buy_quote_volume END AS DOUBLE) AS taker_buy_quote_volume FROM bars""",
+        "rollup_daily": w + STAGED + f""", d AS ({DAILY})
+          SELECT symbol, CAST(date_trunc('week', trade_date) AS DATE) AS trade_date, {measures} FROM d GROUP BY ALL""",
         "stg_klines": w + STAGED + f"""
           SELECT kline_id, symbol, "interval", open_at, close_at, num_trades, {_as('DOUBLE')} FROM staged""",
         "ohlcv_daily": w + STAGED + DAILY,

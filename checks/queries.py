@@ -20,7 +20,7 @@ from tickframe.operators import recurrences as R
 from tickframe.operators import silver as S
 from tickframe.operators.microstructure import microstructure, type_trades
 from tickframe.plans import metrics as X
-from tickframe.plans.jobs import gold_facts
+from tickframe.plans.jobs import gold_facts, run_silver
 from tickframe.schemas import FEATURE_COLUMNS, TRADE, TRADE_OPTIONAL
 from tickframe.session import fresh_path, prepare
 from tickframe.sources import lake, pages, sinks
@@ -538,6 +538,16 @@ def rollup_requery(spark, sf):
     return rounded(doubles(out), "avg_close", "total_volume", "total_quote_volume")
 
 
+@query
+def rollup_daily(spark, sf):
+    """Daily rollup of bars, read per symbol and week."""
+    facts = M.ohlcv(staged(spark, sf), "day")
+    rollup = X.build_rollup(facts, X.DAILY_ROLLUP)
+    out = X.query(X.OHLCV_DAILY, facts, ["symbol", "trade_date"], list(X.DAILY.measures), "week", (rollup,))
+    return rounded(doubles(out), "avg_close", "total_volume", "total_quote_volume").withColumn(
+        "trade_date", F.col("trade_date").cast("date"))
+
+
 @query
 def export_views(spark, sf):
     """All views exported as CSV and the daily one read back as text."""
@@ -565,6 +575,27 @@ def silver_roundtrip(spark, sf):
     return doubles(lake.read_silver_klines(spark, path))
 
 
+@query
+def live_to_silver(spark, sf):
+    """Landed bar events and half of the history through the silver job; bars in both have the history's values."""
+    landed, bronze, silver, bad = (fresh_path(spark, n) for n in ("landed", "bronze", "silver", "bad"))
+    V.bar_events(spark, sf).write.parquet(landed)
+    sinks.write_bronze_klines(V.bronze(spark, sf).filter(V.minute() % 2 == 0), bronze)
+    run_silver(spark, bronze, silver, bad, live=landed)
+    return doubles(lake.read_silver_klines(spark, silver))
+
+
+@query
+def scan_latest(spark, sf):
+    """The newest version of bars of which the even minutes were loaded twice."""
+    old = V.bars(spark, sf).withColumn("_loaded_at", F.lit("2024-02-01 00:00:00").cast("timestamp"))
+    new = old.filter(V.minute() % 2 == 0).withColumns({
+        "close": (F.col("close") + 1).cast("decimal(18,8)"),
+        "_loaded_at": F.lit("2024-02-02 00:00:00").cast("timestamp"),
+    })
+    return doubles(lake.scan_latest(new.unionByName(old)).select("symbol", "interval", "open_time", "close", "_loaded_at"))
+
+
 @query
 def features_roundtrip(spark, sf):
     path = fresh_path(spark, "features")

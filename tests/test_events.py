@@ -81,3 +81,13 @@ def test_messages_are_parsed_once(spark):
     for part in routed:
         plan = part._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count("from_json") == 1
+
+
+def test_validate_refuses_other_types_for_text(spark):
+    fine = {"event_type": "trade", "event_time": 1, "symbol": "A", "trade_id": 7, "price": "1.5", "quantity": "2", "trade_time": 1,
+            "is_buyer_maker": True}
+    odd = [dict(fine, price=65000), dict(fine, quantity=True), dict(fine, price=None), dict(fine, symbol=["A"]), dict(fine, trade_id="x")]
+    lenient = [dict(fine, trade_id="7"), dict(fine, is_buyer_maker="true")]
+    ok, bad = E.validate(texts(spark, *map(json.dumps, [fine, *odd, *lenient])), TRADE, TRADE_OPTIONAL)
+    assert ok.count() == 3 and bad.count() == len(odd)
+    assert {r.trade_id for r in ok.collect()} == {7}

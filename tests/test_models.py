@@ -69,3 +69,17 @@ def test_accuracy(spark):
     assert P.accuracy(scores, "s", "t").first().accuracy == pytest.approx(2 / 3)
     assert P.accuracy(scores.limit(0), "s", "t").first().accuracy == 0.0
     assert P.accuracy(scores.withColumn("g", F.lit(1)), "g", "t").first().correct == 2
+
+
+def test_fingerprint_tells_rows_apart(spark):
+    def digest(*row):
+        return P.fingerprint(spark.createDataFrame([row], "a string, b string")).first().digest
+
+    rows = [("x|y", "z"), ("x", "y|z"), ("x", None), ("x", "\\N"), ("x", "-"), ("x", ""), (None, "x"), ("1:x", ""), ("", "1:x")]
+    assert len({digest(*r) for r in rows}) == len(rows)
+
+
+def test_scaler_counts_and_leaves_out_odd_values(spark):
+    df = spark.createDataFrame([(1.0,), (3.0,), (float("inf"),), (float("nan"),), (None,)], "x double")
+    row = P.fit_scaler(df, ["x"]).first()
+    assert (row.x_mean, row.x_odd) == (2.0, 2) and abs(row.x_std - 2 ** 0.5) < 1e-12

@@ -31,22 +31,23 @@ def parse_json(df: DataFrame, schema: T.StructType, value: str = "value") -> Dat
     return df.select(parsed_once(F.from_json(F.col(value).cast("string"), schema)))
 
 
-def _texts(names) -> list[T.StructField]:
-    return [T.StructField(n, T.StringType()) for n in names]
+def _values(names) -> list[T.StructField]:
+    """Fields that keep the kind of their JSON value."""
+    return [T.StructField(n, T.VariantType()) for n in names]
 
 
 def _wire_layout() -> tuple[T.StructType, T.StructType]:
-    """All fields of both events in both spellings as text, and the same under unique names.
+    """All fields of both events in both spellings, and the same under unique names.
 
     Short names differ in case only (t and T), so the parsed struct is renamed by position before
     any field is used: s_<name> holds the short spelling, l_<name> the long one.
     """
-    body = T.StructType(_texts(KLINE_KEYS) + _texts(KLINE_KEYS.values()))
-    wire = _texts(TRADE_KEYS) + _texts(TRADE_KEYS.values())
+    body = T.StructType(_values(KLINE_KEYS) + _values(KLINE_KEYS.values()))
+    wire = _values(TRADE_KEYS) + _values(TRADE_KEYS.values())
     wire += [T.StructField("k", body), T.StructField("kline", body)]
 
     def both(keys) -> list[T.StructField]:
-        return _texts(f"s_{n}" for n in keys.values()) + _texts(f"l_{n}" for n in keys.values())
+        return _values(f"s_{n}" for n in keys.values()) + _values(f"l_{n}" for n in keys.values())
 
     unique = both(TRADE_KEYS)
     for end in ("s", "l"):
@@ -57,17 +58,15 @@ def _wire_layout() -> tuple[T.StructType, T.StructType]:
 def parse_wire(df: DataFrame, value: str = "value") -> DataFrame:
     """Add ``trade`` and ``bar`` structs read from message text with one JSON parse per row.
 
-    Every field is read as text and cast after, so "5" and 5 are both a valid number; what does
-    not fit is null.
+    "5" and 5 are both a valid number, but a text field must be text; what does not fit is null.
     """
     wire, unique = _wire_layout()
     parsed = df.select("*", parsed_once(F.from_json(F.col(value).cast("string"), wire).cast(unique)))
 
     def pick(layout: T.StructType, short: str = "", long: str = "") -> list[Column]:
         return [
-            F.coalesce(f"{short}s_{f.name}", f"{short}l_{f.name}",
-                       *([f"{long}s_{f.name}", f"{long}l_{f.name}"] if long else []))
-            .try_cast(f.dataType).alias(f.name)
+            _strict(F.coalesce(f"{short}s_{f.name}", f"{short}l_{f.name}",
+                               *([f"{long}s_{f.name}", f"{long}l_{f.name}"] if long else [])), f.dataType).alias(f.name)
             for f in layout
         ]
 
@@ -110,8 +109,7 @@ def validate(df: DataFrame, schema: T.StructType, optional: set[str] = frozenset
 
     A text field must be text in the message; a number field may be a number or its text.
     """
-    raw = T.StructType([T.StructField(n, T.VariantType()) for n in schema.names])
-    neutral = T.StructType([T.StructField(f"t_{n}", T.VariantType()) for n in schema.names])
+    raw, neutral = T.StructType(_values(schema.names)), T.StructType(_values(f"t_{n}" for n in schema.names))
     parsed = df.select("*", parsed_once(F.from_json(F.col(value).cast("string"), raw).cast(neutral)))
     event = F.struct(*[_strict(F.col(f"t_{f.name}"), f.dataType).alias(f.name) for f in schema])
     tagged = parsed.withColumn("event", event).drop(*neutral.names)
