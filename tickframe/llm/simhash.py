@@ -235,9 +235,10 @@ def groups(docs: DataFrame, shingle: int = 3, radius: int = 2, tables: int = 1)
     edges = links(staged(heads.withColumnRenamed("head", "node"), "points"), radius)
     if tables > 1:
         edges = edges.union(members.join(heads, ["tab", "print"]).filter("node != head").select("node", "head"))
-    roots = nodes.select("node", "doc_id").join(components(edges), "node", "left").select(
-        "node", "doc_id", F.coalesce("root", "node").alias("root"))
-    names = roots.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    roots = staged(nodes.select("node", "doc_id").join(components(edges), "node", "left").select(
+        "node", "doc_id", F.coalesce("root", "node").alias("root")), "roots")
+    # Staged before the join: beside an aggregation Spark cannot split a large group.
+    names = staged(roots.groupBy("root").agg(F.min("doc_id").alias("component_id")), "names")
     named = roots.join(names, "root").select("node", "component_id")
     return prints.withColumn("node", node).join(named, "node").select(
         "doc_id", F.lower(F.lpad(F.hex(F.col("prints")[0]), 16, "0")).alias("fingerprint"), "component_id")
