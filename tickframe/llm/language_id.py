@@ -17,6 +17,7 @@ Repeated rows are predicted alike. Extra columns are ignored.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,6 +34,7 @@ LANDMARKS = 40        # of them, landmarks
 SAMPLE_CHARS = 20_000
 RIDGE = 0.1
 TABLE_BITS = 22       # of the table that finds an n-gram's number by its hash
+SCALE = 1_000_000_000 # of the shares by which the sample is thinned out
 ROWS = 128            # texts of a block of matrix products
 
 
@@ -110,8 +112,13 @@ class Classifier:
 
 def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> Classifier:
     """A classifier from columns text and lang, on a bounded sample per language."""
+    named = labelled.filter(F.col("lang").isNotNull())
+    counts = {r["lang"]: r["n"] for r in named.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    # Thin out by hash before the ranking, to some eight times the rows asked for, however many there are.
+    share = {lang: min(SCALE, 8 * per_language * SCALE // n + 1) for lang, n in counts.items()}
+    thin = F.pmod(F.xxhash64("text"), F.lit(SCALE)) < F.element_at(F.from_json(F.lit(json.dumps(share)), "map<string, long>"), F.col("lang"))
     order = Window.partitionBy("lang").orderBy(F.xxhash64("text"), "text")
-    sample = labelled.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & (F.length("text") <= SAMPLE_CHARS)).select(
+    sample = named.filter(thin & F.col("text").rlike(r"\p{L}") & (F.length("text") <= SAMPLE_CHARS)).select(
         "text", "lang").withColumn("place", F.row_number().over(order)).filter(F.col("place") <= per_language)
     rows = sorted((r["lang"], r["place"], r["text"]) for r in sample.collect())
     return Classifier([r[2] for r in rows], [r[0] for r in rows])
