@@ -24,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickframe.llm.common import staged
@@ -257,12 +257,7 @@ def one_per_group(docs: DataFrame, shingle: int = 5, radius: int = 3, tables: in
     chosen = groups(docs.filter(F.col("doc_id").isNotNull()), shingle, radius, tables).filter(
         "doc_id = component_id").select(F.col("doc_id").alias("chosen_id")).distinct()
     kept = docs.join(chosen, docs["doc_id"] == F.col("chosen_id"), "left_semi")
-    first = F.row_number().over(_rows_of_an_id())
+    first = F.row_number().over(Window.partitionBy("row.doc_id").orderBy("row.text"))
     kept = kept.select(F.struct(*docs.columns).alias("row")).withColumn("place", first).filter("place = 1")
     return kept.select("row.*").union(docs.filter(F.col("doc_id").isNull()))
 
-
-def _rows_of_an_id():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("row.doc_id").orderBy("row.text")
