@@ -27,7 +27,8 @@ from pyspark.sql import functions as F
 
 SHARD = 32_768  # candidates of a shard
 BLOCK = 256     # queries of a block
-SEGMENTS = 12   # segments of a dimension
+SEGMENTS = 6    # segments of a dimension
+RESCORED = 3    # a search may stop when at most one in so many candidates is still possible
 
 
 def whole(vector: Column, scale: int = 256) -> Column:
@@ -45,8 +46,10 @@ class Index:
         self.ids, self.vectors = ids[order], vectors[order]
         n, dims = self.vectors.shape
         cuts = np.unique(np.linspace(0, n, min(SEGMENTS, n) + 1).astype(int))
-        self.order = np.argsort(-self.vectors, axis=0, kind="stable")
-        values = np.take_along_axis(self.vectors, self.order, axis=0)
+        order = np.argsort(-self.vectors, axis=0, kind="stable")
+        values = np.take_along_axis(self.vectors, order, axis=0)
+        #: Postings of a dimension lie side by side.
+        self.members, self.values = np.ascontiguousarray(order.T), np.ascontiguousarray(values.T)
         #: Per segment and dimension the largest value (``top``) and the smallest one (``low``).
         self.starts, self.stops = cuts[:-1], cuts[1:]
         self.top, self.low = values[self.starts], values[self.stops - 1]
@@ -72,15 +75,15 @@ class Index:
         for step, at in enumerate(queue):
             row, j = divmod(int(at), dims)
             s = row if up[j] else segments - 1 - row
-            members = self.order[self.starts[s]:self.stops[s], j]
-            score[members] += self.vectors[members, j] * query[j] - floor[j]
+            part = slice(self.starts[s], self.stops[s])
+            score[self.members[j, part]] += self.values[j, part] * query[j] - floor[j]
             left[j] = impact[row + 1, j] if row + 1 < segments else 0
             if step + 1 >= check or step + 1 == bound:
                 check = step + 1 + dims
                 alive = score[allowed]
                 worst = np.partition(alive, len(alive) - k)[len(alive) - k]
                 possible = np.flatnonzero(allowed & (score + left.sum() >= worst))
-                if len(possible) <= max(4 * k, n // 16):
+                if len(possible) <= max(4 * k, n // RESCORED):
                     break
         exact = self.vectors[possible] @ query
         chosen = np.lexsort((self.ids[possible], -exact))[:k]
