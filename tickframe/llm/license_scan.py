@@ -13,6 +13,7 @@ alike. Extra columns are ignored.
 from __future__ import annotations
 
 import json
+import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -93,13 +94,22 @@ def known_digests(spark, known: dict[str, str] = KNOWN) -> DataFrame:
         F.min("name").alias("license"))
 
 
+def _hint(known: dict[str, str]) -> str:
+    """A pattern that every line equal to a known text matches: the longest word of each that no spelling changes.
+
+    Lines without any of these words cannot match and are not made canonical, which costs many passes.
+    """
+    changed = {w for pair in SPELLINGS.items() for side in pair for w in side.split()}
+    words = (sorted(set(re.findall(r"[a-z0-9]+", t.lower())) - changed, key=lambda w: (-len(w), w)) for t in known.values())
+    return "|".join(sorted({w[0] for w in words if w})) or "(?!)"
+
+
 def scan(docs: DataFrame, known: dict[str, str] = KNOWN) -> DataFrame:
     """doc_id, digest, license (of the whole text, or null) and notices (names found on lines, sorted)."""
     table = known_digests(docs.sparkSession, known)
     names = table.agg(F.map_from_entries(F.collect_list(F.struct("digest", "license"))).alias("m")).first()["m"] or {}
     by_digest = F.from_json(F.lit(json.dumps(names)), "map<string, string>")
-    longest = 2 * max(map(len, known.values()), default=0)  # of a line that may be a notice
-    lines = F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda line: F.length(line) <= longest)
+    lines = F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda line: F.lower(line).rlike(_hint(known)))
     notices = F.array_sort(F.array_distinct(F.filter(
         F.transform(lines, lambda line: F.element_at(by_digest, digest(line))), lambda n: n.isNotNull())))
     found = docs.select("doc_id", digest(F.col("text")).alias("digest"), notices.alias("notices"))

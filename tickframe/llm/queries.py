@@ -144,13 +144,12 @@ def _license_sql() -> str:
         return f"trim({out})"
 
     known = ", ".join(f"({_quoted(k)}, {_quoted(v)})" for k, v in license_scan.KNOWN.items())
-    longest = 2 * max(map(len, license_scan.KNOWN.values()))
     return f"""
       WITH known AS (SELECT digest, min(name) AS license
                      FROM (SELECT name, sha256({canonical('t')}) AS digest FROM (VALUES {known}) k(name, t)) GROUP BY digest),
       lines AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents),
       found AS (SELECT doc_id, string_agg(DISTINCT license, ', ' ORDER BY license) AS notices
-                FROM (SELECT doc_id, sha256({canonical('line')}) AS digest FROM lines WHERE length(line) <= {longest})
+                FROM (SELECT doc_id, sha256({canonical('line')}) AS digest FROM lines)
                 JOIN known USING (digest) GROUP BY doc_id),
       whole AS (SELECT doc_id, {canonical('text')} AS c FROM documents)
       SELECT doc_id, CASE WHEN c <> '' THEN sha256(c) END AS digest, license, coalesce(notices, '') AS notices
