@@ -96,3 +96,24 @@ def test_one_per_group(docs, no_docs):
     assert 14 in ids and 15 not in ids and ids.count(11) == 1 and ids.count(None) == 2
     assert {9, 10, 13, 20} <= set(ids)
     assert H.one_per_group(no_docs).count() == 0 and H.groups(no_docs).count() == 0
+
+
+def test_one_per_group_finds_every_pair_of_similarity_08(spark):
+    rng = random.Random(21)
+    texts = []
+    for k in range(60):  # pairs at 0.75 to 0.95, by words changed in one place or in several
+        words = [f"q{rng.randrange(5000)}" for _ in range(rng.randrange(80, 240))]
+        other = list(words)
+        for p in rng.sample(range(len(words)), max(1, round(len(words) * rng.uniform(0.005, 0.03)))):
+            other[p] = "changed"
+        texts += [" ".join(words), " ".join(other)]
+    common = [f"line{k}" for k in range(30)]
+    texts += [" ".join(common + [f"z{rng.randrange(5000)}" for _ in range(60)]) for _ in range(40)]
+    sets = [set(H.shingle_hashes(t, 5).tolist()) for t in texts]
+    alike = [(a, b) for a in range(len(sets)) for b in range(a + 1, len(sets))
+             if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    assert len(alike) > 20
+    kept = {r.doc_id for r in H.one_per_group(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert not any(b in kept for _, b in alike)
+    assert kept >= set(range(len(texts))) - {b for _, b in alike} - {
+        b for a in range(0, 120, 2) for b in (a + 1,) if 10 * len(sets[a] & sets[b]) >= 6 * len(sets[a] | sets[b])}

@@ -8,6 +8,10 @@
 4. A shard goes on splitting by the same rule and compares the rest exactly. It returns one link per point
    and leaf (to the smallest point reachable there), so a large group never emits its pairs.
 5. Links become groups by alternating large-star and small-star steps, each a grouped minimum and a join.
+6. ``one_per_group`` adds the pairs that fingerprints miss. Under any fixed order of shingles two sets that
+   are ALIKE share one of the first n - ceil(ALIKE n) + 1 shingles of both, so a join of these prefixes misses
+   no pair; each is confirmed by its exact Jaccard similarity. Frequent shingles of a sample come last in
+   the order: that saves candidates and loses none.
 
 Nothing but the sample and two sums per step reaches the driver; the steps are staged in the shared folder.
 
@@ -24,7 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickframe.llm.common import staged
@@ -36,6 +40,9 @@ SAMPLE = 32_768  # points the upper tree is built from
 SHARD = 6_000    # points a shard should hold
 DEAL = 20_000    # points a task sends to shards at once
 LEAF = 384       # points compared all with all
+ALIKE = (4, 5)   # least Jaccard similarity of near copies, as a fraction
+MARK_BITS = 24   # of the bit tables that filter before a join
+FREQUENT = (20_000, 4, 100_000)  # sampled documents, of them hold a frequent shingle at least, most such shingles
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
 
 
@@ -219,16 +226,9 @@ def components(edges: DataFrame) -> DataFrame:
         now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def groups(docs: DataFrame, shingle: int = 3, radius: int = 2, tables: int = 1) -> DataFrame:
-    """doc_id, fingerprint (hex, of the first table) and component_id (the smallest doc_id of the group).
-
-    Documents are linked if the fingerprints of any table differ in at most ``radius`` bits. More tables,
-    each with its own hash, find more of the near copies whose distance varies around the radius.
-    """
-    prints = staged(fingerprints(docs, shingle, tables), "prints")
-    # Rows with the same fingerprints in all tables are one node; with one table that is the fingerprint.
-    node = F.col("prints")[0] if tables == 1 else F.xxhash64("prints")
-    nodes = prints.groupBy(node.alias("node"), "prints").agg(F.min("doc_id").alias("doc_id"))
+def _named(prints: DataFrame, radius: int, tables: int) -> DataFrame:
+    """node and component_id for every node of a staged table of doc_id, prints and node."""
+    nodes = prints.groupBy("node", "prints").agg(F.min("doc_id").alias("doc_id"))
     nodes = staged(nodes, "nodes")
     members = nodes.select("node", F.posexplode("prints").alias("tab", "print"))
     heads = members.groupBy("tab", "print").agg(F.min("node").alias("head"))
@@ -239,25 +239,183 @@ def groups(docs: DataFrame, shingle: int = 3, radius: int = 2, tables: int = 1)
         "node", "doc_id", F.coalesce("root", "node").alias("root")), "roots")
     # Staged before the join: beside an aggregation Spark cannot split a large group.
     names = staged(roots.groupBy("root").agg(F.min("doc_id").alias("component_id")), "names")
-    named = roots.join(names, "root").select("node", "component_id")
-    return prints.withColumn("node", node).join(named, "node").select(
+    return roots.join(names, "root").select("node", "component_id")
+
+
+def _node(tables: int) -> Column:
+    """Rows with the same fingerprints in all tables are one node; with one table that is the fingerprint."""
+    return F.col("prints")[0] if tables == 1 else F.xxhash64("prints")
+
+
+def groups(docs: DataFrame, shingle: int = 3, radius: int = 2, tables: int = 1) -> DataFrame:
+    """doc_id, fingerprint (hex, of the first table) and component_id (the smallest doc_id of the group).
+
+    Documents are linked if the fingerprints of any table differ in at most ``radius`` bits. More tables,
+    each with its own hash, find more of the near copies whose distance varies around the radius.
+    """
+    prints = staged(fingerprints(docs, shingle, tables), "prints").withColumn("node", _node(tables))
+    return prints.join(_named(prints, radius, tables), "node").select(
         "doc_id", F.lower(F.lpad(F.hex(F.col("prints")[0]), 16, "0")).alias("fingerprint"), "component_id")
 
 
+# --- pairs by exact similarity ----------------------------------------------------------------
+
+def _set_key(found: np.ndarray) -> int:
+    """Names a sorted set of shingles, as a signed 64-bit integer."""
+    return int(np.uint64(xxhash.xxh64_intdigest(found.tobytes(), SEED)).view(np.int64))
+
+
+def frequent_shingles(docs: DataFrame, shingle: int) -> np.ndarray:
+    """Shingles that many documents of a bounded sample hold, sorted."""
+    size, least, most = FREQUENT
+    share = int(min(1.0, size / max(docs.count(), 1)) * 1_000_000) + 1
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [np.unique(shingle_hashes(text, shingle)) for text in batch["text"]]
+            if found:
+                held, n = np.unique(np.concatenate(found), return_counts=True)
+                yield pd.DataFrame({"h": held.view(np.int64), "n": n})
+
+    picked = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share).select("text")
+    counted = picked.mapInPandas(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
+    top = counted.orderBy(F.desc("n"), "h").limit(most).select("h").collect()
+    return np.sort(np.array([r[0] for r in top], dtype=np.int64).view(np.uint64))
+
+
+def _prefix(found: np.ndarray, frequent: np.ndarray) -> np.ndarray:
+    """The first shingles of a sorted set, frequent ones last, of which two sets that are ALIKE share one."""
+    if len(frequent):
+        late = frequent[np.minimum(np.searchsorted(frequent, found), len(frequent) - 1)] == found
+        found = np.concatenate([found[~late], found[late]])
+    least = -(-ALIKE[0] * len(found) // ALIKE[1])
+    return found[: len(found) - least + 1]
+
+
+def signed(docs: DataFrame, shingle: int, tables: int, frequent: np.ndarray) -> DataFrame:
+    """doc_id, prints, and of the set of shingles its key, size and prefix."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for text in batch["text"]:
+                hashes = shingle_hashes(text, shingle)
+                found = np.unique(hashes)
+                out.append(([fingerprint(_rehashed(hashes, t)) for t in range(tables)], _set_key(found), len(found),
+                            _prefix(found, frequent).view(np.int64)))
+            yield pd.DataFrame(out, columns=["prints", "key", "n", "prefix"]).assign(id=batch["id"].to_numpy())[
+                ["id", "prints", "key", "n", "prefix"]]
+
+    made = docs.select(F.col("doc_id").cast("string").alias("id"), "text").mapInPandas(
+        run, "id string, prints array<long>, key long, n int, prefix array<long>")
+    return made.select(F.col("id").cast("long").alias("doc_id"), "prints", "key", "n", "prefix")
+
+
+def _marks(hashes: DataFrame) -> np.ndarray:
+    """A table of 2**MARK_BITS bits with those of the hashes in column h set; a filter before an exact join."""
+    rest = F.shiftrightunsigned("h", 64 - MARK_BITS)
+    words = hashes.groupBy(F.shiftright(rest, 6).alias("at")).agg(
+        F.expr(f"bit_or(shiftleft(1L, CAST(shiftrightunsigned(h, {64 - MARK_BITS}) & 63 AS INT)))").alias("bits")).collect()
+    table = np.zeros(1 << (MARK_BITS - 6), np.int64)
+    for r in words:
+        table[r["at"]] = r["bits"]
+    return table.view(np.uint64)
+
+
+def _marked(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    at = hashes.view(np.uint64) >> np.uint64(64 - MARK_BITS)
+    return (table[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
+def shingle_sets(docs: DataFrame, shingle: int, wanted: DataFrame) -> DataFrame:
+    """key and all shingles, once per set of ``wanted`` (key, doc_id). Texts are not shuffled."""
+    table = _marks(wanted.select(F.xxhash64("doc_id").alias("h")))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            texts = batch["text"][_marked(table, batch["h"].to_numpy(np.int64))]
+            found = [np.unique(shingle_hashes(text, shingle)) for text in texts]
+            if found:
+                yield pd.DataFrame({"key": [_set_key(f) for f in found], "shingles": [f.view(np.int64) for f in found]})
+
+    made = docs.select(F.xxhash64(F.col("doc_id").cast("long")).alias("h"), "text").mapInPandas(
+        run, "key long, shingles array<long>")
+    return made.join(wanted.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"])
+
+
+def alike_links(docs: DataFrame, prints: DataFrame, rows: DataFrame, shingle: int) -> DataFrame:
+    """(a, b) of components to merge, so that all documents ALIKE come together.
+
+    ``prints`` is a staged table of key and prefix, ``rows`` one of doc_id, component_id, key and n. First every set
+    meets the first one of each of its prefix shingles, which joins a large group without its pairs; then all
+    pairs of sets that share a prefix shingle and are still apart are compared.
+    """
+    sets = staged(rows.groupBy("key").agg(F.min("component_id").alias("comp"), F.min("n").alias("n"),
+                                          F.min("doc_id").alias("doc_id")), "sets")
+    merged = staged(rows.join(sets.select("key", "comp"), "key").filter("component_id != comp").select(
+        F.col("component_id").alias("a"), F.col("comp").alias("b")).distinct(), "merged")
+    shared = staged(prints.select("key", F.explode("prefix").alias("h")).groupBy("h").agg(
+        F.min("key").alias("low"), F.max("key").alias("high")).filter("low < high").select("h"), "shared")
+    table = _marks(shared)
+
+    def pick(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                h = np.concatenate(batch["prefix"].to_list()).astype(np.int64)
+                key = np.repeat(batch["key"].to_numpy(np.int64), [len(x) for x in batch["prefix"]])
+                held = _marked(table, h)
+                yield pd.DataFrame({"key": key[held], "h": h[held]})
+
+    entries = prints.select("key", "prefix").mapInPandas(pick, "key long, h long").distinct()
+    entries = staged(entries.join(shared, "h"), "entries").join(sets.select("key", "comp", "n"), "key")
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        pairs = staged(pairs.filter(F.least("n", "m") * ALIKE[1] >= F.greatest("n", "m") * ALIKE[0]).select(
+            "key", "other", "comp", "other_comp").distinct(), "pairs")
+        keys = pairs.select("key").union(pairs.select("other")).distinct()
+        full = staged(shingle_sets(docs, shingle, staged(sets.join(keys, "key", "left_semi").select("key", "doc_id"), "ids")), "full")
+        both = pairs.join(full, "key").join(full.select(F.col("key").alias("other"), F.col("shingles").alias("others")), "other")
+        inter = F.size(F.array_intersect("shingles", "others"))
+        return both.filter(inter * ALIKE[1] >= (F.size("shingles") + F.size("others") - inter) * ALIKE[0]).select(
+            F.col("comp").alias("a"), F.col("other_comp").alias("b"))
+
+    def apart(held: DataFrame, edges: DataFrame) -> DataFrame:
+        """The entries under their new components, of shingles that still hold two."""
+        roots = components(edges).distinct()
+        held = staged(held.join(roots.withColumnRenamed("node", "comp"), "comp", "left").select(
+            "key", "n", "h", F.coalesce("root", "comp").alias("comp")), "entries")
+        left = staged(held.groupBy("h").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter(
+            "low < high").select("h"), "apart")
+        return held.join(left, "h")
+
+    other = F.struct(F.col("comp").alias("other_comp"), F.col("key").alias("other"), F.col("n").alias("m"))
+    held = staged(apart(entries, merged), "entries")
+    first = staged(held.groupBy("h").agg(F.min(other).alias("o")).select("h", "o.*"), "firsts")
+    linked = staged(confirmed(held.join(first, "h").filter("comp != other_comp")), "linked")
+    held = staged(apart(held, linked), "entries")
+    pairs = held.join(held.select("h", other.alias("o")).select("h", "o.*"), "h").filter("comp < other_comp")
+    return staged(merged.union(linked).union(confirmed(pairs)), "alike")
+
+
 def one_per_group(docs: DataFrame, shingle: int = 5, radius: int = 3, tables: int = 10) -> DataFrame:
     """The documents with the smallest doc_id of their group, with all their columns.
 
-    Near copies whose shingles are 0.8 alike and more differ in four to nine of 64 bits. A radius that wide
-    leaves a tree nothing to prune (5 bits cost 50 times as much as 3), so it is ten independent tables
-    that find them: a pair is linked if any of its ten fingerprints is within 3 bits. Texts that are not
-    near copies are not linked: unrelated ones never come that close, and half-alike ones hardly ever.
+    Near copies whose shingles are 0.8 alike differ in some ten of 64 bits. A radius that wide leaves a tree
+    nothing to prune (5 bits cost 50 times as much as 3), so ten independent tables of radius 3 only join
+    the nearer copies, most pairs of 0.95 and more; ``alike_links`` finds all others of 0.8 and more.
 
     Of rows that share this id the first by text stays; rows without an id stay as they are.
     """
-    chosen = groups(docs.filter(F.col("doc_id").isNotNull()), shingle, radius, tables).filter(
-        "doc_id = component_id").select(F.col("doc_id").alias("chosen_id")).distinct()
+    named_docs = docs.filter(F.col("doc_id").isNotNull())
+    prints = staged(signed(named_docs, shingle, tables, frequent_shingles(named_docs, shingle)), "prints")
+    rows = prints.withColumn("node", _node(tables))
+    named = staged(_named(rows.select("doc_id", "prints", "node"), radius, tables), "named")
+    rows = staged(rows.select("doc_id", "key", "n", "node").join(named, "node").drop("node"), "rows")
+    # A component is named by its smallest doc_id, so the root of merged ones is the smallest of them all.
+    gone = components(alike_links(named_docs, prints, rows, shingle)).filter("node != root").select(F.col("node").alias("doc_id"))
+    chosen = rows.filter("doc_id = component_id").select("doc_id").distinct().join(gone, "doc_id", "left_anti").select(
+        F.col("doc_id").alias("chosen_id"))
     kept = docs.join(chosen, docs["doc_id"] == F.col("chosen_id"), "left_semi")
     first = F.row_number().over(Window.partitionBy("row.doc_id").orderBy("row.text"))
     kept = kept.select(F.struct(*docs.columns).alias("row")).withColumn("place", first).filter("place = 1")
     return kept.select("row.*").union(docs.filter(F.col("doc_id").isNull()))
-
