@@ -41,3 +41,21 @@ def test_nothing_to_learn_from(spark, docs, no_docs):
     empty = docs.withColumn("lang", G.F.lit(None).cast("string"))
     assert {r.lang_pred for r in G.predict(empty).collect()} == {"und"}
     assert G.predict(no_docs).count() == 0
+
+
+def test_sample_is_of_distinct_texts_and_holds_long_ones(spark, monkeypatch):
+    seen = {}
+
+    class Spy(G.Classifier):
+        def __init__(self, texts, languages, *rest):
+            for t, lang in zip(texts, languages):
+                seen.setdefault(lang, []).append(t)
+            super().__init__(texts, languages, *rest)
+
+    monkeypatch.setattr(G, "Classifier", Spy)
+    rows = [(f"karo mito {k}", "aa") for k in range(12) for _ in range(400)]
+    rows += [(f"schver lich {k} " * 3000, "bb") for k in range(5)]
+    model = G.fit(spark.createDataFrame(rows, "text string, lang string"), 20)
+    assert sorted(seen["aa"]) == sorted(f"karo mito {k}" for k in range(12))
+    assert len(seen["bb"]) == 5 and all(len(t) <= G.SAMPLE_CHARS + G.PIECES for t in seen["bb"])
+    assert model.predict(["schver lich", "karo mito"])[0] == ["bb", "aa"]

@@ -5,8 +5,8 @@ of the product of their own counts (blended spectrum, presence only; n-grams are
 Landmarks are a few training texts per language. Every text is mapped to its kernel values with them,
 whitened by the landmarks' own kernel matrix, and one ridge regression per language scores the result.
 
-Training takes a bounded sample: PER_LANGUAGE texts of at most SAMPLE_CHARS characters per language, by
-the hash of their text. Prediction reads whole texts in Arrow batches: n-grams are hashed and looked up by
+Training takes a bounded sample: PER_LANGUAGE distinct texts per language, by the hash of their text; of a text
+longer than SAMPLE_CHARS that many characters, in PIECES spread over it. Prediction reads whole texts in Arrow batches: n-grams are hashed and looked up by
 array operations, and a block of texts is scored by two matrix products. No shuffle but of the sample.
 
 Edge cases: null texts, empty ones and those without a letter are ``und`` with score 0. A null lang is
@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickframe.llm.common import remainder
@@ -32,6 +32,7 @@ SPAN = 3              # longest n-gram, in characters
 PER_LANGUAGE = 300    # training texts of a language
 LANDMARKS = 40        # of them, landmarks
 SAMPLE_CHARS = 20_000
+PIECES = 20           # of a longer text
 RIDGE = 0.1
 TABLE_BITS = 22       # of the table that finds an n-gram's number by its hash
 SCALE = 1_000_000_000 # of the shares by which the sample is thinned out
@@ -110,16 +111,27 @@ class Classifier:
         return names, scores
 
 
+def excerpt(text: Column) -> Column:
+    """The text, or PIECES of it spread from its start to its end if it is longer than SAMPLE_CHARS."""
+    size = SAMPLE_CHARS // PIECES
+    pieces = F.transform(F.sequence(F.lit(0), F.lit(PIECES - 1)), lambda k: F.substring(
+        text, (F.lit(1) + F.floor(k * (F.length(text) - size) / (PIECES - 1))).cast("int"), F.lit(size)))
+    return F.when(F.length(text) <= SAMPLE_CHARS, text).otherwise(F.array_join(pieces, " "))
+
+
 def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> Classifier:
     """A classifier from columns text and lang, on a bounded sample per language."""
-    named = labelled.filter(F.col("lang").isNotNull())
-    counts = {r["lang"]: r["n"] for r in named.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    # Thin out by hash before the ranking, to some eight times the rows asked for, however many there are.
+    named = labelled.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select(
+        "lang", "text", F.xxhash64("text").alias("hash"))
+    # Copies count once, here and below: a text is one text however often a language repeats it.
+    counts = {r["lang"]: r["n"] for r in named.select("lang", "hash").distinct().groupBy("lang").agg(
+        F.count("*").alias("n")).collect()}
+    # Thin out by hash before the ranking, to some eight times the texts asked for, however many there are.
     share = {lang: min(SCALE, 8 * per_language * SCALE // n + 1) for lang, n in counts.items()}
-    thin = F.pmod(F.xxhash64("text"), F.lit(SCALE)) < F.element_at(F.from_json(F.lit(json.dumps(share)), "map<string, long>"), F.col("lang"))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("text"), "text")
-    sample = named.filter(thin & F.col("text").rlike(r"\p{L}") & (F.length("text") <= SAMPLE_CHARS)).select(
-        "text", "lang").withColumn("place", F.row_number().over(order)).filter(F.col("place") <= per_language)
+    thin = F.pmod("hash", F.lit(SCALE)) < F.element_at(F.from_json(F.lit(json.dumps(share)), "map<string, long>"), F.col("lang"))
+    distinct = named.filter(thin).groupBy("lang", "hash").agg(F.min(excerpt(F.col("text"))).alias("text"))
+    order = Window.partitionBy("lang").orderBy("hash")
+    sample = distinct.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= per_language)
     rows = sorted((r["lang"], r["place"], r["text"]) for r in sample.collect())
     return Classifier([r[2] for r in rows], [r[0] for r in rows])
 
