@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickframe.llm import (
-    byte_bpe, language_id, license_scan, mixing, ngram_lm, quality_rules, simhash, substring_dedup, topk, url_filter)
+    byte_bpe, fim, language_id, license_scan, mixing, ngram_join, ngram_lm, pivot_codes, quality_rules, simhash, substring_dedup,
+    topk, url_filter)
 from tickframe.llm.common import small_batches, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -83,6 +84,21 @@ def op10_ngram_lm(spark, sf_dir):
     return ngram_lm.score(table(spark, sf_dir, "documents"))
 
 
+@query
+def op11_fim(spark, sf_dir):
+    return fim.digests(table(spark, sf_dir, "documents"))
+
+
+@query
+def op12_pivot_codes(spark, sf_dir):
+    return pivot_codes.digests(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op13_ngram_join(spark, sf_dir):
+    return ngram_join.groups(table(spark, sf_dir, "documents"))
+
+
 # --- SQL --------------------------------------------------------------------------------------
 # Learned rules (2, 4), models (3, 10), fingerprints (6) and tokenizing (8) are beyond SQL; they are tested
 # against brute force, round trips and held-out accuracy.
@@ -166,8 +182,74 @@ _TOPK_SQL = """
   FROM pairs QUALIFY rank <= 5"""
 
 
+_FIM_SQL = """
+  WITH d AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n,
+                    sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+  drawn AS (SELECT doc_id, t, n, CAST('0x' || h[1:8] AS UBIGINT) % (n + 1) AS a, CAST('0x' || h[9:16] AS UBIGINT) % (n + 1) AS b,
+                   CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>')
+                          OR CAST('0x' || h[17:24] AS UBIGINT) % 100 >= 90 THEN 'plain'
+                        WHEN CAST('0x' || h[25:32] AS UBIGINT) % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM d),
+  cut AS (SELECT *, CAST(least(a, b) AS BIGINT) AS x, CAST(greatest(a, b) AS BIGINT) AS y FROM drawn),
+  made AS (SELECT *, CASE form WHEN 'plain' THEN t
+                       WHEN 'psm' THEN '<P>' || substr(t, 1, x) || '<S>' || substr(t, y + 1, n - y) || '<M>' || substr(t, x + 1, y - x)
+                       ELSE '<S>' || substr(t, y + 1, n - y) || '<P>' || substr(t, 1, x) || '<M>' || substr(t, x + 1, y - x) END AS o
+           FROM cut),
+  read AS (SELECT *, strpos(o, '<P>') AS p, strpos(o, '<S>') AS s, strpos(o, '<M>') AS m, length(o) AS l FROM made)
+  SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN x END AS prefix_chars,
+         CASE WHEN form <> 'plain' THEN y - x END AS middle_chars, sha256(o) AS output_sha256,
+         sha256(CASE form WHEN 'plain' THEN o
+                  WHEN 'psm' THEN substr(o, p + 3, s - p - 3) || substr(o, m + 3, l - m - 2) || substr(o, s + 3, m - s - 3)
+                  ELSE substr(o, p + 3, m - p - 3) || substr(o, m + 3, l - m - 2) || substr(o, s + 3, p - s - 3) END) AS restored_sha256
+  FROM read"""
+
+
+def _codes_sql() -> str:
+    """Every distance of every round, as whole numbers held exactly in doubles."""
+    def nearest(book: str) -> str:
+        return f"""SELECT vec_id, j, any_value(x) AS x, min(struct_pack(
+                     d := list_inner_product(x, x) - 2 * list_inner_product(x, e) + list_inner_product(e, e), k := k)) AS m
+                   FROM p JOIN {book} USING (j) GROUP BY vec_id, j"""
+
+    rounds = "".join(f"""
+      a{r} AS MATERIALIZED ({nearest(f"b{r - 1}")}),
+      s{r} AS (SELECT j, k, list(t ORDER BY i) AS e
+               FROM (SELECT j, m.k AS k, i, floor(sum(x[i]) / count(*)) AS t FROM a{r}, range(1, len(x) + 1) c(i) GROUP BY ALL) GROUP BY j, k),
+      b{r} AS MATERIALIZED (SELECT j, k, coalesce(s.e, b.e) AS e FROM b{r - 1} b LEFT JOIN s{r} s USING (j, k)),"""
+                     for r in range(1, pivot_codes.ROUNDS + 1))
+    last = f"b{pivot_codes.ROUNDS}"
+    return f"""
+      WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: floor({pivot_codes.SCALE} * CAST(x AS DOUBLE))) AS v FROM embeddings
+                 WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+      p AS MATERIALIZED (SELECT vec_id, label, j, v[j * len(v) // 4 + 1:(j + 1) * len(v) // 4] AS x FROM v, range(4) r(j)),
+      b0 AS MATERIALIZED (SELECT j, row_number() OVER (PARTITION BY j ORDER BY vec_id) - 1 AS k, x AS e FROM p
+                          QUALIFY k < {pivot_codes.ENTRIES}),{rounds}
+      coded AS (SELECT vec_id, string_agg(format('{{:02x}}', m.k), '' ORDER BY j) AS code, CAST(sum(m.d) AS BIGINT) AS error
+                FROM ({nearest(last)}) GROUP BY vec_id),
+      books AS (SELECT sha256(string_agg(CAST(CAST(t AS BIGINT) AS VARCHAR), ',' ORDER BY j, k, i)) AS codebooks_sha256
+                FROM (SELECT j, k, e[i] AS t, i FROM {last}, range(1, len(e) + 1) c(i)))
+      SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
+      FROM coded JOIN v USING (vec_id), books"""
+
+
+_JOIN_SQL = r"""
+  WITH RECURSIVE d AS (
+    SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+             'abcdefghijklmnopqrstuvwxyz'), '[ 	-]+'), lambda x: x <> '') AS w FROM documents),
+  g AS MATERIALIZED (
+    SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+             ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) END) AS g FROM d),
+  s AS MATERIALIZED (SELECT doc_id, len(g) AS n, unnest(g) AS h FROM g),
+  pairs AS MATERIALIZED (
+    SELECT a.doc_id AS a, b.doc_id AS b FROM s a JOIN s b ON a.h = b.h AND a.doc_id < b.doc_id
+    GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+  near AS MATERIALIZED (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs),
+  r(doc_id, other) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.doc_id, near.b FROM r JOIN near ON near.a = r.other)
+  SELECT g.doc_id, CAST(len(g.g) AS BIGINT) AS n_shingles, c.component_id
+  FROM g JOIN (SELECT doc_id, min(other) AS component_id FROM r GROUP BY doc_id) c USING (doc_id)"""
+
+
 def all_oracles() -> dict[str, str]:
     return {
         "op1_substring_dedup": _substring_sql(), "op5_mixing": _mixing_sql(), "op7_license_scan": _license_sql(),
-        "op9_topk": _TOPK_SQL,
+        "op9_topk": _TOPK_SQL, "op11_fim": _FIM_SQL, "op12_pivot_codes": _codes_sql(), "op13_ngram_join": _JOIN_SQL,
     }
