@@ -105,6 +105,18 @@ def test_signatures_never_miss():
         assert ok and max(ok) * 185 >= total * 85, (trial, n, gone, new)
 
 
+def test_parities_never_rule_out_too_much():
+    rng = np.random.default_rng(8)
+    for n in (6, 40, 127, 128, 300, 1023, 1024, 5000):
+        base = rng.integers(0, 2**63, n + n // 6 + 1).astype(np.uint64)
+        a, b = np.unique(base[:n]), np.unique(base[n // 12:])
+        x, y = (J.parities(s).view(np.uint64) for s in (a, b))
+        if len(x) != len(y):
+            x, y = sorted((x, y), key=len)
+            y = y[:len(x)] ^ y[len(x):]
+        assert int(np.bitwise_count(x ^ y).sum()) <= len(np.setxor1d(a, b))
+
+
 def test_counts_are_low_by_little():
     rng = np.random.default_rng(1)
     stream = np.concatenate([np.repeat(np.arange(5, dtype=np.uint64), 400), rng.integers(10, 4000, 6000).astype(np.uint64)])

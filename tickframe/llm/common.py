@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickframe.session import fresh_path, prepare
+from tickframe.sources.files import remove
 
 #: The characters between words; words are everything else. ``bytes.split()`` splits at the same ones.
 SPACES = " \t\n\x0b\x0c\r"
@@ -24,7 +25,15 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     """
     path = fresh_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.staged_path = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Remove staged tables that nothing reads any more."""
+    for df in frames:
+        remove(df.sparkSession, df.staged_path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -14,10 +14,12 @@ ALIKE / (1 + ALIKE) * (n + m) of them; then each shares all but t = n - ceil(ALI
    have partners in the next class is indexed for both.
 3. A pair's first common signature bounds what it can share: the tokens after it, and k - 1 per section before. Each
    signature carries this reach, so a pair that cannot meet the bound is left out before anything is compared.
-4. Sets that share a signature are first compared with one leader each, which joins a group of near copies without
+4. Every set has a bit map of the parities of its tokens' slots. Two maps differ in no more bits than the sets do in
+   tokens, so a pair whose maps differ too much is left out as well; what remains is compared exactly.
+5. Sets that share a signature are first compared with one leader each, which joins a group of near copies without
    its pairs; signatures whose sets are all joined drop out. After a second leader, sets that are still apart are
    compared pair by pair. Every comparison counts the exact intersection of the sets.
-5. Equal sets are one node from the start; links become groups by the star steps of ``simhash.components``.
+6. Equal sets are one node from the start; links become groups by the star steps of ``simhash.components``.
 
 Only the table of frequent tokens and two sums per star step reach the driver. Results equal those of comparing all pairs,
 unless two different n-grams that meet in one comparison share their 64-bit hash.
@@ -40,7 +42,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickframe.llm.common import staged
+from tickframe.llm.common import discard, staged
 from tickframe.llm.simhash import components, shingle_hashes
 
 ALIKE = (85, 100)
@@ -176,8 +178,18 @@ def section_count(size_class: int) -> int:
     return max(1, errors(1 << (size_class - 1)) // SECTION)
 
 
+def parities(found: np.ndarray) -> np.ndarray:
+    """One bit per slot, set if an odd number of tokens falls into it; two to four slots per token, 256 at least.
+
+    Slots are the lowest bits of a token, so the map of a larger size class folds onto that of a smaller one.
+    """
+    slots = max(256, 2 << len(found).bit_length())
+    odd = np.bincount((found & np.uint64(slots - 1)).astype(np.int64), minlength=slots) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def _signed(docs: DataFrame, shingle: int, frequent: Frequent) -> DataFrame:
-    """doc_id, key, n, signatures and reach of every row."""
+    """doc_id, key, n, signatures, reach and map of parities of every row."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -185,14 +197,14 @@ def _signed(docs: DataFrame, shingle: int, frequent: Frequent) -> DataFrame:
             for text in batch["text"]:
                 found = np.unique(shingle_hashes(text, shingle))
                 sigs, reach = signatures(found, frequent)
-                rows.append((set_key(found), len(found), sigs.view(np.int64), reach.astype(np.int32)))
-            yield pd.DataFrame(rows, columns=["key", "n", "sigs", "reach"]).assign(id=batch["id"].to_numpy())[
-                ["id", "key", "n", "sigs", "reach"]]
+                rows.append((set_key(found), len(found), sigs.view(np.int64), reach.astype(np.int32), parities(found)))
+            names = ["key", "n", "sigs", "reach", "odd"]
+            yield pd.DataFrame(rows, columns=names).assign(id=batch["id"].to_numpy())[["id", *names]]
 
     # Ids go through pandas as text, since a batch with a null would turn them to floats.
     made = docs.select(F.col("doc_id").cast("string").alias("id"), "text").mapInPandas(
-        run, "id string, key long, n long, sigs array<long>, reach array<int>")
-    return made.select(F.col("id").cast("long").alias("doc_id"), "key", "n", "sigs", "reach")
+        run, "id string, key long, n long, sigs array<long>, reach array<int>, odd array<long>")
+    return made.select(F.col("id").cast("long").alias("doc_id"), "key", "n", "sigs", "reach", "odd")
 
 
 def _marks(hashes: DataFrame) -> np.ndarray:
@@ -221,15 +233,38 @@ def _sets(docs: DataFrame, shingle: int, wanted: DataFrame) -> DataFrame:
     return made.join(wanted.select("key"), "key", "left_semi").dropDuplicates(["key"])
 
 
-def _verified(docs: DataFrame, shingle: int, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The pairs (key, other) that are alike."""
-    pairs = staged(pairs.distinct(), "pairs")
+def _folded(bits: Column, longs: Column) -> Column:
+    """A map of parities, or that of twice the size folded to so many longs."""
+    halves = F.zip_with(F.slice(bits, 1, longs), F.slice(bits, longs + 1, longs), lambda x, y: x.bitwiseXOR(y))
+    return F.when(F.size(bits) > longs, halves).otherwise(bits)
+
+
+def _near(pairs: DataFrame, signed: DataFrame) -> DataFrame:
+    """The pairs whose maps of parities do not rule them out."""
     keys = pairs.select("key").union(pairs.select("other")).distinct()
-    full = staged(_sets(docs, shingle, staged(nodes.join(keys, "key", "left_semi").select("key", "mark"), "wanted")), "sets")
-    both = pairs.join(full, "key").join(full.select(F.col("key").alias("other"), F.col("tokens").alias("others")), "other")
+    maps = staged(signed.join(keys, "key", "left_semi").select("key", "n", "odd").dropDuplicates(["key"]), "maps")
+    both = pairs.join(maps, "key").join(maps.toDF("other", "m", "others"), "other")
+    longs = F.least(F.size("odd"), F.size("others"))
+    differ = F.aggregate(F.zip_with(_folded(F.col("odd"), longs), _folded(F.col("others"), longs), lambda x, y: F.bit_count(x.bitwiseXOR(y))),
+                         F.lit(0), lambda a, x: a + x).cast("long")
+    near = staged(both.filter(differ * sum(ALIKE) <= (F.col("n") + F.col("m")) * (ALIKE[1] - ALIKE[0])).select("key", "other"), "near")
+    discard(maps)
+    return near
+
+
+def _verified(docs: DataFrame, shingle: int, pairs: DataFrame, signed: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs (key, other) that are alike, as a staged table."""
+    pairs = staged(pairs.distinct(), "pairs")
+    near = _near(pairs, signed)
+    keys = near.select("key").union(near.select("other")).distinct()
+    wanted = staged(nodes.join(keys, "key", "left_semi").select("key", "mark"), "wanted")
+    full = staged(_sets(docs, shingle, wanted), "sets")
+    both = near.join(full, "key").join(full.select(F.col("key").alias("other"), F.col("tokens").alias("others")), "other")
     shared = F.size(F.array_intersect("tokens", "others")).cast("long")
     total = F.size("tokens").cast("long") + F.size("others")
-    return both.filter(shared * sum(ALIKE) >= total * ALIKE[0]).select("key", "other")
+    alike = staged(both.filter(shared * sum(ALIKE) >= total * ALIKE[0]).select("key", "other"), "alike")
+    discard(pairs, near, wanted, full)
+    return alike
 
 
 def _possible() -> Column:
@@ -242,7 +277,7 @@ def _possible() -> Column:
 def links(docs: DataFrame, signed: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
     """(key, other) of alike sets, enough of them to connect all that is connected.
 
-    ``signed`` is a staged table of key, n, sigs and reach, ``nodes`` one of key and mark.
+    ``signed`` is a staged table of key, n, sigs, reach and odd, ``nodes`` one of key and mark.
     """
     entries = signed.select("key", "n", F.explode(F.arrays_zip("sigs", "reach")).alias("e")).select(
         F.col("e.sigs").alias("sig"), "key", "n", F.col("e.reach").alias("reach"))
@@ -251,18 +286,21 @@ def links(docs: DataFrame, signed: DataFrame, nodes: DataFrame, shingle: int) ->
     met = staged(met, "met")
     held = staged(entries.join(met, "sig").groupBy("sig", "key", "n").agg(F.max("reach").alias("reach")).withColumn(
         "comp", F.col("key")), "entries")
+    discard(met)
     other = F.struct(F.col("key").alias("other"), F.col("n").alias("m"), F.col("reach").alias("other_reach"),
                      F.col("comp").alias("other_comp"))
+    ordered = (F.least("key", "other").alias("key"), F.greatest("key", "other").alias("other"))
     found: list[DataFrame] = []
     for turn in range(LEADERS):
         leader = staged(held.groupBy("sig").agg(F.min_by(other, F.xxhash64("comp", F.lit(turn))).alias("o")).select("sig", "o.*"), "leaders")
-        pairs = held.join(leader, "sig").filter("comp != other_comp").filter(_possible())
-        pairs = pairs.select(F.least("key", "other").alias("key"), F.greatest("key", "other").alias("other"))
-        found.append(staged(_verified(docs, shingle, pairs, nodes), "alike"))
+        pairs = held.join(leader, "sig").filter("comp != other_comp").filter(_possible()).select(*ordered)
+        found.append(_verified(docs, shingle, pairs, signed, nodes))
+        discard(leader)
         held = _apart(held, found)
     pairs = held.join(held.select("sig", other.alias("o")).select("sig", "o.*"), "sig").filter("comp < other_comp").filter(
-        _possible()).select(F.least("key", "other").alias("key"), F.greatest("key", "other").alias("other"))
-    found.append(staged(_verified(docs, shingle, pairs, nodes), "alike"))
+        _possible()).select(*ordered)
+    found.append(_verified(docs, shingle, pairs, signed, nodes))
+    discard(held)
     return _all(found)
 
 
@@ -274,12 +312,15 @@ def _all(found: list[DataFrame]) -> DataFrame:
 
 
 def _apart(held: DataFrame, found: list[DataFrame]) -> DataFrame:
-    """The entries under their groups so far, of signatures that still hold two groups."""
+    """The entries under their groups so far, of signatures that still hold two groups; ``held`` is discarded."""
     roots = components(_all(found).toDF("a", "b")).distinct()
-    held = staged(held.join(roots.select(F.col("node").alias("key"), "root"), "key", "left").select(
+    named = staged(held.drop("comp").join(roots.select(F.col("node").alias("key"), "root"), "key", "left").select(
         "sig", "key", "n", "reach", F.coalesce("root", "key").alias("comp")), "entries")
-    open_ = staged(held.groupBy("sig").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("sig"), "open")
-    return staged(held.join(open_, "sig"), "entries")
+    discard(held)
+    open_ = staged(named.groupBy("sig").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("sig"), "open")
+    left = staged(named.join(open_, "sig"), "entries")
+    discard(named, open_)
+    return left
 
 
 def groups(docs: DataFrame, shingle: int = 4, table: int = TABLE, classes: tuple[int, int] = CLASSES) -> DataFrame:
