@@ -45,6 +45,26 @@ def trades(spark: SparkSession, sf: str) -> DataFrame:
     return trades_of(table(spark, sf, "events"))
 
 
+#: Days of events that come in one batch of a replayed stream.
+BATCH_DAYS = 5
+
+
+def arrivals(spark: SparkSession, sf: str) -> DataFrame:
+    """Trades with the number of the batch they arrive in: most with their days, some one or two batches later, some
+    twice, with the same time or a later one."""
+    t = trades(spark, sf)
+    day = F.expr("trade_time div 86400000")
+    span = (day - F.lit(t.agg(F.min(day)).first()[0] or 0))
+    i, batch = F.col("trade_id"), F.expr(f"CAST(_span div {BATCH_DAYS} AS INT)")
+    first = t.withColumn("_span", span).withColumn(
+        "batch", batch + F.when(i % 13 == 0, 1).when(i % 17 == 0, 2).otherwise(0)).drop("_span")
+    hour = 3_600_000
+    later = F.when(i % 11 == 0, 0).when(i % 19 == 0, hour).when(i % 23 == 0, 100 * hour)
+    again = first.withColumn("later", later).filter("later IS NOT NULL").withColumns({
+        "trade_time": F.col("trade_time") + F.col("later"), "batch": F.col("batch") + 1}).drop("later")
+    return first.unionByName(again)
+
+
 def bars(spark: SparkSession, sf: str) -> DataFrame:
     """One-minute bars of the trades in the silver layout, without partition columns."""
     p, q = F.col("price").cast("decimal(18,2)"), F.col("quantity").cast("decimal(10,0)")
@@ -103,9 +123,12 @@ def copied(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def messages(spark: SparkSession, sf: str) -> DataFrame:
-    """Raw message text per event: trades and bars in short and long spelling, some in an
+    return messages_of(trades(spark, sf)).select("value")
+
+
+def messages_of(t: DataFrame) -> DataFrame:
+    """Raw message text per trade, with its topic: trades and bars in short and long spelling, some in an
     envelope, some malformed, some of other types and some no JSON at all."""
-    t = trades(spark, sf)
     kind, bad = F.col("trade_id") % 5, F.col("trade_id") % 17 == 0
     maker = F.col("is_buyer_maker").cast("string")
 
@@ -130,7 +153,8 @@ def messages(spark: SparkSession, sf: str) -> DataFrame:
     other = F.when(bad, F.lit("no json")).otherwise(F.lit('{"e":"depth","E":1}'))
     text = (F.when(kind == 0, wrapped).when(kind == 1, short).when(kind == 2, long)
             .when(kind == 3, bar).otherwise(other))
-    return t.select(text.alias("value"))
+    topic = F.when(kind < 3, "trades").when(kind == 3, "klines").otherwise("other")
+    return t.select(topic.alias("topic"), text.alias("value"), "trade_time")
 
 
 def bar_events(spark: SparkSession, sf: str) -> DataFrame:

@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tickframe.operators.silver import BAR_KEYS, conform, dedup_latest
-from tickframe.schemas import BRONZE_KLINE, FEATURE_COLUMNS, FEATURE_ROW, KLINE_COLUMNS, SILVER_KLINE
+from tickframe.schemas import (
+    BRONZE_KLINE, FEATURE_COLUMNS, FEATURE_ROW, KLINE_BODY, KLINE_COLUMNS, KLINE_EVENT, SILVER_KLINE,
+)
 
 
 def read_stream(
@@ -47,6 +49,23 @@ def read_bronze_klines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(BRONZE_KLINE).parquet(path).select(*KLINE_COLUMNS)
 
 
+def read_mixed_klines(spark: SparkSession, path: str) -> DataFrame:
+    """Bronze bars of one prefix that holds history files (flat) and landed live events (nested), in one scan.
+
+    The layout is that of both: a file lacks the columns of the other kind, so a row with a ``kline`` is an event. Its values
+    are taken from there, and it counts if its bar is closed; live events know no taker volumes.
+    """
+    layout = StructType([*BRONZE_KLINE.fields, *[f for f in KLINE_EVENT.fields if f.name not in BRONZE_KLINE.names]])
+    rows = spark.read.schema(layout).parquet(path)
+    live = F.col("kline").isNotNull()
+    names = {**{f.name: f.name for f in KLINE_BODY}, "num_trades": "number_of_trades"}
+    both = [
+        F.when(live, F.col(f"kline.{names[c]}") if c in names else F.lit(None)).otherwise(F.col(c)).alias(c)
+        for c in KLINE_COLUMNS if c not in ("symbol", "interval")
+    ]
+    return rows.filter(~live | F.col("kline.is_closed")).select("symbol", "interval", *both)
+
+
 def read_silver_klines(
     spark: SparkSession, path: str, columns: Iterable[str] = tuple(KLINE_COLUMNS)
 ) -> DataFrame:

@@ -47,6 +47,18 @@ def write_bronze_klines(df: DataFrame, path: str) -> None:
      .option("compression", "snappy").partitionBy(*folders).parquet(path))
 
 
+def write_live_klines(df: DataFrame, path: str) -> None:
+    """Append nested bar events below the same folders as history bars (text-typed, flat), so that one prefix holds both."""
+    ts = ms_to_ts("kline.open_time")
+    dated = df.withColumns({
+        "interval": F.coalesce("kline.interval", F.lit("")), "year": F.year(ts), "month": path_part(F.month(ts)),
+        "day": path_part(F.dayofmonth(ts)),
+    })
+    folders = ["symbol", "interval", "year", "month", "day"]
+    (_by_folder(dated, folders, ["event_time"]).write.mode("append")
+     .option("compression", "snappy").partitionBy(*folders).parquet(path))
+
+
 def write_features(df: DataFrame, path: str) -> None:
     """Overwrite the feature table, one folder per symbol."""
     (_by_folder(df, ["symbol"], ["interval", "open_time"]).write.mode("overwrite")

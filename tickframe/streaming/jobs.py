@@ -14,6 +14,7 @@ from tickframe.operators.events import (
 from tickframe.operators.microstructure import microstructure, type_trades
 from tickframe.schemas import KLINE_EVENT, TRADE
 from tickframe.sources.sinks import to_kafka_json
+from tickframe.streaming.outputs import Output, tag_outputs
 
 Sink = Callable[[DataFrame, int], None]
 
@@ -138,3 +139,14 @@ def bar_messages(bars: DataFrame) -> DataFrame:
 def window_messages(rows: DataFrame) -> DataFrame:
     """Window rows as broker rows, bounds as text."""
     return to_kafka_json(rows, text=WINDOW_TEXT)
+
+
+def window_outputs(rows: DataFrame) -> DataFrame:
+    """Window rows tagged for two outputs: ``windows``, the rows, and ``messages``, the same as broker rows."""
+    body = F.struct(*[F.col(c).cast("string").alias(c) if c in WINDOW_TEXT else F.col(c) for c in rows.columns])
+    message = F.struct(F.col("symbol").alias("key"), F.to_json(body).alias("value"))
+    symbol, at = F.col("symbol"), F.col("window_start")
+    return tag_outputs(rows, {
+        "windows": Output(F.struct(*rows.columns), F.lit(True), symbol, at),
+        "messages": Output(message, F.lit(True), symbol, at),
+    })
