@@ -4,11 +4,11 @@ Spark has no built-in for a value that depends on its own previous value. Each s
 the state, so a block can be scanned without knowing what came before it:
 
 1. per block, the state it ends with when it starts from zero;
-2. per series, over one small row per block, the true state each block starts from;
+2. over one small row per block, in a tree of super-blocks, the true state each block starts from;
 3. per block again, the scan from that state.
 
 Steps 1 and 3 run on Arrow batches per (series, block) and share one shuffle; step 2 streams over
-the sorted block rows and keeps one state at a time. The results are those of the serial loop.
+sorted rows of at most FAN blocks or super-blocks and keeps one state at a time. The results are those of the serial loop.
 """
 
 from __future__ import annotations
@@ -36,34 +36,87 @@ def _make_smooth() -> Callable:
     return smooth
 
 
-def _carry_states(ends: DataFrame, series: Series, advance: Callable) -> DataFrame:
-    """Step 2: ``advance(state or None, row) -> (start state, end state)`` along the blocks."""
-    keys = list(series.keys)
-    layout = T.StructType(
-        [ends.schema[k] for k in keys]
-        + [T.StructField("_block", T.LongType()), T.StructField("_start", T.ArrayType(T.DoubleType()))]
-    )
+#: Blocks that are walked by one task: of a super-block, and super-blocks of a series.
+FAN = 4096
+
+
+def _walk(rows: DataFrame, keys: list[str], order: str, layout: T.StructType, step: Callable) -> DataFrame:
+    """Stream over ``rows`` sorted by ``keys`` and ``order`` with one state per group of ``keys``.
+
+    ``step(state or None, row) -> (state, values)``; a row is (order, n, head, end), values are the columns of ``layout`` after the keys.
+    """
+    needed = [order, "_n", "_head", "_end"]
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, state = None, None
         for batch in batches:
-            starts = []
+            found = []
             columns = [batch.column(k).to_pylist() for k in keys]
-            bodies = zip(*columns, batch.column("_n").to_pylist(), batch.column("_head").to_pylist(),
-                         batch.column("_end").to_pylist())
-            for *key, n, head, end in bodies:
+            for key, body in zip(zip(*columns), zip(*[batch.column(c).to_pylist() for c in needed])):
                 if key != current:
                     current, state = key, None
-                start, state = advance(state, n, head, end)
-                starts.append(start)
+                state, values = step(state, body)
+                found.append(values)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(k) for k in keys]
-                + [batch.column("_block"), pa.array(starts, pa.list_(pa.float64()))],
-                names=[*keys, "_block", "_start"],
-            )
+                + [pa.array([v[i] for v in found], _ARROW[f.dataType.typeName()]) for i, f in enumerate(layout.fields[len(keys):])],
+                names=layout.names)
+
+    return rows.repartition(*keys).sortWithinPartitions(*keys, order).mapInArrow(walk, layout)
+
+
+_ARROW = {"long": pa.int64(), "double": pa.float64(), "array": pa.list_(pa.float64())}
+
+
+def _carry_states(ends: DataFrame, series: Series, advance: Callable, fan: int | None = None) -> DataFrame:
+    """Step 2: the true state that each block starts from, by ``advance(state or None, n, head, end) -> (start, next)``.
+
+    A block maps the state before it to the one after it: A to the power of its rows, applied, plus its end from zero.
+    Such maps compose, and their composition has the same form. So the blocks are walked in a tree of two levels: the blocks of
+    every super-block on their own, starting from zero, then the super-blocks of a series from its true start. A task holds one
+    state and walks at most ``fan`` rows a group; ``fan`` squared blocks are more rows than a series can have.
+    """
+    fan, keys = fan or FAN, list(series.keys)
+    tall = ends.withColumn("_super", F.expr(f"_block div {fan}"))
+
+    def own(*fields) -> T.StructType:
+        return T.StructType([ends.schema[k] for k in keys] + [T.StructField(n, t) for n, t in fields])
+
+    number, states = T.LongType(), T.ArrayType(T.DoubleType())
+
+    def inner(state, body):
+        """From zero: what the blocks of a super-block before this one come to, and with it."""
+        block, n, head, end = body
+        rows, first, total = state or (0, head, [0.0] * len(end))
+        after = [float(v) for v in advance(total, n, head, end)[1]]
+        return (rows + n, first, after), (block, rows, total, rows + n, first, after)
+
+    partial = _walk(tall, [*keys, "_super"], "_block", T.StructType(
+        [ends.schema[k] for k in keys] + [T.StructField("_super", number), T.StructField("_block", number),
+         T.StructField("_rows", number), T.StructField("_before", states), T.StructField("_n", number),
+         T.StructField("_head", T.DoubleType()), T.StructField("_end", states)]), inner)
+    # A super-block is what its last block has come to.
+    last = F.max(F.struct("_block", "_n", "_head", "_end")).alias("b")
+    supers = partial.groupBy(*keys, "_super").agg(last).select(*keys, "_super", "b._n", "b._head", "b._end")
+
+    def outer(state, body):
+        place, n, head, end = body
+        start, following = advance(state, n, head, end)
+        return [float(v) for v in following], (place, start)
+
+    roots = _walk(supers, keys, "_super", own(("_super", number), ("_root", states)), outer)
+
+    def settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            starts = []
+            for n, before, root in zip(*[batch.column(c).to_pylist() for c in ("_rows", "_before", "_root")]):
+                # The map of the blocks before, on the state of the super-block.
+                starts.append([float(v) for v in advance(root, n, 0.0, before)[1]] if n else root)
+            yield pa.RecordBatch.from_arrays([batch.column(k) for k in keys] + [batch.column("_block"), pa.array(starts, pa.list_(pa.float64()))],
+                                             names=[*keys, "_block", "_start"])
 
-    ordered = ends.repartition(*keys).sortWithinPartitions(*keys, "_block")
-    return ordered.mapInArrow(walk, layout)
+    joined = partial.select(*keys, "_super", "_block", "_rows", "_before").join(roots, [*keys, "_super"])
+    return joined.mapInArrow(settled, own(("_block", number), ("_start", states)))
 
 
 def _scan(
@@ -231,8 +284,8 @@ def ema(
         return [smooth(x, alpha, 0.0)[-1]]
 
     def advance(state, rows, head, end):
-        state = head if state is None else state
-        return [state], (1.0 - alpha) ** rows * state + end[0]
+        state = [head] if state is None else state
+        return state, [(1.0 - alpha) ** rows * state[0] + end[0]]
 
     def emit(x, prev, first_block, start):
         return [smooth(x, alpha, start[0])]

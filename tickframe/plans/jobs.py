@@ -11,20 +11,23 @@ from tickframe.operators.marts import log_returns, ohlcv, stg_klines
 from tickframe.operators.silver import silver_metrics, to_silver, union_bronze
 from tickframe.plans.metrics import export_views
 from tickframe.schemas import KLINE_EVENT, SILVER_KLINE
-from tickframe.sources.lake import read_bronze_klines, read_or_empty, read_silver_klines, scan_latest
+from tickframe.sources.lake import (
+    read_bronze_klines, read_mixed_klines, read_or_empty, read_silver_klines, scan_latest,
+)
 from tickframe.sources.sinks import materialize, upsert_table, write_features, write_rejects, write_silver
 
 
-def run_silver(spark: SparkSession, bronze: str, silver: str, rejects: str, live: str | None = None) -> dict[str, int]:
+def run_silver(spark: SparkSession, bronze: str, silver: str, rejects: str, live: str | None = None,
+               mixed: bool = False) -> dict[str, int]:
     """Clean bronze into silver and rejects and return the row counts.
 
     ``live`` names landed bar events (nested, as the bronze stream writes them); their closed bars join the
-    flat history bars of ``bronze`` before validation and dedup.
+    flat history bars of ``bronze`` before validation and dedup. With ``mixed``, ``bronze`` itself holds files of both kinds.
 
     The counts are an aggregation of their own: metrics observed during a write count a task
     again when it is retried.
     """
-    raw = read_bronze_klines(spark, bronze)
+    raw = read_mixed_klines(spark, bronze) if mixed else read_bronze_klines(spark, bronze)
     if live:
         raw = union_bronze(live_bronze(spark.read.schema(KLINE_EVENT).parquet(live)), raw)
     counts = silver_metrics(raw).first().asDict()

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickframe.sources.sinks import export_csv
@@ -41,18 +42,29 @@ class Measure:
         return kept
 
     def combine(self, name: str) -> Column:
-        """The measure from stored columns."""
+        """The measure from stored columns; a deviation also needs ``<name>__mean``, the mean of the whole group."""
         if self.kind in ("sum", "max", "min"):
             return {"sum": F.sum, "max": F.max, "min": F.min}[self.kind](name)
-        n, total = F.sum(f"{name}__n"), F.sum(f"{name}__sum")
+        n = F.sum(f"{name}__n")
         if self.kind == "avg":
-            return F.try_divide(total, n)
-        # Within groups plus between groups, the latter around the overall mean.
-        between = (F.sum(F.coalesce(F.try_divide(F.col(f"{name}__sum") * F.col(f"{name}__sum"),
-                                                 F.col(f"{name}__n")), F.lit(0.0)))
-                   - F.try_divide(total * total, n))
-        spread = F.greatest(F.sum(f"{name}__m2") + between, F.lit(0.0))
-        return F.when(n > 1, F.sqrt(F.try_divide(spread, n - 1)))
+            return F.try_divide(F.sum(f"{name}__sum"), n)
+        return F.when(n > 1, F.sqrt(F.try_divide(self.spread(name), n - 1)))
+
+    def spread(self, name: str) -> Column:
+        """Squared distances from the common mean: those within the stored groups and those of their means.
+
+        Means are subtracted before they are squared, so that nothing cancels out.
+        """
+        n, mean = F.col(f"{name}__n"), F.try_divide(F.col(f"{name}__sum"), F.col(f"{name}__n"))
+        off = mean - F.col(f"{name}__mean")
+        return F.sum(F.col(f"{name}__m2") + F.coalesce(n * off * off, F.lit(0.0)))
+
+    def merge(self, name: str) -> dict[str, Column]:
+        """The stored columns of several states merged into one."""
+        if self.kind in ("sum", "max", "min"):
+            return {name: self.combine(name)}
+        kept = {f"{name}__n": F.sum(f"{name}__n"), f"{name}__sum": F.sum(f"{name}__sum")}
+        return kept | ({f"{name}__m2": self.spread(name)} if self.kind == "stddev" else {})
 
 
 @dataclass(frozen=True)
@@ -113,9 +125,9 @@ def _bucket(time: str, granularity: str) -> Column:
     return F.date_trunc(granularity, F.col(time).cast("timestamp")).alias(time)
 
 
-def rollup_table(facts: DataFrame, spec: RollupSpec) -> DataFrame:
-    """Summary rows per dimensions and time bucket with re-combinable measure columns."""
-    stored = {}
+def rollup_table(facts: DataFrame, spec: RollupSpec, counted: bool = False) -> DataFrame:
+    """Summary rows per dimensions and time bucket with re-combinable measure columns; ``counted`` adds the number of facts."""
+    stored = {"facts": F.count(F.lit(1))} if counted else {}
     for name in spec.measures:
         stored.update(spec.cube.measures[name].partial(name))
     return facts.groupBy(*spec.dimensions, _bucket(spec.cube.time, spec.granularity)).agg(
@@ -126,13 +138,37 @@ def build_rollup(facts: DataFrame, spec: RollupSpec) -> Rollup:
     return Rollup(spec, rollup_table(facts, spec))
 
 
+def _with_means(states: DataFrame, cube: Cube, keys: list[str], measures: Iterable[str]) -> DataFrame:
+    """States with the mean of their group of ``keys`` for every deviation; the grouping that follows needs no other shuffle."""
+    spread = [m for m in measures if cube.measures[m].kind == "stddev"]
+    own = Window.partitionBy(*keys)
+    return states.withColumns({
+        f"{m}__mean": F.try_divide(F.sum(f"{m}__sum").over(own), F.sum(f"{m}__n").over(own)) for m in spread})
+
+
+def combined(states: DataFrame, cube: Cube, groups: list[Column], measures: list[str]) -> DataFrame:
+    """Measures by ``groups`` from rows of stored states."""
+    keys = [f"_g{k}" for k in range(len(groups))]
+    keyed = states.select("*", *[g.alias(k) for g, k in zip(groups, keys)])
+    names = states.select(*groups).columns
+    out = _with_means(keyed, cube, keys, measures).groupBy(*keys).agg(*[cube.measures[m].combine(m).alias(m) for m in measures])
+    return out.withColumnsRenamed(dict(zip(keys, names)))
+
+
+def merged_states(states: DataFrame, spec: RollupSpec, keys: list[str]) -> DataFrame:
+    """One state per ``keys`` from several; a count of facts is added up."""
+    merged = {"facts": F.sum("facts")} if "facts" in states.columns else {}
+    for m in spec.measures:
+        merged |= spec.cube.measures[m].merge(m)
+    return _with_means(states, spec.cube, keys, spec.measures).groupBy(*keys).agg(*[c.alias(n) for n, c in merged.items()])
+
+
 def query_rollup(rollup: Rollup, dimensions: list[str], measures: list[str],
                  granularity: str | None = None) -> DataFrame:
     """Answer a query from a rollup; the time dimension is bucketed by ``granularity``."""
     cube = rollup.spec.cube
     groups = [_bucket(d, granularity) if d == cube.time and granularity else F.col(d) for d in dimensions]
-    return rollup.data.groupBy(*groups).agg(
-        *[cube.measures[m].combine(m).alias(m) for m in measures])
+    return combined(rollup.data, cube, groups, measures)
 
 
 def _serves(spec: RollupSpec, cube: Cube, dimensions: list[str], measures: list[str],
@@ -199,6 +235,7 @@ PRICE_ANALYTICS = View("price_analytics", RETURNS, (*RETURNS.dimensions, *RETURN
 DAILY_ROLLUP = RollupSpec(DAILY, ("symbol",), "day", tuple(DAILY.measures))
 HOURLY_ROLLUP = RollupSpec(HOURLY, ("symbol",), "hour", tuple(HOURLY.measures))
 RETURNS_ROLLUP = RollupSpec(RETURNS, ("symbol", "interval"), "hour", tuple(RETURNS.measures))
+RETURNS_DAILY_ROLLUP = RollupSpec(RETURNS, ("symbol", "interval"), "day", tuple(RETURNS.measures))
 
 # What is exported of each view.
 EXPORTS = [
