@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 
 from tickframe.llm import ngram_join as J
+from tickframe.llm import sets
 
 
 def shingles(text, size=4):
@@ -110,7 +111,7 @@ def test_parities_never_rule_out_too_much():
     for n in (6, 40, 127, 128, 300, 1023, 1024, 5000):
         base = rng.integers(0, 2**63, n + n // 6 + 1).astype(np.uint64)
         a, b = np.unique(base[:n]), np.unique(base[n // 12:])
-        x, y = (J.parities(s).view(np.uint64) for s in (a, b))
+        x, y = (sets.parities(s).view(np.uint64) for s in (a, b))
         if len(x) != len(y):
             x, y = sorted((x, y), key=len)
             y = y[:len(x)] ^ y[len(x):]

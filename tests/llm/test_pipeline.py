@@ -48,10 +48,8 @@ def base_kept(text):
 
 
 def one_of_each_group(rows):
-    prints = {}
-    for r in rows:
-        hashes = H.shingle_hashes(r.text, 5)
-        prints[r.doc_id] = [H.fingerprint(H._rehashed(hashes, t)) & (1 << 64) - 1 for t in range(10)]
+    """Documents whose sets of five-word shingles are 0.8 alike, directly or through others, leave the one with the smallest id."""
+    prints = {r.doc_id: set(H.shingle_hashes(r.text, 5).tolist()) for r in rows}
     root = {i: i for i in prints}
 
     def find(i):
@@ -61,7 +59,7 @@ def one_of_each_group(rows):
 
     for a in prints:
         for b in prints:
-            if a < b and any((x ^ y).bit_count() <= 3 for x, y in zip(prints[a], prints[b])):
+            if a < b and 5 * len(prints[a] & prints[b]) >= 4 * len(prints[a] | prints[b]):
                 x, y = find(a), find(b)
                 root[max(x, y)] = min(x, y)
     return {i for i in prints if find(i) == i}

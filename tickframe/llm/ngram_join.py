@@ -33,16 +33,17 @@ tables give empty results. Extra columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 from itertools import combinations
 from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
-import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickframe.llm.common import discard, staged
+from tickframe.llm.sets import all_of, nodes_of, parities, possible, set_key, verified
 from tickframe.llm.simhash import components, shingle_hashes
 
 ALIKE = (85, 100)
@@ -51,7 +52,6 @@ TABLE = 1 << 18     # frequent tokens that are told apart
 CLASSES = (1_000, 100_000)  # from so many occurrences a token is of class 2, of class 3
 SECTION = 6         # prefix tokens a section should hold
 LEADERS = 2         # rounds of comparing with leaders
-MARK_BITS = 24      # of the bit table that picks the texts of compared sets
 _MIX = 0x9E3779B97F4A7C15
 
 
@@ -70,11 +70,6 @@ def mixed(x: np.ndarray, salt: int = 0) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def set_key(found: np.ndarray) -> int:
-    """Names a sorted set of tokens, as a signed 64-bit integer."""
-    return int(np.uint64(xxhash.xxh64_intdigest(found.tobytes(), len(found))).view(np.int64))
-
-
 def merged_counts(parts: list[tuple[np.ndarray, np.ndarray]], most: int) -> tuple[np.ndarray, np.ndarray]:
     """Counts of equal tokens added; if more than ``most`` remain, all are lowered by what the next one has.
 
@@ -178,16 +173,6 @@ def section_count(size_class: int) -> int:
     return max(1, errors(1 << (size_class - 1)) // SECTION)
 
 
-def parities(found: np.ndarray) -> np.ndarray:
-    """One bit per slot, set if an odd number of tokens falls into it; two to four slots per token, 256 at least.
-
-    Slots are the lowest bits of a token, so the map of a larger size class folds onto that of a smaller one.
-    """
-    slots = max(256, 2 << len(found).bit_length())
-    odd = np.bincount((found & np.uint64(slots - 1)).astype(np.int64), minlength=slots) & 1
-    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
-
-
 def _signed(docs: DataFrame, shingle: int, frequent: Frequent) -> DataFrame:
     """doc_id, key, n, signatures, reach and map of parities of every row."""
 
@@ -207,77 +192,10 @@ def _signed(docs: DataFrame, shingle: int, frequent: Frequent) -> DataFrame:
     return made.select(F.col("id").cast("long").alias("doc_id"), "key", "n", "sigs", "reach", "odd")
 
 
-def _marks(hashes: DataFrame) -> np.ndarray:
-    """A table of 2**MARK_BITS bits with those of the hashes in column h set; a filter before an exact join."""
-    at = F.shiftrightunsigned("h", 64 - MARK_BITS)
-    words = hashes.groupBy(F.shiftright(at, 6).alias("at")).agg(
-        F.expr(f"bit_or(shiftleft(1L, CAST(shiftrightunsigned(h, {64 - MARK_BITS}) & 63 AS INT)))").alias("bits")).toPandas()
-    table = np.zeros(1 << (MARK_BITS - 6), np.int64)
-    table[words["at"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
-    return table.view(np.uint64)
-
-
-def _sets(docs: DataFrame, shingle: int, wanted: DataFrame) -> DataFrame:
-    """key and tokens, once per set of ``wanted`` (key and mark, the hash of one row that has it)."""
-    table = _marks(wanted.select(F.col("mark").alias("h")))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            at = batch["h"].to_numpy(np.int64).view(np.uint64) >> np.uint64(64 - MARK_BITS)
-            picked = (table[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
-            found = [np.unique(shingle_hashes(text, shingle)) for text in batch["text"][picked]]
-            if found:
-                yield pd.DataFrame({"key": [set_key(f) for f in found], "tokens": [f.view(np.int64) for f in found]})
-
-    made = docs.select(F.xxhash64(F.col("doc_id").cast("long")).alias("h"), "text").mapInPandas(run, "key long, tokens array<long>")
-    return made.join(wanted.select("key"), "key", "left_semi").dropDuplicates(["key"])
-
-
-def _folded(bits: Column, longs: Column) -> Column:
-    """A map of parities, or that of twice the size folded to so many longs."""
-    halves = F.zip_with(F.slice(bits, 1, longs), F.slice(bits, longs + 1, longs), lambda x, y: x.bitwiseXOR(y))
-    return F.when(F.size(bits) > longs, halves).otherwise(bits)
-
-
-def _near(pairs: DataFrame, signed: DataFrame) -> DataFrame:
-    """The pairs whose maps of parities do not rule them out."""
-    keys = pairs.select("key").union(pairs.select("other")).distinct()
-    maps = staged(signed.join(keys, "key", "left_semi").select("key", "n", "odd").dropDuplicates(["key"]), "maps")
-    both = pairs.join(maps, "key").join(maps.toDF("other", "m", "others"), "other")
-    longs = F.least(F.size("odd"), F.size("others"))
-    differ = F.aggregate(F.zip_with(_folded(F.col("odd"), longs), _folded(F.col("others"), longs), lambda x, y: F.bit_count(x.bitwiseXOR(y))),
-                         F.lit(0), lambda a, x: a + x).cast("long")
-    near = staged(both.filter(differ * sum(ALIKE) <= (F.col("n") + F.col("m")) * (ALIKE[1] - ALIKE[0])).select("key", "other"), "near")
-    discard(maps)
-    return near
-
-
-def _verified(docs: DataFrame, shingle: int, pairs: DataFrame, signed: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The pairs (key, other) that are alike, as a staged table."""
-    pairs = staged(pairs.distinct(), "pairs")
-    near = _near(pairs, signed)
-    keys = near.select("key").union(near.select("other")).distinct()
-    wanted = staged(nodes.join(keys, "key", "left_semi").select("key", "mark"), "wanted")
-    full = staged(_sets(docs, shingle, wanted), "sets")
-    both = near.join(full, "key").join(full.select(F.col("key").alias("other"), F.col("tokens").alias("others")), "other")
-    shared = F.size(F.array_intersect("tokens", "others")).cast("long")
-    total = F.size("tokens").cast("long") + F.size("others")
-    alike = staged(both.filter(shared * sum(ALIKE) >= total * ALIKE[0]).select("key", "other"), "alike")
-    discard(pairs, near, wanted, full)
-    return alike
-
-
-def _possible() -> Column:
-    """Whether a pair's sizes and reaches allow it to be alike."""
-    total = F.col("n") + F.col("m")
-    return ((F.least("n", "m") * ALIKE[1] >= F.greatest("n", "m") * ALIKE[0])
-            & (F.least("reach", "other_reach").cast("long") * sum(ALIKE) >= total * ALIKE[0]))
-
-
 def links(docs: DataFrame, signed: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
     """(key, other) of alike sets, enough of them to connect all that is connected.
 
-    ``signed`` is a staged table of key, n, sigs, reach and odd, ``nodes`` one of key and mark.
+    ``signed`` is a staged table of key, n, sigs and reach, ``nodes`` one of its sets.
     """
     entries = signed.select("key", "n", F.explode(F.arrays_zip("sigs", "reach")).alias("e")).select(
         F.col("e.sigs").alias("sig"), "key", "n", F.col("e.reach").alias("reach"))
@@ -290,30 +208,24 @@ def links(docs: DataFrame, signed: DataFrame, nodes: DataFrame, shingle: int) ->
     other = F.struct(F.col("key").alias("other"), F.col("n").alias("m"), F.col("reach").alias("other_reach"),
                      F.col("comp").alias("other_comp"))
     ordered = (F.least("key", "other").alias("key"), F.greatest("key", "other").alias("other"))
+    tokens = partial(shingle_hashes, size=shingle)
     found: list[DataFrame] = []
     for turn in range(LEADERS):
         leader = staged(held.groupBy("sig").agg(F.min_by(other, F.xxhash64("comp", F.lit(turn))).alias("o")).select("sig", "o.*"), "leaders")
-        pairs = held.join(leader, "sig").filter("comp != other_comp").filter(_possible()).select(*ordered)
-        found.append(_verified(docs, shingle, pairs, signed, nodes))
+        pairs = held.join(leader, "sig").filter("comp != other_comp").filter(possible(ALIKE)).select(*ordered)
+        found.append(verified(docs, tokens, pairs, nodes, ALIKE))
         discard(leader)
         held = _apart(held, found)
     pairs = held.join(held.select("sig", other.alias("o")).select("sig", "o.*"), "sig").filter("comp < other_comp").filter(
-        _possible()).select(*ordered)
-    found.append(_verified(docs, shingle, pairs, signed, nodes))
+        possible(ALIKE)).select(*ordered)
+    found.append(verified(docs, tokens, pairs, nodes, ALIKE))
     discard(held)
-    return _all(found)
-
-
-def _all(found: list[DataFrame]) -> DataFrame:
-    out = found[0]
-    for f in found[1:]:
-        out = out.union(f)
-    return out
+    return all_of(found)
 
 
 def _apart(held: DataFrame, found: list[DataFrame]) -> DataFrame:
     """The entries under their groups so far, of signatures that still hold two groups; ``held`` is discarded."""
-    roots = components(_all(found).toDF("a", "b")).distinct()
+    roots = components(all_of(found).toDF("a", "b")).distinct()
     named = staged(held.drop("comp").join(roots.select(F.col("node").alias("key"), "root"), "key", "left").select(
         "sig", "key", "n", "reach", F.coalesce("root", "key").alias("comp")), "entries")
     discard(held)
@@ -328,9 +240,7 @@ def groups(docs: DataFrame, shingle: int = 4, table: int = TABLE, classes: tuple
     frequent = frequent_tokens(docs, shingle, table, classes)
     rows = staged(_signed(docs, shingle, frequent), "signed")
     some = rows.filter("n > 0")
-    # Texts are found again by the id of one row that holds the set.
-    nodes = staged(some.groupBy("key").agg(
-        F.min("doc_id").alias("doc_id"), F.first(F.xxhash64("doc_id")).alias("mark")), "nodes")
+    nodes = nodes_of(some)
     roots = components(links(docs, some, nodes, shingle).toDF("a", "b")).distinct()
     named = staged(nodes.select("key", "doc_id").join(roots.withColumnRenamed("node", "key"), "key", "left").select(
         "key", "doc_id", F.coalesce("root", "key").alias("root")), "roots")

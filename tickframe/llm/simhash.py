@@ -8,7 +8,7 @@
 4. A shard goes on splitting by the same rule and compares the rest exactly. It returns one link per point
    and leaf (to the smallest point reachable there), so a large group never emits its pairs.
 5. Links become groups by alternating large-star and small-star steps, each a grouped minimum and a join.
-6. ``one_per_group`` adds the pairs that fingerprints miss. Under any fixed order of shingles two sets that
+6. ``one_per_group`` confirms these links by the exact Jaccard similarity and adds the pairs that fingerprints miss. Under any fixed order of shingles two sets that
    are ALIKE share one of the first n - ceil(ALIKE n) + 1 shingles of both, so a join of these prefixes misses
    no pair; each is confirmed by its exact Jaccard similarity. Frequent shingles of a sample come last in
    the order: that saves candidates and loses none.
@@ -24,6 +24,7 @@ columns are ignored by ``groups`` and carried by ``one_per_group``.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -31,7 +32,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickframe.llm.common import staged
+from tickframe.llm.common import discard, staged
+from tickframe.llm.sets import all_of, nodes_of, parities, possible, set_key, verified
 
 SEED = 42
 #: Multipliers that derive the hashes of further tables from the first one; table 0 uses the hash itself.
@@ -41,7 +43,6 @@ SHARD = 6_000    # points a shard should hold
 DEAL = 20_000    # points a task sends to shards at once
 LEAF = 384       # points compared all with all
 ALIKE = (4, 5)   # least Jaccard similarity of near copies, as a fraction
-MARK_BITS = 24   # of the bit tables that filter before a join
 FREQUENT = (20_000, 4, 100_000)  # sampled documents, of them hold a frequent shingle at least, most such shingles
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
 
@@ -260,11 +261,6 @@ def groups(docs: DataFrame, shingle: int = 3, radius: int = 2, tables: int = 1)
 
 # --- pairs by exact similarity ----------------------------------------------------------------
 
-def _set_key(found: np.ndarray) -> int:
-    """Names a sorted set of shingles, as a signed 64-bit integer."""
-    return int(np.uint64(xxhash.xxh64_intdigest(found.tobytes(), SEED)).view(np.int64))
-
-
 def frequent_shingles(docs: DataFrame, shingle: int) -> np.ndarray:
     """Shingles that many documents of a bounded sample hold, sorted."""
     size, least, most = FREQUENT
@@ -292,8 +288,8 @@ def _prefix(found: np.ndarray, frequent: np.ndarray) -> np.ndarray:
     return found[: len(found) - least + 1]
 
 
-def signed(docs: DataFrame, shingle: int, tables: int, frequent: np.ndarray) -> DataFrame:
-    """doc_id, prints, and of the set of shingles its key, size and prefix."""
+def signed(docs: DataFrame, shingle: int, frequent: np.ndarray) -> DataFrame:
+    """doc_id, fingerprint, and of the set of shingles its key, size, prefix and map of parities."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -301,121 +297,109 @@ def signed(docs: DataFrame, shingle: int, tables: int, frequent: np.ndarray) ->
             for text in batch["text"]:
                 hashes = shingle_hashes(text, shingle)
                 found = np.unique(hashes)
-                out.append(([fingerprint(_rehashed(hashes, t)) for t in range(tables)], _set_key(found), len(found),
-                            _prefix(found, frequent).view(np.int64)))
-            yield pd.DataFrame(out, columns=["prints", "key", "n", "prefix"]).assign(id=batch["id"].to_numpy())[
-                ["id", "prints", "key", "n", "prefix"]]
+                out.append((fingerprint(hashes), set_key(found), len(found), _prefix(found, frequent).view(np.int64), parities(found)))
+            names = ["print", "key", "n", "prefix", "odd"]
+            yield pd.DataFrame(out, columns=names).assign(id=batch["id"].to_numpy())[["id", *names]]
 
     made = docs.select(F.col("doc_id").cast("string").alias("id"), "text").mapInPandas(
-        run, "id string, prints array<long>, key long, n int, prefix array<long>")
-    return made.select(F.col("id").cast("long").alias("doc_id"), "prints", "key", "n", "prefix")
-
-
-def _marks(hashes: DataFrame) -> np.ndarray:
-    """A table of 2**MARK_BITS bits with those of the hashes in column h set; a filter before an exact join."""
-    rest = F.shiftrightunsigned("h", 64 - MARK_BITS)
-    words = hashes.groupBy(F.shiftright(rest, 6).alias("at")).agg(
-        F.expr(f"bit_or(shiftleft(1L, CAST(shiftrightunsigned(h, {64 - MARK_BITS}) & 63 AS INT)))").alias("bits")).collect()
-    table = np.zeros(1 << (MARK_BITS - 6), np.int64)
-    for r in words:
-        table[r["at"]] = r["bits"]
-    return table.view(np.uint64)
-
-
-def _marked(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    at = hashes.view(np.uint64) >> np.uint64(64 - MARK_BITS)
-    return (table[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
-
+        run, "id string, print long, key long, n long, prefix array<long>, odd array<long>")
+    return made.select(F.col("id").cast("long").alias("doc_id"), "print", "key", "n", "prefix", "odd")
 
-def shingle_sets(docs: DataFrame, shingle: int, wanted: DataFrame) -> DataFrame:
-    """key and all shingles, once per set of ``wanted`` (key, doc_id). Texts are not shuffled."""
-    table = _marks(wanted.select(F.xxhash64("doc_id").alias("h")))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            texts = batch["text"][_marked(table, batch["h"].to_numpy(np.int64))]
-            found = [np.unique(shingle_hashes(text, shingle)) for text in texts]
-            if found:
-                yield pd.DataFrame({"key": [_set_key(f) for f in found], "shingles": [f.view(np.int64) for f in found]})
+def _candidates(prints: DataFrame, radius: int) -> DataFrame:
+    """(key, other) of sets (key, print) whose fingerprints are equal or within ``radius`` bits, enough to connect them.
 
-    made = docs.select(F.xxhash64(F.col("doc_id").cast("long")).alias("h"), "text").mapInPandas(
-        run, "key long, shingles array<long>")
-    return made.join(wanted.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"])
+    A fingerprint counts repeated shingles, so one set may have several.
+    """
+    heads = staged(prints.groupBy(F.lit(0).alias("tab"), "print").agg(F.min("key").alias("node")), "points")
+    near = links(heads, radius).select(F.col("a").alias("key"), F.col("b").alias("other"))
+    same = prints.join(heads, "print").filter("key != node").select("key", F.col("node").alias("other"))
+    return near.union(same)
 
 
-def alike_links(docs: DataFrame, prints: DataFrame, rows: DataFrame, shingle: int) -> DataFrame:
-    """(a, b) of components to merge, so that all documents ALIKE come together.
+def alike_links(docs: DataFrame, rows: DataFrame, nodes: DataFrame, shingle: int, radius: int) -> DataFrame:
+    """(key, other) of sets that are ALIKE, enough of them to connect all that is connected.
 
-    ``prints`` is a staged table of key and prefix, ``rows`` one of doc_id, component_id, key and n. First every set
-    meets the first one of each of its prefix shingles, which joins a large group without its pairs; then all
-    pairs of sets that share a prefix shingle and are still apart are compared.
+    ``rows`` is what ``signed`` gives, staged, ``nodes`` its sets. Pairs that the fingerprints find come first. Then every set
+    meets the first one of each of its prefix shingles, which joins a large group without its pairs; then
+    the pairs of sets that share a prefix shingle, are still apart and whose sizes and places in the order
+    allow it. All are confirmed by their exact similarity.
     """
-    sets = staged(rows.groupBy("key").agg(F.min("component_id").alias("comp"), F.min("n").alias("n"),
-                                          F.min("doc_id").alias("doc_id")), "sets")
-    merged = staged(rows.join(sets.select("key", "comp"), "key").filter("component_id != comp").select(
-        F.col("component_id").alias("a"), F.col("comp").alias("b")).distinct(), "merged")
-    shared = staged(prints.select("key", F.explode("prefix").alias("h")).groupBy("h").agg(
-        F.min("key").alias("low"), F.max("key").alias("high")).filter("low < high").select("h"), "shared")
-    table = _marks(shared)
-
-    def pick(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if len(batch):
-                h = np.concatenate(batch["prefix"].to_list()).astype(np.int64)
-                key = np.repeat(batch["key"].to_numpy(np.int64), [len(x) for x in batch["prefix"]])
-                held = _marked(table, h)
-                yield pd.DataFrame({"key": key[held], "h": h[held]})
-
-    entries = prints.select("key", "prefix").mapInPandas(pick, "key long, h long").distinct()
-    entries = staged(entries.join(shared, "h"), "entries").join(sets.select("key", "comp", "n"), "key")
-
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        pairs = staged(pairs.filter(F.least("n", "m") * ALIKE[1] >= F.greatest("n", "m") * ALIKE[0]).select(
-            "key", "other", "comp", "other_comp").distinct(), "pairs")
-        keys = pairs.select("key").union(pairs.select("other")).distinct()
-        full = staged(shingle_sets(docs, shingle, staged(sets.join(keys, "key", "left_semi").select("key", "doc_id"), "ids")), "full")
-        both = pairs.join(full, "key").join(full.select(F.col("key").alias("other"), F.col("shingles").alias("others")), "other")
-        inter = F.size(F.array_intersect("shingles", "others"))
-        return both.filter(inter * ALIKE[1] >= (F.size("shingles") + F.size("others") - inter) * ALIKE[0]).select(
-            F.col("comp").alias("a"), F.col("other_comp").alias("b"))
-
-    def apart(held: DataFrame, edges: DataFrame) -> DataFrame:
-        """The entries under their new components, of shingles that still hold two."""
-        roots = components(edges).distinct()
-        held = staged(held.join(roots.withColumnRenamed("node", "comp"), "comp", "left").select(
-            "key", "n", "h", F.coalesce("root", "comp").alias("comp")), "entries")
-        left = staged(held.groupBy("h").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter(
-            "low < high").select("h"), "apart")
-        return held.join(left, "h")
-
-    other = F.struct(F.col("comp").alias("other_comp"), F.col("key").alias("other"), F.col("n").alias("m"))
-    held = staged(apart(entries, merged), "entries")
+    tokens = partial(shingle_hashes, size=shingle)
+    prints = rows.select("key", "print").distinct()
+    found = [verified(docs, tokens, _candidates(prints, radius), nodes, ALIKE)]
+    # Before the first shared shingle nothing is shared: the reach is what follows it.
+    entries = rows.select("key", "n", F.posexplode("prefix").alias("pos", "h")).select("h", "key", "n", (F.col("n") - F.col("pos")).alias("reach"))
+    shared = staged(entries.groupBy("h").agg(F.min("key").alias("low"), F.max("key").alias("high")).filter("low < high").select("h"), "shared")
+    held = staged(entries.join(shared, "h").distinct().withColumn("comp", F.col("key")), "entries")
+    discard(shared)
+    other = F.struct(F.col("key").alias("other"), F.col("n").alias("m"), F.col("reach").alias("other_reach"), F.col("comp").alias("other_comp"))
+    ordered = (F.least("key", "other").alias("key"), F.greatest("key", "other").alias("other"))
+    held = _apart(held, found)
     first = staged(held.groupBy("h").agg(F.min(other).alias("o")).select("h", "o.*"), "firsts")
-    linked = staged(confirmed(held.join(first, "h").filter("comp != other_comp")), "linked")
-    held = staged(apart(held, linked), "entries")
-    pairs = held.join(held.select("h", other.alias("o")).select("h", "o.*"), "h").filter("comp < other_comp")
-    return staged(merged.union(linked).union(confirmed(pairs)), "alike")
-
-
-def one_per_group(docs: DataFrame, shingle: int = 5, radius: int = 3, tables: int = 10) -> DataFrame:
+    pairs = held.join(first, "h").filter("comp != other_comp").filter(possible(ALIKE)).select(*ordered)
+    found.append(verified(docs, tokens, pairs, nodes, ALIKE))
+    discard(first)
+    held = _apart(held, found)
+    pairs = held.join(held.select("h", other.alias("o")).select("h", "o.*"), "h").filter("comp < other_comp").filter(
+        possible(ALIKE)).select(*ordered)
+    found.append(verified(docs, tokens, pairs, nodes, ALIKE))
+    discard(held)
+    return all_of(found)
+
+
+def _apart(held: DataFrame, found: list[DataFrame]) -> DataFrame:
+    """The entries under their groups so far, of shingles that still hold two groups; ``held`` is discarded."""
+    roots = components(all_of(found).toDF("a", "b")).distinct()
+    named = staged(held.drop("comp").join(roots.withColumnRenamed("node", "key"), "key", "left").select(
+        "h", "key", "n", "reach", F.coalesce("root", "key").alias("comp")), "entries")
+    discard(held)
+    open_ = staged(named.groupBy("h").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("h"), "apart")
+    left = staged(named.join(open_, "h"), "entries")
+    discard(named, open_)
+    return left
+
+
+def one_per_group(docs: DataFrame, shingle: int = 5, radius: int = 3) -> DataFrame:
     """The documents with the smallest doc_id of their group, with all their columns.
 
-    Near copies whose shingles are 0.8 alike differ in some ten of 64 bits. A radius that wide leaves a tree
-    nothing to prune (5 bits cost 50 times as much as 3), so ten independent tables of radius 3 only join
-    the nearer copies, most pairs of 0.95 and more; ``alike_links`` finds all others of 0.8 and more.
+    Groups are those of all documents ALIKE by their sets of shingles, directly or through others. Fingerprints find the nearer copies;
+    at 0.8 two of them differ in some ten of 64 bits, where a tree has nothing left to prune, so ``alike_links``
+    finds the others. Each link is confirmed.
 
-    Of rows that share this id the first by text stays; rows without an id stay as they are.
+    Rows that share an id are judged by their own texts; of those that are alike as well the first by text stays. Rows without an
+    id stay as they are.
     """
-    named_docs = docs.filter(F.col("doc_id").isNotNull())
-    prints = staged(signed(named_docs, shingle, tables, frequent_shingles(named_docs, shingle)), "prints")
-    rows = prints.withColumn("node", _node(tables))
-    named = staged(_named(rows.select("doc_id", "prints", "node"), radius, tables), "named")
-    rows = staged(rows.select("doc_id", "key", "n", "node").join(named, "node").drop("node"), "rows")
-    # A component is named by its smallest doc_id, so the root of merged ones is the smallest of them all.
-    gone = components(alike_links(named_docs, prints, rows, shingle)).filter("node != root").select(F.col("node").alias("doc_id"))
-    chosen = rows.filter("doc_id = component_id").select("doc_id").distinct().join(gone, "doc_id", "left_anti").select(
-        F.col("doc_id").alias("chosen_id"))
-    kept = docs.join(chosen, docs["doc_id"] == F.col("chosen_id"), "left_semi")
-    first = F.row_number().over(Window.partitionBy("row.doc_id").orderBy("row.text"))
-    kept = kept.select(F.struct(*docs.columns).alias("row")).withColumn("place", first).filter("place = 1")
-    return kept.select("row.*").union(docs.filter(F.col("doc_id").isNull()))
+    named = docs.filter(F.col("doc_id").isNotNull())
+    rows = staged(signed(named, shingle, frequent_shingles(named, shingle)), "signed")
+    nodes = nodes_of(rows)
+    roots = components(alike_links(named, rows, nodes, shingle, radius).toDF("a", "b")).distinct()
+    grouped = nodes.select("key", "doc_id").join(roots.withColumnRenamed("node", "key"), "key", "left").select(
+        "key", "doc_id", F.coalesce("root", "key").alias("root"))
+    # One set per group: that of its smallest doc_id.
+    chosen = staged(grouped.groupBy("root").agg(F.min(F.struct("doc_id", "key")).alias("c")).select("c.*"), "chosen")
+    often = staged(rows.groupBy("doc_id").count().filter("count > 1").select("doc_id"), "often")
+    discard(rows, nodes)
+    once = chosen.join(often, "doc_id", "left_anti").select(F.col("doc_id").alias("chosen_id"))
+    kept = docs.join(once, docs["doc_id"] == F.col("chosen_id"), "left_semi")
+    return kept.union(_of_shared_ids(docs, often, chosen, shingle)).union(docs.filter(F.col("doc_id").isNull()))
+
+
+def _of_shared_ids(docs: DataFrame, often: DataFrame, chosen: DataFrame, shingle: int) -> DataFrame:
+    """Of the rows whose id others have too, one per chosen set."""
+    own = docs.join(often.select(F.col("doc_id").alias("often_id")), docs["doc_id"] == F.col("often_id"), "left_semi").select(
+        F.struct(*docs.columns).alias("row"))
+    keyed = own.withColumn("key", _text_key(shingle)("row.text"))
+    picked = keyed.join(chosen.select(F.col("doc_id").alias("chosen_id"), F.col("key").alias("chosen_key")),
+                        (F.col("row.doc_id") == F.col("chosen_id")) & (F.col("key") == F.col("chosen_key")), "left_semi")
+    first = F.row_number().over(Window.partitionBy("row.doc_id", "key").orderBy("row.text"))
+    return picked.withColumn("place", first).filter("place = 1").select("row.*")
+
+
+def _text_key(shingle: int):
+    """The key of a text's set of shingles, as a function of a column."""
+
+    def keys(texts: pd.Series) -> pd.Series:
+        return pd.Series([set_key(np.unique(shingle_hashes(t, shingle))) for t in texts], dtype="int64")
+
+    return F.pandas_udf(keys, "long")
