@@ -361,11 +361,13 @@ def all_oracles() -> dict[str, str]:
         "macd": "WITH RECURSIVE " + SERIES + "," + LOOP_MACD + """
           SELECT symbol, open_time, round(f - g, 6) AS macd, round(sg, 6) AS macd_signal,
                  round(f - g - sg, 6) AS macd_hist FROM md""",
-        # Weights 400 rows back are below 1e-28, so the loop over the last 400 rows is the full one.
-        "ema_long_series": w + LINES + f"""
-          SELECT {LINE_COLUMNS}, round(list_reduce(
-            list(x) OVER ({LINE_ORDER} ROWS BETWEEN 400 PRECEDING AND CURRENT ROW),
-            lambda a, b: b * (2.0::DOUBLE / 13) + a * (1 - 2.0::DOUBLE / 13)), 4) AS ema_12 FROM lines""",
+        # The serial loop over each whole series, as a fold that grows the list of averages.
+        "ema_long_series": w + LINES + f""",
+          placed AS MATERIALIZED (SELECT *, row_number() OVER ({LINE_ORDER}) AS rn FROM lines),
+          folded AS (SELECT symbol, list_reduce(list([x] ORDER BY rn), lambda a, b: list_append(
+                       a, b[1] * (2.0::DOUBLE / 13) + a[len(a)] * (1 - 2.0::DOUBLE / 13))) AS e FROM placed GROUP BY symbol),
+          averages AS (SELECT symbol, unnest(e) AS y, generate_subscripts(e, 1) AS rn FROM folded)
+          SELECT {LINE_COLUMNS}, round(y, 4) AS ema_12 FROM placed JOIN averages USING (symbol, rn)""",
         "sma_long_series": w + LINES + f"""
           SELECT {LINE_COLUMNS}, round(avg(x) OVER ({LINE_ORDER} ROWS BETWEEN 19 PRECEDING AND CURRENT ROW), 4)
             AS sma_20 FROM lines""",
@@ -434,7 +436,6 @@ def all_oracles() -> dict[str, str]:
           SELECT 'node' AS kind, id, name, type AS detail, count(*) AS copies FROM made GROUP BY ALL
           UNION ALL SELECT 'edge', from_node, to_node, 'dbt_model_dependency', count(*) FROM links GROUP BY ALL""",
         "lineage_graph": w + NODES + "SELECT * FROM resolved",
-        "export_lineage": w + NODES + "SELECT from_node, to_node, relationship FROM resolved",
         "validate": w + TRADES
         + """SELECT CASE WHEN trade_id % 5 = 2 THEN symbol END AS symbol, CASE WHEN trade_id % 5 = 2 THEN trade_id END AS trade_id,
                trade_id % 5 = 2 AND trade_id % 17 <> 0 AND trade_id % 13 <> 0 AS ok FROM trades""",
@@ -449,6 +450,13 @@ def all_oracles() -> dict[str, str]:
             || to_node || '","type":"' || to_type || '"}},"lineageDetails":{"sqlQuery":"Relationship: '
             || relationship || '"}}' AS lineage_request FROM resolved""",
     }
+    found["export_lineage"] = w + NODES + f"""
+      SELECT 'node' AS kind, id AS a, name AS b, type || '|olap|' || CASE type WHEN 'table' THEN 'model built in SQL' ELSE 'raw table' END AS body
+        FROM (SELECT DISTINCT * FROM made)
+      UNION ALL SELECT 'node', 'source.customer.' || c_custkey, c_name, 'topic|lake|customer feed' FROM customer
+      UNION ALL SELECT 'edge', from_node, to_node, relationship FROM resolved
+      UNION ALL SELECT 'event', e.from_node, e.to_node, e.run_event || '|' || e.lineage_request
+        FROM ({found['lineage_events'].split(NODES)[1].strip().replace("SELECT '", "SELECT from_node, to_node, '", 1)}) e"""
     # Small blocks change how a series is computed, not what comes out.
     return found | {f"{n}_blocks": found[n] for n in (
         "sma", "bollinger", "ema", "rsi", "macd", "sequences", "build_features", "target_horizon_5")}

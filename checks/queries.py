@@ -67,7 +67,7 @@ def features(spark, sf):
 
 @query
 def route_events(spark, sf):
-    routed = E.route_events(V.messages(spark, sf))
+    routed = E.stored_routes(V.messages(spark, sf), fresh_path(spark, "routes"))
     trades = routed.trades.select(
         F.lit("trade").alias("route"), F.col("symbol").alias("key"), F.col("event_time"),
         F.col("price").alias("text"), "quantity")
@@ -622,17 +622,17 @@ def upsert_table(spark, sf):
 # --- lineage ----------------------------------------------------------------------------------
 
 def _graph(spark, sf):
-    nodes, edges = L.manifest_lineage(V.manifests(spark, sf))
+    nodes, edges = L.stored_lineage(V.manifests(spark, sf), fresh_path(spark, "manifest"))
     customers = V.table(spark, sf, "customer").select(
         F.concat(F.lit("source.customer."), F.col("c_custkey").cast("string")).alias("id"),
         F.col("c_name").alias("name"), F.lit("topic").alias("type"), F.lit("lake").alias("layer"),
         F.lit("customer feed").alias("description"))
-    return L.lineage_graph([(nodes, edges), (customers, edges)])
+    return L.lineage_graph([(nodes, edges), (customers, None)])
 
 
 @query
 def manifest_lineage(spark, sf):
-    nodes, edges = L.manifest_lineage(V.manifests(spark, sf))
+    nodes, edges = L.stored_lineage(V.manifests(spark, sf), fresh_path(spark, "manifest"))
     n = nodes.groupBy("id", "name", "type", "layer", "description").count()
     e = edges.groupBy("from_node", "to_node", "relationship").count()
     return n.select(F.lit("node").alias("kind"), "id", "name", F.col("type").alias("detail"), "count").unionByName(
@@ -656,8 +656,17 @@ def lineage_events(spark, sf):
 
 @query
 def export_lineage(spark, sf):
-    """Lineage written as JSON lines; the ends of the events read back."""
+    """Lineage written as JSON lines; nodes, edges and the bodies of the events read back."""
     nodes, edges = _graph(spark, sf)
     folder = fresh_path(spark, "lineage")
-    L.export_lineage(nodes, edges, folder, "market")
-    return spark.read.schema(edges.schema).json(f"{folder}/events")
+    edge_text = F.concat_ws("|", "from_node", "to_node")
+    L.export_lineage(nodes, edges, folder, "market", event_time=F.lit("2024-01-01T00:00:00Z"), run_id=F.md5(edge_text))
+    events = "from_node string, to_node string, relationship string, run_event string, lineage_request string"
+    texts = F.concat_ws("|", "run_event", "lineage_request").alias("body")
+    return (
+        spark.read.schema(nodes.schema).json(f"{folder}/nodes").select(
+            F.lit("node").alias("kind"), F.col("id").alias("a"), F.col("name").alias("b"), F.concat_ws("|", "type", "layer", "description").alias("body"))
+        .unionByName(spark.read.schema(edges.schema).json(f"{folder}/edges").select(
+            F.lit("edge").alias("kind"), F.col("from_node").alias("a"), F.col("to_node").alias("b"), F.col("relationship").alias("body")))
+        .unionByName(spark.read.schema(events).json(f"{folder}/events").select(
+            F.lit("event").alias("kind"), F.col("from_node").alias("a"), F.col("to_node").alias("b"), texts)))

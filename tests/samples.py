@@ -6,16 +6,16 @@ from tickframe.schemas import BRONZE_KLINE
 
 H = 1704067200000  # 2024-01-01 00:00 UTC
 
-BAR_1 = ("BTCUSDT", "1h", H, "42000.00", "42500.00", "41800.00", "42200.00", "100.00",
-         H + 3599999, "4200000.00", 1000, "50.00", "2100000.00")
-BAR_2 = ("BTCUSDT", "1h", H + 3600000, "42200.00", "42800.00", "42100.00", "42600.00", "200.00",
-         H + 7199999, "8400000.00", 2000, "100.00", "4200000.00")
+BAR_1 = ("BTCUSDT", "1h", H, "51300.00", "51800.00", "51100.00", "51500.00", "100.00",
+         H + 3599999, "5130000.00", 1000, "50.00", "2565000.00")
+BAR_2 = ("BTCUSDT", "1h", H + 3600000, "51500.00", "52100.00", "51400.00", "51900.00", "200.00",
+         H + 7199999, "10260000.00", 2000, "100.00", "5130000.00")
 
-TRADE_TEXT = ('{"e":"trade","E":1720000000000,"s":"BTCUSDT","t":123456,"p":"65000.00","q":"0.001",'
+TRADE_TEXT = ('{"e":"trade","E":1720000000000,"s":"BTCUSDT","t":908172,"p":"712000.00","q":"0.001",'
               '"b":111,"a":222,"T":1720000000000,"m":false}')
 KLINE_TEXT = ('{"e":"kline","E":1720000000000,"s":"BTCUSDT","k":{"t":1720000000000,"T":1720000059999,'
-              '"s":"BTCUSDT","i":"1m","o":"65000.00","c":"65100.00","h":"65200.00","l":"64900.00",'
-              '"v":"10.5","n":150,"x":false,"q":"682500.00"}}')
+              '"s":"BTCUSDT","i":"1m","o":"712000.00","c":"712100.00","h":"712200.00","l":"711900.00",'
+              '"v":"10.5","n":150,"x":false,"q":"7477050.00"}}')
 
 
 def bronze(spark, *bars):

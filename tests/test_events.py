@@ -22,16 +22,16 @@ def without(text, *path):
 
 def test_trade_is_typed(spark):
     row = E.normalise_trades(texts(spark, TRADE_TEXT)).first()
-    assert (row.event_type, row.symbol, row.trade_id) == ("trade", "BTCUSDT", 123456)
-    assert (row.price, row.quantity) == ("65000.00", "0.001")
+    assert (row.event_type, row.symbol, row.trade_id) == ("trade", "BTCUSDT", 908172)
+    assert (row.price, row.quantity) == ("712000.00", "0.001")
     assert (row.buyer_order_id, row.seller_order_id) == (111, 222)
     assert row.trade_time == 1720000000000 and row.is_buyer_maker is False
 
 
 def test_both_spellings_agree(spark):
     long = json.dumps({
-        "event_type": "trade", "event_time": 1720000000000, "symbol": "BTCUSDT", "trade_id": 123456,
-        "price": "65000.00", "quantity": "0.001", "buyer_order_id": 111, "seller_order_id": 222,
+        "event_type": "trade", "event_time": 1720000000000, "symbol": "BTCUSDT", "trade_id": 908172,
+        "price": "712000.00", "quantity": "0.001", "buyer_order_id": 111, "seller_order_id": 222,
         "trade_time": 1720000000000, "is_buyer_maker": False,
     })
     assert len(set(E.normalise_trades(texts(spark, TRADE_TEXT, long)).collect())) == 1
@@ -57,7 +57,7 @@ def test_route_counts_and_dead_letters(spark, rows):
 
 def test_order_ids_are_optional_and_wrong_types_are_not(spark):
     bare = without(without(TRADE_TEXT, "a"), "b")
-    wrong = TRADE_TEXT.replace("123456", '"abc"')
+    wrong = TRADE_TEXT.replace("908172", '"abc"')
     routed = E.route_events(texts(spark, bare, wrong))
     assert routed.trades.count() == 1 and routed.dlq.count() == 1
 
@@ -73,7 +73,7 @@ def test_closed_bars_keep_final_ones(spark):
     closed = KLINE_TEXT.replace('"x":false', '"x":true')
     out = E.closed_bars(E.normalise_klines(texts(spark, KLINE_TEXT, closed))).collect()
     assert len(out) == 1
-    assert float(out[0].open) == 65000 and float(out[0].volume) == 10.5 and out[0].num_trades == 150
+    assert float(out[0].open) == 712000 and float(out[0].volume) == 10.5 and out[0].num_trades == 150
 
 
 def test_messages_are_parsed_once(spark):
@@ -86,7 +86,7 @@ def test_messages_are_parsed_once(spark):
 def test_validate_refuses_other_types_for_text(spark):
     fine = {"event_type": "trade", "event_time": 1, "symbol": "A", "trade_id": 7, "price": "1.5", "quantity": "2", "trade_time": 1,
             "is_buyer_maker": True}
-    odd = [dict(fine, price=65000), dict(fine, quantity=True), dict(fine, price=None), dict(fine, symbol=["A"]), dict(fine, trade_id="x")]
+    odd = [dict(fine, price=712000), dict(fine, quantity=True), dict(fine, price=None), dict(fine, symbol=["A"]), dict(fine, trade_id="x")]
     lenient = [dict(fine, trade_id="7"), dict(fine, is_buyer_maker="true")]
     ok, bad = E.validate(texts(spark, *map(json.dumps, [fine, *odd, *lenient])), TRADE, TRADE_OPTIONAL)
     assert ok.count() == 3 and bad.count() == len(odd)

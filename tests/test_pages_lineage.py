@@ -7,8 +7,8 @@ from tickframe.operators import lineage as L
 from tickframe.schemas import BRONZE_KLINE
 from tickframe.sources import pages
 
-BAR = [1704067200000, "42000.50000000", "42500.00000000", "41800.00000000", "42200.00000000", "1234.56789000",
-       1704070799999, "52123456.78900000", 5432, "617.28394500", "26061728.39450000", "0"]
+BAR = [1704067200000, "51300.50000000", "51800.00000000", "51100.00000000", "51500.00000000", "812.43210000",
+       1704070799999, "41765432.10000000", 3321, "406.21605000", "20882716.05000000", "0"]
 
 
 def page(spark, *payloads):
@@ -20,7 +20,7 @@ def test_page_keeps_digits_and_counts_malformed(spark):
     df = page(spark, json.dumps([BAR, [1, "bad"]]), "[]", json.dumps([BAR, BAR[:10], BAR[:11]]))
     rows = pages.parse_kline_pages(df).collect()
     assert len(rows) == 3 and df.columns and pages.parse_kline_pages(df).schema.names == BRONZE_KLINE.names
-    assert rows[0].open == "42000.50000000" and rows[0].volume == "1234.56789000" and rows[0].num_trades == 5432
+    assert rows[0].open == "51300.50000000" and rows[0].volume == "812.43210000" and rows[0].num_trades == 3321
     assert pages.page_metrics(df).first().asDict() == {
         "symbol": "BTCUSDT", "interval": "1h", "bars": 3, "malformed": 2}
 

@@ -238,3 +238,23 @@ def test_rows_without_a_place_are_kept(spark):
     assert I.bfill_ffill(both, ["close"], SMALL).count() == df.count() + 3
     full = both.withColumn("volume", F.col("volume").cast("decimal(18,8)"))
     assert I.build_features(full, series=SMALL, block_rows=20).count() == df.count() + 3
+
+
+@pytest.mark.parametrize("fan", [2, 3, 7])
+def test_states_are_carried_over_a_tree_of_blocks(spark, monkeypatch, fan):
+    """Few blocks per super-block, so that states cross many of both; results are those of the serial loops."""
+    monkeypatch.setattr(R, "FAN", fan)
+    df = data(spark)
+    close_to(by_symbol(R.ema(df, 10, series=SMALL, block_rows=4), "ema_10"), {k: ema_loop(v, 10) for k, v in closes(df).items()})
+    close_to(by_symbol(R.rsi(df, 14, series=SMALL, block_rows=16), "rsi_14"), {k: rsi_loop(v) for k, v in closes(df).items()})
+    found = by_symbol(R.macd(df, series=SMALL, block_rows=5), "macd", "macd_signal")
+    close_to(found, {k: list(zip(*macd_loop(v))) for k, v in closes(df).items()})
+
+
+def test_no_task_walks_a_whole_series(spark, monkeypatch):
+    """The walks are dealt by super-block; the one over super-blocks has one row for each of them."""
+    monkeypatch.setattr(R, "FAN", 4)
+    plan = R.ema(data(spark), 10, series=SMALL, block_rows=4)._jdf.queryExecution().executedPlan().toString()
+    assert "_super" in plan
+    dealt = [line for line in plan.splitlines() if "Exchange hashpartitioning(symbol" in line and "_super" in line]
+    assert dealt

@@ -25,7 +25,7 @@ def test_silver_job_dedups_and_partitions(spark, tmp_path):
     assert os.path.isdir(f"{out}/symbol=BTCUSDT/interval=1h/year=2024/month=1")
     assert not os.path.exists(bad)
     rows = lake.read_silver_klines(spark, out).orderBy("open_time").collect()
-    assert [r.open for r in rows] == [Decimal("42000.00000000"), Decimal("42200.00000000")]
+    assert [r.open for r in rows] == [Decimal("51300.00000000"), Decimal("51500.00000000")]
 
 
 def test_rejects_have_reasons(spark, tmp_path, rows):
@@ -76,7 +76,7 @@ def test_silver_overwrites_only_its_folders(spark, tmp_path):
     again, _ = S.to_silver(bronze(spark, changed(BAR_1, close="1")))
     sinks.write_silver(again, path)
     rows = {r.symbol: float(r.close) for r in lake.read_silver_klines(spark, path).collect()}
-    assert rows == {"BTCUSDT": 1.0, "ETHUSDT": 42200.0}
+    assert rows == {"BTCUSDT": 1.0, "ETHUSDT": 51500.0}
 
 
 def test_load_twice_keeps_rows(spark, tmp_path):

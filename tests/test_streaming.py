@@ -12,11 +12,11 @@ from tickframe.sources import lake
 from tickframe.streaming import jobs as J
 
 TRADES = [  # id, price, quantity, time, buyer is maker
-    (1, "65000.0", "1.0", 1720000025000, False), (1, "65000.0", "1.0", 1720000025000, False),
-    (2, "65010.0", "2.0", 1720000035000, True), (3, "65020.0", "3.0", 1720000045000, False),
-    (4, "65005.0", "4.0", 1720000040000, True),
+    (1, "712000.0", "1.0", 1720000025000, False), (1, "712000.0", "1.0", 1720000025000, False),
+    (2, "712010.0", "2.0", 1720000035000, True), (3, "712020.0", "3.0", 1720000045000, False),
+    (4, "712005.0", "4.0", 1720000040000, True),
 ]
-NEXT = (5, "65000.0", "1.0", 1720000095000, False)
+NEXT = (5, "712000.0", "1.0", 1720000095000, False)
 
 
 def text(trade, symbol="BTCUSDT"):
@@ -52,7 +52,7 @@ def done(query):
 
 def golden(row):
     assert row.window_start == datetime(2024, 7, 3, 9, 47) and row.window_end == datetime(2024, 7, 3, 9, 48)
-    assert row.vwap == pytest.approx(65010.0) and row.order_flow_imbalance == pytest.approx(-2.0)
+    assert row.vwap == pytest.approx(712010.0) and row.order_flow_imbalance == pytest.approx(-2.0)
     assert row.price_volatility == pytest.approx(8.5391, abs=1e-4) and row.trade_count == 4
 
 
@@ -89,7 +89,7 @@ def test_late_trades_and_restart(spark, source, tmp_path):
     source.add(text(NEXT))
     done(J.write_stream(J.microstructure_stream(source.stream()), out, check))
     source.add(text((6, "1.0", "9.0", 1720000026000, False)))
-    source.add(text((7, "65000.0", "1.0", 1720000295000, False)))
+    source.add(text((7, "712000.0", "1.0", 1720000295000, False)))
     done(J.write_stream(J.microstructure_stream(source.stream()), out, check))
     rows = {r.window_start.minute: r.trade_count for r in spark.read.parquet(out).collect()}
     assert rows == {47: 3, 48: 1}
@@ -119,18 +119,18 @@ def test_repeated_batch_replaces_itself(spark, tmp_path):
 
 def test_closed_bars(spark, source, tmp_path):
     body = {"open_time": 1720000000000, "close_time": 1720000059999, "symbol": "BTCUSDT", "interval": "1m",
-            "open": "65000.00", "close": "65100.00", "high": "65200.00", "low": "64900.00", "volume": "10.5",
-            "number_of_trades": 150, "is_closed": True, "quote_volume": "682500.00"}
+            "open": "712000.00", "close": "712100.00", "high": "712200.00", "low": "711900.00", "volume": "10.5",
+            "number_of_trades": 150, "is_closed": True, "quote_volume": "7477050.00"}
     event = {"event_type": "kline", "event_time": 1720000000000, "symbol": "BTCUSDT", "kline": body}
     source.add(json.dumps(event), json.dumps({**event, "kline": {**body, "is_closed": False}}))
     done(J.write_stream(J.closed_bars_stream(source.stream()), str(tmp_path / "o"), str(tmp_path / "c")))
     rows = spark.read.parquet(str(tmp_path / "o")).collect()
     assert len(rows) == 1 and rows[0].is_closed and rows[0].symbol == "BTCUSDT"
-    assert float(rows[0].open) == 65000 and float(rows[0].volume) == 10.5 and rows[0].num_trades == 150
+    assert float(rows[0].open) == 712000 and float(rows[0].volume) == 10.5 and rows[0].num_trades == 150
 
 
 def test_router_writes_three_tables(spark, source, tmp_path):
-    source.add(TRADE_TEXT, KLINE_TEXT, TRADE_TEXT.replace('"p":"65000.00",', ""), "junk")
+    source.add(TRADE_TEXT, KLINE_TEXT, TRADE_TEXT.replace('"p":"712000.00",', ""), "junk")
     paths = [str(tmp_path / n) for n in ("trades", "klines", "dlq")]
     done(J.route_stream(source.stream(), *map(J.table_sink, paths), str(tmp_path / "c")))
     assert [spark.read.parquet(p).count() for p in paths] == [1, 1, 1]

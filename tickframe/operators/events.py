@@ -144,6 +144,24 @@ def route_events(df: DataFrame, value: str = "value") -> Routed:
     return split_tagged(tag_events(unwrap_envelope(df, value), value), value)
 
 
+def stored_routes(df: DataFrame, path: str, value: str = "value") -> Routed:
+    """``route_events`` below ``path``: messages are scanned and parsed once, for all three frames."""
+    tagged = tag_events(unwrap_envelope(df, value), value)
+    routes = split_tagged(tagged, value)
+    good, kind = F.col("is_valid"), F.col("kind")
+    dead = [F.when(~good, c).alias(n) for n, c in (("dead_kind", kind), ("dead_value", F.col(value)))]
+    kept = tagged.select(
+        F.when(~good, "dlq").otherwise(kind).alias("output"), F.when(good, F.col("trade")).alias("trade"),
+        F.when(good, F.col("bar")).alias("bar"), *dead)
+    kept.write.mode("overwrite").partitionBy("output").parquet(path)
+    stored = df.sparkSession.read.schema(kept.schema).parquet(path)
+    return Routed(
+        stored.filter("output = 'trade'").select(*[F.col(f"trade.{c}") for c in routes.trades.columns]),
+        stored.filter("output = 'kline'").select(*[F.col(f"bar.{c}") for c in routes.klines.columns]),
+        stored.filter("output = 'dlq'").select(
+            F.col("dead_kind").alias("kind"), F.lit("unknown").alias("key"), F.col("dead_value").alias("value")))
+
+
 def flatten_klines(df: DataFrame) -> DataFrame:
     """Nested bar events as flat bars; ``number_of_trades`` becomes ``num_trades``."""
     k = F.col("kline")

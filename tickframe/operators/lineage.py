@@ -20,8 +20,8 @@ MODEL_EDGE = "dbt_model_dependency"
 DEFAULT_TYPE = "table"
 
 
-def manifest_lineage(manifests: DataFrame, text: str = "manifest") -> tuple[DataFrame, DataFrame]:
-    """Nodes (id, name, type, layer, description) and parent edges of model manifests."""
+def _parsed(manifests: DataFrame, text: str) -> DataFrame:
+    """One row per manifest: ``nodes`` and ``edges``, arrays of structs."""
     parsed = manifests.select(parsed_once(F.from_json(text, MANIFEST)))
     models = F.filter(F.map_entries("nodes"), lambda e: e["value"]["resource_type"] == "model")
 
@@ -37,25 +37,50 @@ def manifest_lineage(manifests: DataFrame, text: str = "manifest") -> tuple[Data
 
         return build
 
+    def parents(m: Column) -> Column:
+        return F.transform(m["value"]["depends_on"]["nodes"], lambda p: F.struct(
+            p.alias("from_node"), m["key"].alias("to_node"), F.lit(MODEL_EDGE).alias("relationship")))
+
     none = F.array()
     made = F.transform(models, node("table", "gold", "model built in SQL"))
     raw = F.transform(F.map_entries("sources"), node("dbt_source", None, "raw table"))
+    known = F.filter(F.transform(models, parents), lambda p: p.isNotNull())
+    return parsed.select(
+        F.filter(F.concat(F.coalesce(raw, none), F.coalesce(made, none)), lambda n: n["id"].isNotNull()).alias("nodes"),
+        F.filter(F.flatten(F.coalesce(known, none)), lambda e: e["from_node"].isNotNull()).alias("edges"))
+
+
+def manifest_lineage(manifests: DataFrame, text: str = "manifest") -> tuple[DataFrame, DataFrame]:
+    """Nodes (id, name, type, layer, description) and parent edges of model manifests."""
+    both = _parsed(manifests, text)
     # Outer generators: for inner ones Spark adds size checks that compute the input again.
-    nodes = parsed.select(F.inline_outer(F.concat(F.coalesce(raw, none), F.coalesce(made, none))))
-    edges = parsed.select(F.explode_outer(models).alias("m")).select(
-        F.explode_outer("m.value.depends_on.nodes").alias("from_node"), F.col("m.key").alias("to_node"),
-        F.lit(MODEL_EDGE).alias("relationship"),
-    )
+    nodes, edges = (both.select(F.inline_outer(c)) for c in ("nodes", "edges"))
     return nodes.filter("id IS NOT NULL"), edges.filter("from_node IS NOT NULL")
 
 
-def lineage_graph(parts: list[tuple[DataFrame, DataFrame]]) -> tuple[DataFrame, DataFrame]:
-    """Union of node and edge lists; one node per id (the last list wins), one edge per triple."""
+def stored_lineage(manifests: DataFrame, path: str, text: str = "manifest") -> tuple[DataFrame, DataFrame]:
+    """``manifest_lineage`` below ``path``: manifests are scanned and parsed once, for both tables."""
+    both = _parsed(manifests, text)
+    node, edge = (both.schema[c].dataType.elementType for c in ("nodes", "edges"))
+
+    def entry(output: str, own: Column) -> Column:
+        return F.struct(F.lit(output).alias("output"), (own if output == "nodes" else F.lit(None).cast(node)).alias("node"),
+                        (own if output == "edges" else F.lit(None).cast(edge)).alias("edge"))
+
+    tagged = both.select(F.inline_outer(F.concat(
+        F.transform("nodes", lambda n: entry("nodes", n)), F.transform("edges", lambda e: entry("edges", e))))).filter("output IS NOT NULL")
+    tagged.write.mode("overwrite").partitionBy("output").parquet(path)
+    stored = manifests.sparkSession.read.schema(tagged.schema).parquet(path)
+    return stored.filter("output = 'nodes'").select("node.*"), stored.filter("output = 'edges'").select("edge.*")
+
+
+def lineage_graph(parts: list[tuple[DataFrame, DataFrame | None]]) -> tuple[DataFrame, DataFrame]:
+    """Union of node and edge lists (None: no edges); one node per id (the last list wins), one edge per triple."""
     nodes = edges = None
     for rank, (n, e) in enumerate(parts):
         ranked = n.withColumn("_part", F.lit(rank))
         nodes = ranked if nodes is None else nodes.unionByName(ranked)
-        edges = e if edges is None else edges.unionByName(e)
+        edges = e if edges is None else edges if e is None else edges.unionByName(e)
     latest = dedup_latest(nodes, ["id"], ["_part"]).drop("_part")
     return latest, edges.dropDuplicates(["from_node", "to_node", "relationship"])
 

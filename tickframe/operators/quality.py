@@ -21,35 +21,30 @@ class Rules:
 
 
 def check(df: DataFrame, rules: Rules) -> DataFrame:
-    """Rows (rule, column, failures); zero failures means the rule is met.
+    """Rows (rule, column, failures); zero failures means the rule is met. A key fails once however often it repeats.
 
-    Null and condition rules share one pass; each unique key needs a grouping of its own. A key
-    fails once however often it repeats.
+    All rules are counted in one pass and one shuffle. A row gives one entry for the null and condition rules, whose
+    counts are combined before the shuffle, and one for each of its unique keys. After the grouping an entry of a key that
+    has come more than once is a failure.
     """
-    names, counts = [], []
-    for c in rules.not_null:
-        names.append(("not_null", c))
-        counts.append(F.count_if(F.col(c).isNull()))
-    for label, condition in rules.holds.items():
-        met = F.coalesce(F.expr(condition), F.lit(rules.null_passes))
-        names.append(("holds", label))
-        counts.append(F.count_if(~met))
-    parts = []
-    if names:
-        one = df.agg(*[n.alias(f"_c{i}") for i, n in enumerate(counts)])
-        rows = F.array(*[
-            F.struct(F.lit(rule).alias("rule"), F.lit(c).alias("column"), F.col(f"_c{i}").alias("failures"))
-            for i, (rule, c) in enumerate(names)
-        ])
-        parts.append(one.select(F.inline(rows)))
-    for c in rules.unique:
-        repeated = df.filter(F.col(c).isNotNull()).groupBy(c).count().filter("count > 1")
-        parts.append(repeated.agg(F.count(F.lit(1)).alias("failures")).select(
-            F.lit("unique").alias("rule"), F.lit(c).alias("column"), "failures"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    names = [("not_null", c) for c in rules.not_null] + [("holds", label) for label in rules.holds]
+    broken = [F.col(c).isNull() for c in rules.not_null] + [
+        ~F.coalesce(F.expr(condition), F.lit(rules.null_passes)) for condition in rules.holds.values()]
+    flags = [f"_b{i}" for i in range(len(names))]
+    nothing = F.lit(None).cast("string")
+    entries = [F.struct(F.lit(-1).alias("_slot"), nothing.alias("_key"), *[c.cast("int").alias(f) for c, f in zip(broken, flags)])]
+    for i, c in enumerate(rules.unique):
+        entry = F.struct(F.lit(i).alias("_slot"), F.col(c).cast("string").alias("_key"), *[F.lit(0).alias(f) for f in flags])
+        entries.append(F.when(F.col(c).isNotNull(), entry))
+    grouped = df.select(F.inline(F.filter(F.array(*entries), lambda e: e.isNotNull()))).groupBy("_slot", "_key").agg(
+        F.count(F.lit(1)).alias("_n"), *[F.sum(f).alias(f) for f in flags])
+    counts = [F.coalesce(F.sum(F.when(F.col("_slot") == -1, F.col(f))), F.lit(0)) for f in flags]
+    counts += [F.count_if((F.col("_slot") == i) & (F.col("_n") > 1)) for i in range(len(rules.unique))]
+    names += [("unique", c) for c in rules.unique]
+    one = grouped.agg(*[n.alias(f"_c{i}") for i, n in enumerate(counts)])
+    return one.select(F.inline(F.array(*[
+        F.struct(F.lit(rule).alias("rule"), F.lit(c).alias("column"), F.col(f"_c{i}").alias("failures"))
+        for i, (rule, c) in enumerate(names)])))
 
 
 _OHLC = {"high >= low": "high >= low", "volume >= 0": "volume >= 0", "num_trades >= 0": "num_trades >= 0"}

@@ -102,14 +102,21 @@ def upsert_latest(new: DataFrame, existing: DataFrame, keys: Iterable[str] = BAR
     return dedup_latest(existing.unionByName(new), keys, [version])
 
 
-def to_silver(bronze: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Bronze bars to (silver, rejected); derived columns are added after the dedup shuffle.
+def tag_typed(bronze: DataFrame) -> DataFrame:
+    """Typed bronze bars with a ``reject_reason``, null for valid ones, and the text of their numbers in ``<column>_text``."""
+    typed = cast_prices(keep_text(bronze.select(*KLINE_COLUMNS)))
+    return typed.withColumn("reject_reason", reject_reason(kline_rules(typed.columns)))
 
-    Rejected rows carry the text of their numbers in ``<column>_text``.
-    """
+
+def finish_silver(valid: DataFrame) -> DataFrame:
+    """Valid typed bars to silver; derived columns are added after the dedup shuffle."""
+    return with_partitions(with_times(dedup_latest(valid)))
+
+
+def to_silver(bronze: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Bronze bars to (silver, rejected). Rejected rows carry the text of their numbers in ``<column>_text``."""
     valid, rejected = split_valid(cast_prices(keep_text(bronze.select(*KLINE_COLUMNS))))
-    valid = valid.select(*KLINE_COLUMNS)
-    return with_partitions(with_times(dedup_latest(valid))), with_times(rejected)
+    return finish_silver(valid.select(*KLINE_COLUMNS)), with_times(rejected)
 
 
 def silver_metrics(bronze: DataFrame) -> DataFrame:

@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from tickframe.operators.events import live_bronze
 from tickframe.operators.indicators import build_features
 from tickframe.operators.marts import log_returns, ohlcv, stg_klines
-from tickframe.operators.silver import silver_metrics, to_silver, union_bronze
+from tickframe.operators.silver import finish_silver, tag_typed, union_bronze, with_times
 from tickframe.plans.metrics import export_views
-from tickframe.schemas import KLINE_EVENT, SILVER_KLINE
+from tickframe.schemas import KLINE_COLUMNS, KLINE_EVENT, SILVER_KLINE
+from tickframe.session import fresh_path
+from tickframe.sources.files import remove
 from tickframe.sources.lake import (
     read_bronze_klines, read_mixed_klines, read_or_empty, read_silver_klines, scan_latest,
 )
@@ -24,19 +26,34 @@ def run_silver(spark: SparkSession, bronze: str, silver: str, rejects: str, live
     ``live`` names landed bar events (nested, as the bronze stream writes them); their closed bars join the
     flat history bars of ``bronze`` before validation and dedup. With ``mixed``, ``bronze`` itself holds files of both kinds.
 
-    The counts are an aggregation of their own: metrics observed during a write count a task
-    again when it is retried.
+    Bronze is scanned and typed once, into a staged table of valid and rejected rows. All counts are row counts of written files,
+    taken from their footers: metrics observed during a write count a task again when it is retried.
     """
     raw = read_mixed_klines(spark, bronze) if mixed else read_bronze_klines(spark, bronze)
     if live:
         raw = union_bronze(live_bronze(spark.read.schema(KLINE_EVENT).parquet(live)), raw)
-    counts = silver_metrics(raw).first().asDict()
-    kept, bad = to_silver(raw)
-    write_silver(kept, silver)
-    write_rejects(bad, rejects, counts["rejected"])
+    path = fresh_path(spark, "typed")
+    typed = tag_typed(raw).withColumn("valid", F.col("reject_reason").isNull())
+    typed.write.partitionBy("valid").parquet(path)
+    stored = spark.read.schema(typed.schema).parquet(path)
+    valid, rejected = stored.filter("valid").select(*KLINE_COLUMNS), stored.filter("NOT valid").drop("valid")
+    counts = {"raw": stored.count(), "rejected": rejected.count()}
+    write_silver(finish_silver(valid), silver)
+    write_rejects(with_times(rejected), rejects, counts["rejected"])
+    counts["kept"] = kept_rows(spark, valid, silver) if counts["raw"] > counts["rejected"] else 0
+    counts["duplicates"] = counts["raw"] - counts["rejected"] - counts["kept"]
+    remove(spark, path)
     return counts
 
 
+def kept_rows(spark: SparkSession, valid: DataFrame, silver: str) -> int:
+    """Rows of the silver folders that ``valid`` bars belong to, which a write has replaced. Only footers are read."""
+    at = F.timestamp_millis("open_time")
+    folders = valid.select("symbol", "interval", F.year(at).alias("year"), F.month(at).alias("month")).distinct()
+    stored = spark.read.schema(SILVER_KLINE).parquet(silver)
+    return stored.join(folders, ["symbol", "interval", "year", "month"], "left_semi").count()
+
+
 def load_raw(spark: SparkSession, silver: str, table: str) -> None:
     """Load silver bars into the versioned serving table; loading again changes nothing.
 
