@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from samples import H, series, walk
 from tickframe.operators import mlprep as P
+from tickframe.operators import quality as Q
 from tickframe.operators import series as Z
 from tickframe.schemas import FEATURE_COLUMNS
 
@@ -83,3 +84,17 @@ def test_scaler_counts_and_leaves_out_odd_values(spark):
     df = spark.createDataFrame([(1.0,), (3.0,), (float("inf"),), (float("nan"),), (None,)], "x double")
     row = P.fit_scaler(df, ["x"]).first()
     assert (row.x_mean, row.x_odd) == (2.0, 2) and abs(row.x_std - 2 ** 0.5) < 1e-12
+
+
+def test_all_rules_in_one_pass(spark):
+    """Two keys, nulls and a condition: one scan, one shuffle by key, and the counts of each rule on its own."""
+    rows = [(1, "a", 2.0), (1, "b", None), (2, None, -1.0), (None, "b", 3.0), (1, "c", 4.0), (None, None, None)]
+    df = spark.createDataFrame(rows, "k int, t string, x double")
+    made = Q.check(df, Q.Rules(("k", "t"), ("k", "t", "x"), {"x > 0": "x > 0"}))
+    assert {(r.rule, r.column): r.failures for r in made.collect()} == {
+        ("not_null", "k"): 2, ("not_null", "t"): 2, ("holds", "x > 0"): 1, ("unique", "k"): 1, ("unique", "t"): 1, ("unique", "x"): 0}
+    strict = Q.check(df, Q.Rules(holds={"x > 0": "x > 0"}, null_passes=False)).collect()
+    assert [r.failures for r in strict] == [3]
+    assert {r.failures for r in Q.check(df.limit(0), Q.Rules(("k",), ("t",), {"x > 0": "x > 0"})).collect()} == {0}
+    plan = made._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("Exchange hashpartitioning") == 1

@@ -3,9 +3,10 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from samples import BAR_1, BAR_2, bronze
 from tickframe.operators import lineage as L
-from tickframe.schemas import BRONZE_KLINE
-from tickframe.sources import pages
+from tickframe.schemas import BRONZE_KLINE, KLINE_EVENT
+from tickframe.sources import lake, pages, sinks
 
 BAR = [1704067200000, "51300.50000000", "51800.00000000", "51100.00000000", "51500.00000000", "812.43210000",
        1704070799999, "41765432.10000000", 3321, "406.21605000", "20882716.05000000", "0"]
@@ -106,3 +107,33 @@ def test_plan_refuses_what_it_cannot_plan(spark):
         pages.backfill_plan(ranges, ["1d", "10m"])
     with pytest.raises(Exception, match="no start_date for A"):
         pages.backfill_plan(ranges.withColumn("start_date", F.lit(None).cast("string")), ["1d"]).collect()
+
+
+def test_one_prefix_for_history_and_live_bars(spark, tmp_path):
+    path = str(tmp_path / "mixed")
+    sinks.write_bronze_klines(bronze(spark, BAR_1, BAR_2), path)
+    symbol, interval, at, o, h, low, c, v, end, quote, n, *_ = BAR_1
+    bars = [(at + 7_200_000, True), (at + 10_800_000, False)]
+    events = [("kline", 5, symbol, (t, t + 3_599_999, symbol, interval, o, c, h, low, v, n, closed, quote)) for t, closed in bars]
+    sinks.write_live_klines(spark.createDataFrame(events, KLINE_EVENT), path)
+    rows = {r.open_time: r for r in lake.read_mixed_klines(spark, path).collect()}
+    assert sorted(rows) == [at, at + 3_600_000, at + 7_200_000]
+    live = rows[at + 7_200_000]
+    assert (live.symbol, live.interval, live.open, live.num_trades, live.taker_buy_base_volume) == (symbol, interval, o, n, None)
+    assert tuple(rows[at]) == BAR_1
+    plan = lake.read_mixed_klines(spark, path)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan parquet") == 1
+
+
+def test_stored_lineage_parses_once(spark, tmp_path):
+    manifest = {"nodes": {"m.a": {"resource_type": "model", "name": "a", "depends_on": {"nodes": ["s.x", None]}},
+                          "m.b": {"resource_type": "model", "name": "b", "schema": "silver", "depends_on": {"nodes": ["m.a"]}},
+                          "t": {"resource_type": "test", "name": "t", "depends_on": {"nodes": ["m.a"]}},
+                          "m.c": {"resource_type": "model", "name": "c"}},
+                "sources": {"s.x": {"name": "x", "schema": "raw"}}}
+    df = spark.createDataFrame([(json.dumps(manifest),), ("{}",), ("no json",), (None,)], "manifest string")
+    made, stored = L.manifest_lineage(df), L.stored_lineage(df, str(tmp_path / "lineage"))
+    for a, b in zip(made, stored):
+        assert a.columns == b.columns and sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
+    assert {(r.from_node, r.to_node) for r in stored[1].collect()} == {("s.x", "m.a"), ("m.a", "m.b")}
+    assert {r.id for r in stored[0].collect()} == {"s.x", "m.a", "m.b", "m.c"}

@@ -154,3 +154,15 @@ def test_upsert_handles_any_number_of_folders_and_odd_names(spark, tmp_path, row
         sinks.upsert_table(spark, spark.createDataFrame(some, layout), path, ["symbol"])
     assert rows(spark.read.schema(layout).parquet(path), "symbol", "close") == sorted(
         (n, 2.0 if k % 2 == 0 else 1.0) for k, n in enumerate(names))
+
+
+def test_job_counts_come_from_what_is_written(spark, tmp_path):
+    """Bronze with a copy, a corrected copy and a bad bar; the counts of a second run are those of its own rows."""
+    paths = [str(tmp_path / n) for n in ("bronze", "silver", "bad")]
+    rows = bronze(spark, BAR_1, BAR_1, BAR_2, changed(BAR_1, symbol="ETHUSDT"), changed(BAR_2, symbol="ETHUSDT", close="abc"))
+    sinks.write_bronze_klines(rows, paths[0])
+    assert jobs.run_silver(spark, *paths) == {"raw": 5, "rejected": 1, "kept": 3, "duplicates": 1}
+    other = str(tmp_path / "more")
+    sinks.write_bronze_klines(bronze(spark, changed(BAR_1, symbol="ETHUSDT")), other)
+    assert jobs.run_silver(spark, other, *paths[1:]) == {"raw": 1, "rejected": 0, "kept": 1, "duplicates": 0}
+    assert spark.read.parquet(paths[1]).count() == 3 and spark.read.parquet(paths[2]).count() == 1
