@@ -130,7 +130,8 @@ def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> Classifier:
     share = {lang: min(SCALE, 8 * per_language * SCALE // n + 1) for lang, n in counts.items()}
     thin = F.pmod("hash", F.lit(SCALE)) < F.element_at(F.from_json(F.lit(json.dumps(share)), "map<string, long>"), F.col("lang"))
     distinct = named.filter(thin).groupBy("lang", "hash").agg(F.min(excerpt(F.col("text"))).alias("text"))
-    order = Window.partitionBy("lang").orderBy("hash")
+    # The same order as that of the thinning, so that it changes nothing about which texts come first.
+    order = Window.partitionBy("lang").orderBy(F.pmod("hash", F.lit(SCALE)), "hash")
     sample = distinct.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= per_language)
     rows = sorted((r["lang"], r["place"], r["text"]) for r in sample.collect())
     return Classifier([r[2] for r in rows], [r[0] for r in rows])
