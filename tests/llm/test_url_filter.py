@@ -1,4 +1,6 @@
+import random
 import re
+from itertools import combinations
 
 from tickframe.llm import url_filter as U
 
@@ -41,3 +43,36 @@ def test_mined_rules_reach_unlabelled_urls(spark):
 
 def test_no_pages(spark):
     assert U.judge(spark.createDataFrame([], "page_id long, url string")).count() == 0
+
+
+def test_long_templates_are_mined_as_one(spark):
+    """Shared path parts would give two to the power of their number of combinations; few URLs would be their own."""
+    template = "/".join(f"part{k}" for k in range(30))
+    urls = [f"http://h{k}.net/{template}/{k}" for k in range(150)] + [f"http://h{k}.com/" + "/".join(f"u{k}x{j}" for j in range(40)) for k in range(50)]
+    urls += [f"http://other.com/{template}/x", "http://other.com/" + "long" * 3000]
+    got = {r.page_id: r for r in U.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).collect()}
+    assert got[200].rule is None and got[200].verdict == "block" and got[201].verdict == "allow"
+    assert all(got[k].verdict == "block" for k in range(150)) and all(got[k].verdict == "allow" for k in range(150, 200))
+
+
+def test_mined_rules_same_as_brute_force(spark):
+    """Support and confidence of every combination counted one by one; rules of shorter ones as sure are all that is left."""
+    rng = random.Random(4)
+    rows = []
+    for k in range(300):
+        toks = sorted({f"p:t{rng.randrange(6)}" for _ in range(rng.randrange(1, 5))} | {f"p:only{k}"})
+        verdict = rng.choice([None, "allow"]) if "p:t1" not in toks else rng.choice(["block"] * 12 + ["allow"])
+        rows.append((k, toks, verdict))
+    made = {(tuple(r.need), r.verdict): (round(r.confidence, 9)) for r in U.mine(
+        spark.createDataFrame(rows, "id long, tokens array<string>, verdict string"), 0.05, 0.9).collect()}
+    want = {}
+    for size in (1, 2, 3, 4):
+        for need in combinations([f"p:t{k}" for k in range(6)], size):
+            fit = [v for _, t, v in rows if set(need) <= set(t)]
+            for verdict in ("allow", "block"):
+                both = fit.count(verdict)
+                if both >= 15 and both >= 0.9 * len(fit):
+                    want[need, verdict] = round(both / len(fit), 9)
+    pruned = {(n, v): c for (n, v), c in want.items() if not any(
+        set(m) < set(n) and w == v and c2 >= c for (m, w), c2 in want.items())}
+    assert made == pruned and pruned

@@ -4,7 +4,7 @@ A URL is cut into host and path. A given rule fits its host and every subdomain,
 the rule's path; the longest wins. What the given rules decide labels those URLs. FP-growth mines token
 combinations (host labels and path parts) that go with a label, over all distinct URLs: those without a
 label count against a rule's confidence, so that a token is not blocked for a few blocked URLs. Rules below
-the support or confidence asked for are pruned, and so is one that a shorter one of its verdict makes needless. URLs that
+the support (a share of the URLs, ten of them at least) or confidence asked for are pruned, and so is one that a shorter one of its verdict makes needless. URLs that
 no given rule fits take the verdict of the most confident mined rule, or ``allow``.
 
 Mined rules are matched by an inverted index: each rule stands under its rarest token, distinct URLs are
@@ -12,12 +12,14 @@ joined by token, and the candidates' other tokens are checked. Each distinct URL
 very common host or URL is not judged again and again; the join back is split by Spark where it is hot.
 
 Edge cases: a null URL or one without ``://`` has empty host and path, fits no rule and is allowed. With
-no labelled URL, or an empty table, nothing is mined. Repeated rows are judged alike. Extra columns of
+no labelled URL, or an empty table, nothing is mined. Very long URLs are taken whole. Rules of equal confidence: the wider support,
+then more tokens, then the last by text. Repeated rows are judged alike. Extra columns of
 the pages are ignored.
 """
 
 from __future__ import annotations
 
+from math import ceil
 from typing import NamedTuple
 
 from pyspark.ml.fpm import FPGrowth
@@ -42,6 +44,7 @@ RULES = (
     HostRule("allow", "org", "/fr/"),
 )
 LABEL = "verdict="
+LEAST_URLS = 10  # that a mined combination stands in
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -70,14 +73,30 @@ def tokens() -> Column:
     return F.array_distinct(F.filter(parts, lambda t: F.length(t) > 2))
 
 
+def condensed(labelled: DataFrame, least: int) -> DataFrame:
+    """``labelled`` (id, tokens, verdict) without tokens of fewer than ``least`` URLs, and with one token of each set that stands in
+    the same URLs: the others would only multiply the combinations, of which each is true of the same URLs.
+
+    Two tokens stand in the same URLs if the number of these and two XORs over their hashes agree.
+    """
+    own = labelled.select("id", "verdict", F.explode("tokens").alias("token"))
+    where = own.groupBy("token").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("x"),
+                                     F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y")).filter(F.col("n") >= least)
+    kept = staged(where.groupBy("n", "x", "y").agg(F.min("token").alias("token")).select("token"), "url-tokens")
+    # A URL has each token once, so a list here is no longer than its tokens.
+    return own.join(kept, "token").groupBy("id").agg(F.collect_list("token").alias("tokens"), F.first("verdict", True).alias("verdict"))
+
+
 def mine(labelled: DataFrame, min_support: float = 0.002, min_confidence: float = 0.9) -> DataFrame:
-    """Rules from ``tokens`` and ``verdict`` (null: no label): (need, verdict, confidence, support), and the token to index by.
+    """Rules from ``id``, ``tokens`` and ``verdict`` (null: no label): (need, verdict, confidence, support), and the token to index by.
 
-    Their number is bounded by the support asked for, not by the data.
+    A combination must stand in a share of ``min_support`` of the URLs, and in LEAST_URLS of them at least.
     """
+    least = max(ceil(min_support * labelled.count()), LEAST_URLS)
+    short = staged(condensed(labelled, least), "url-baskets")
     label = F.when(F.col("verdict").isNull(), F.array().cast("array<string>")).otherwise(F.array(F.concat(F.lit(LABEL), "verdict")))
-    baskets = labelled.select(F.concat("tokens", label).alias("items"))
-    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets)
+    baskets = short.select(F.concat("tokens", label).alias("items"))
+    model = FPGrowth(itemsCol="items", minSupport=min(1.0, least / max(short.count(), 1)), minConfidence=min_confidence).fit(baskets)
     single = model.freqItemsets.filter(F.size("items") == 1).select(F.col("items")[0].alias("token"), "freq")
     rules = model.associationRules.filter(
         F.startswith(F.col("consequent")[0], F.lit(LABEL)) & ~F.exists("antecedent", lambda t: F.startswith(t, F.lit(LABEL)))
@@ -111,7 +130,7 @@ def judge(pages: DataFrame, rules: tuple[HostRule, ...] = RULES, min_support: fl
     parted = pages.select("page_id", host.alias("host"), path.alias("path"))
     urls = parted.groupBy("host", "path").agg(F.count("*").alias("pages"))
     urls = staged(urls.select("host", "path", "pages", fixed_rule(rules).alias("fixed"), tokens().alias("tokens")), "urls")
-    labelled = urls.filter(F.size("tokens") > 0).select("tokens", "fixed.verdict")
+    labelled = urls.filter(F.size("tokens") > 0).select(F.xxhash64("host", "path").alias("id"), "tokens", "fixed.verdict")
     open_ = urls.filter(F.col("fixed").isNull() & (F.size("tokens") > 0))
     if labelled.filter(F.col("verdict").isNotNull()).isEmpty():
         mined = open_.select("host", "path", F.lit(None).cast("string").alias("mined"), F.lit(None).cast("string").alias("mined_rule"))
