@@ -60,3 +60,17 @@ def test_licenses(spark, docs, no_docs):
     assert got[5].notices == ["CC-BY-NC-4.0 notice", "MIT notice"] and got[4].notices == [] and got[6].digest is None
     assert C.scan(docs).count() == docs.count() and C.scan(no_docs).count() == 0
     assert C.scan(df, {}).filter("license IS NOT NULL").count() == 0
+
+
+def test_known_texts_without_a_plain_word_are_found_on_lines(spark):
+    """Words that all have another spelling, other scripts, a copyright line that copies do without."""
+    known = {"NC": "Noncommercial licence.", "free": "\u8457\u4f5c\u6a29\u30d5\u30ea\u30fc", "MIT": "Released under the MIT License.",
+             "own": "Copyright (c) 2020 Extraordinarily Longnamed Holder\nUse it & keep it", "link": "see https://x"}
+    lines = ["Non commercial license", "\u8457\u4f5c\u6a29\u30d5\u30ea\u30fc", "released under the mit licence", "use it and keep it", "See http://x"]
+    for names in (list(known), ["NC", "MIT"], ["free", "MIT"], ["own", "MIT"], ["link", "MIT"], ["MIT"]):
+        some = {n: known[n] for n in names}
+        df = spark.createDataFrame([(1, "\n".join(["other words", *lines]), "x", "y")], "doc_id long, text string, license string, digest string")
+        assert C.scan(df, some).first().notices == sorted(some)
+    both = C.scan(df, {"b": "Same text", "a": "same TEXT!", "empty": "?!"})
+    assert both.columns == ["doc_id", "digest", "license", "notices"] and both.first().notices == []
+    assert C.scan(df.selectExpr("doc_id", "'SAME text' AS text"), {"b": "Same text", "a": "same TEXT!"}).first().license == "a"

@@ -7,7 +7,7 @@ the row. All expressions are built in; the known table is as small as the list o
 
 Edge cases: null, empty and punctuation-only texts have the digest of nothing and match no licence; so
 does a list entry that is empty. Several names with one digest give the first by name. Repeated rows match
-alike. Extra columns are ignored.
+alike. Texts are taken whole, however long. Extra columns are ignored, so their names cannot clash.
 """
 
 from __future__ import annotations
@@ -95,13 +95,22 @@ def known_digests(spark, known: dict[str, str] = KNOWN) -> DataFrame:
 
 
 def _hint(known: dict[str, str]) -> str:
-    """A pattern that every line equal to a known text matches: the longest word of each that no spelling changes.
+    """A pattern that every line equal to a known text matches: the longest word of each that no step changes.
 
-    Lines without any of these words cannot match and are not made canonical, which costs many passes.
+    Lines without any of these words cannot match and are not made canonical, which costs many passes. A known text that
+    has no such word can be any line, so that then all are made canonical.
     """
-    changed = {w for pair in SPELLINGS.items() for side in pair for w in side.split()}
-    words = (sorted(set(re.findall(r"[a-z0-9]+", t.lower())) - changed, key=lambda w: (-len(w), w)) for t in known.values())
-    return "|".join(sorted({w[0] for w in words if w})) or "(?!)"
+    changed = {w for pair in SPELLINGS.items() for side in pair for w in side.split()} | {"http", "https", "and"}
+    found = []
+    for text in known.values():
+        kept = re.sub(STEPS[0][0], "", text.lower())  # a copy may do without the copyright lines
+        if not re.search(r"[^\W_]", kept):
+            continue  # nothing is left of it, so no line equals it
+        words = sorted(set(re.findall(r"[a-z0-9]+", kept)) - changed, key=lambda w: (-len(w), w))
+        if not words:
+            return ""
+        found.append(words[0])
+    return "|".join(sorted(set(found))) or "(?!)"
 
 
 def scan(docs: DataFrame, known: dict[str, str] = KNOWN) -> DataFrame:
