@@ -1,6 +1,7 @@
 """Several outputs of one stream, landing groups, replayed batches."""
 
 import json
+import time
 from datetime import datetime
 
 import pytest
@@ -108,6 +109,54 @@ def test_replay_delivers_in_order(spark):
     assert seen == [[0], [1], [3]]
 
 
+def test_batches_are_spread_over_files(spark, monkeypatch):
+    """A large batch has several files; a small one has as many, so that a trigger takes neither less nor more of it."""
+    monkeypatch.setattr("tickframe.sources.replay.FILE_ROWS", 10)
+    rows = [(0, i) for i in range(35)] + [(1, 100)] + [(2, i) for i in range(200, 240)]
+    replay = Replay(spark.createDataFrame(rows, "b int, i int"), "b")
+    assert replay.files == 4 and replay.deliver() == 3
+    seen = []
+    query = (replay.stream().writeStream.option("checkpointLocation", replay.path + "-progress").trigger(availableNow=True)
+             .foreachBatch(lambda df, i: seen.append((df.columns, sorted(map(tuple, df.collect()))))).start())
+    query.awaitTermination()
+    assert seen == [(["b", "i"], [r for r in rows if r[0] == b]) for b in range(3)]
+    assert len(files.names(spark, replay.path)) == 1 + 3 * 4  # and _SUCCESS
+
+
+def test_a_long_batch_is_waited_for(spark, tmp_path):
+    """Patience is for a query that does nothing, not for a batch that takes longer."""
+    replay = Replay(spark.createDataFrame([(0, "t", message(i)) for i in range(3)], "b int, topic string, value string"), "b")
+    replay.deliver()
+    seen = []
+
+    def slow(df, i):
+        n = df.count()
+        time.sleep(6 if n else 0)
+        seen.append(n)
+
+    query = (G.flush_groups(replay.stream(), 3, 600).writeStream.option("checkpointLocation", str(tmp_path / "progress"))
+             .trigger(processingTime="100 milliseconds").foreachBatch(slow).start())
+    G.caught_up(query, patience=3)
+    query.stop()
+    assert seen[0] == 3
+
+
+def test_groups_are_parsed_apart(spark, tmp_path):
+    """The groups of one buffer leave in one task but are parsed and written in several."""
+    replay = Replay(spark.createDataFrame([(0, "t", message(i)) for i in range(40)], "b int, topic string, value string"), "b")
+    replay.deliver()
+    tasks = []
+
+    def look(df, i):
+        tasks.append({r[0] for r in df.select(F.spark_partition_id()).collect()})
+
+    query = (G.land_groups(replay.stream(), 2, 600).writeStream.option("checkpointLocation", str(tmp_path / "progress"))
+             .trigger(processingTime="100 milliseconds").foreachBatch(look).start())
+    G.caught_up(query)
+    query.stop()
+    assert len(tasks[0]) > 1
+
+
 def landed(replay, tmp_path, seconds, max_rows=4, lanes=1):
     rows = G.land_groups(replay.stream(), max_rows, seconds, lanes)
     outputs = Outputs.like(rows, str(tmp_path / "out"), every=4)

@@ -82,27 +82,40 @@ def tag_messages(df: DataFrame, carried: tuple[str, ...] = (), at=None) -> DataF
 
 
 def land_groups(messages: DataFrame, max_rows: int = 1000, seconds: float = 30, lanes: int = 1) -> DataFrame:
-    """Stream of (topic, value) to tagged bronze rows, each with the topic, lane and flush it left in."""
+    """Stream of (topic, value) to tagged bronze rows, each with the topic, lane and flush it left in.
+
+    Groups leave a buffer one after the other; they are dealt out again before their messages are parsed.
+    """
     groups = flush_groups(messages, max_rows, seconds, lanes)
-    return tag_messages(groups, ("topic", "lane", "flush"))
+    # By a computed column: rows straight from the state operator cannot be shuffled.
+    dealt = groups.withColumn("_group", F.xxhash64("topic", "lane", "flush")).repartition("_group").drop("_group")
+    return tag_messages(dealt, ("topic", "lane", "flush"))
 
 
 def _wait(query: StreamingQuery, since: float, empty: bool, patience: float) -> None:
-    """Wait for the end of a batch that has begun after ``since`` and, if ``empty``, has brought no rows."""
-    end = max(since, time.time()) + patience
+    """Wait for the end of a batch that has begun after ``since`` and, if ``empty``, has brought no rows.
+
+    Time in which a batch is at work does not count: how long one takes depends on what it holds.
+    """
+    end, last = max(since, time.time()) + patience, None
     while time.time() < end:
-        done = query.lastProgress
+        done, working = query.lastProgress, query.status["isTriggerActive"]
         if done and datetime.fromisoformat(done["timestamp"].replace("Z", "+00:00")).timestamp() > since and not (
                 empty and done["numInputRows"]):
             return
         if not query.isActive:
             raise query.exception() or RuntimeError("the query has stopped")
+        if working or done and done["batchId"] != last:
+            end, last = max(end, time.time() + patience), done and done["batchId"]
         time.sleep(0.2)
-    raise TimeoutError(f"no such batch within {patience} s")
+    raise TimeoutError(f"no such batch, and none at work for {patience} s")
 
 
 def caught_up(query: StreamingQuery, patience: float = 120) -> None:
-    """Wait until a batch finds nothing new. (A query with timers always has a next batch, so ``processAllAvailable`` never returns.)"""
+    """Wait until a batch finds nothing new. (A query with timers always has a next batch, so ``processAllAvailable`` never returns.)
+
+    ``patience``: seconds without a batch at work after which to give up. A source that brings rows in every batch is never caught up.
+    """
     _wait(query, time.time(), True, patience)
 
 
