@@ -135,16 +135,16 @@ def lineage_events(
     )
 
 
-def export_lineage(nodes: DataFrame, edges: DataFrame, folder: str, namespace: str, **details) -> None:
+def export_lineage(nodes: DataFrame, edges: DataFrame, folder: str, namespace: str, compression: str = "gzip", **details) -> None:
     """Nodes, edges and events as JSON lines below ``folder``.
 
-    Events are made from the written graph, so the manifests behind it are not parsed again.
-    ``details`` are those of ``lineage_events``.
+    Events are made from the written graph, so the manifests behind it are not parsed again. Their texts repeat most of each line,
+    so the files are compressed (``compression``: a codec, or none). ``details`` are those of ``lineage_events``.
     """
     folder = folder.rstrip("/")
     stored = {}
     for name, df in (("nodes", nodes), ("edges", edges)):
-        df.write.mode("overwrite").json(f"{folder}/{name}")
+        df.write.mode("overwrite").json(f"{folder}/{name}", compression=compression)
         stored[name] = df.sparkSession.read.schema(df.schema).json(f"{folder}/{name}")
     events = lineage_events(resolve_edges(stored["edges"], stored["nodes"]), namespace, **details)
-    events.write.mode("overwrite").json(f"{folder}/events")
+    events.write.mode("overwrite").json(f"{folder}/events", compression=compression)
