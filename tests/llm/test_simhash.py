@@ -133,3 +133,18 @@ def test_rows_that_share_an_id_are_judged_by_their_texts(spark):
     rows = [(1, a, "x"), (1, b, "y"), (1, a.upper(), "z"), (2, b, "w"), (3, "alone " + a[:40], "v"), (3, a, "u"), (None, a, "n"), (None, a, "n")]
     kept = H.one_per_group(spark.createDataFrame(rows, "doc_id long, text string, key string")).collect()
     assert sorted((str(r.doc_id), r.key) for r in kept) == [("1", "y"), ("1", "z"), ("3", "v"), ("None", "n"), ("None", "n")]
+
+
+def test_order_counts_all_documents(spark):
+    """The order of shingles comes from all documents, however many there are."""
+    docs = spark.range(60_000).selectExpr("id AS doc_id", "concat('a b ', id % 20000) AS text")
+    held, counts = H.frequent_shingles(docs, 2)
+    n = dict(zip(held.tolist(), counts.tolist()))
+    assert n[xxhash.xxh64_intdigest(b"a b", 42)] == 60_000
+
+
+def test_rare_shingles_come_first():
+    found = np.arange(1, 11, dtype=np.uint64)
+    counts = np.array([9, 8, 1], np.int64)
+    assert H._prefix(found, (found[:3], counts)).tolist() == [4, 5, 6]
+    assert H._prefix(found, (found[:9], np.arange(19, 10, -1))).tolist() == [10, 9, 8]

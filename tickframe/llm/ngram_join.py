@@ -43,12 +43,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickframe.llm.common import discard, staged
-from tickframe.llm.sets import all_of, nodes_of, parities, possible, set_key, verified
+from tickframe.llm.sets import TABLE, all_of, merged_counts, nodes_of, parities, possible, set_key, token_counts, verified  # noqa: F401
 from tickframe.llm.simhash import components, shingle_hashes
 
 ALIKE = (85, 100)
-HELD = 1 << 21      # tokens a task counts at once
-TABLE = 1 << 18     # frequent tokens that are told apart
 CLASSES = (1_000, 100_000)  # from so many occurrences a token is of class 2, of class 3
 SECTION = 6         # prefix tokens a section should hold
 LEADERS = 2         # rounds of comparing with leaders
@@ -70,46 +68,9 @@ def mixed(x: np.ndarray, salt: int = 0) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def merged_counts(parts: list[tuple[np.ndarray, np.ndarray]], most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Counts of equal tokens added; if more than ``most`` remain, all are lowered by what the next one has.
-
-    This is the merge of Misra-Gries summaries: a count is too low by at most all counts / ``most``.
-    """
-    tokens, at = np.unique(np.concatenate([t for t, _ in parts]), return_inverse=True)
-    counts = np.bincount(at, weights=np.concatenate([c for _, c in parts]), minlength=len(tokens)).astype(np.int64)
-    if len(tokens) > most:
-        counts = counts - np.partition(counts, len(counts) - most - 1)[len(counts) - most - 1]
-        tokens, counts = tokens[counts > 0], counts[counts > 0]
-    return tokens, counts
-
-
 def frequent_tokens(docs: DataFrame, shingle: int, table: int = TABLE, classes: tuple[int, int] = CLASSES) -> Frequent:
-    """The tokens that occur in most sets, counted over all rows; at most ``table``.
-
-    A task reports the tokens it has met twice, so a token's count is too low by at most one per task
-    and the error of the task's own summary.
-    """
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-        waiting, n = [], 0
-        for batch in batches:
-            for text in batch["text"]:
-                found = np.unique(shingle_hashes(text, shingle))
-                waiting.append((found, np.ones(len(found), np.int64)))
-                n += len(found)
-            if n > HELD:
-                held, waiting, n = merged_counts([held, *waiting], HELD), [], 0
-        tokens, counts = merged_counts([held, *waiting], HELD)
-        often = counts > 1
-        for a in range(0, int(often.sum()), 50_000):
-            yield pd.DataFrame({"h": tokens[often][a:a + 50_000].view(np.int64), "n": counts[often][a:a + 50_000]})
-
-    counted = docs.select("text").mapInPandas(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    top = counted.orderBy(F.desc("n"), "h").limit(table).toPandas()
-    tokens, counts = top["h"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64)
-    order = np.argsort(tokens)
-    return Frequent(tokens[order], counts[order], classes)
+    """The tokens that occur in most sets, counted over all rows; at most ``table``."""
+    return Frequent(*token_counts(docs, partial(shingle_hashes, size=shingle), table), classes)
 
 
 def errors(n: int) -> int:

@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from tickframe.llm.common import discard, staged
 
 MARK_BITS = 24  # of the bit table that picks the texts of compared sets
+HELD = 1 << 21   # tokens a task counts at once
+TABLE = 1 << 18  # frequent tokens that are told apart
 Tokens = Callable[[str | None], np.ndarray]
 
 
@@ -49,6 +51,48 @@ def possible(alike: tuple[int, int]) -> Column:
             & (F.least("reach", "other_reach").cast("long") * sum(alike) >= total * alike[0]))
 
 
+def merged_counts(parts: list[tuple[np.ndarray, np.ndarray]], most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of equal tokens added; if more than ``most`` remain, all are lowered by what the next one has.
+
+    This is the merge of Misra-Gries summaries: a count is too low by at most all counts / ``most``.
+    """
+    tokens, at = np.unique(np.concatenate([t for t, _ in parts]), return_inverse=True)
+    counts = np.bincount(at, weights=np.concatenate([c for _, c in parts]), minlength=len(tokens)).astype(np.int64)
+    if len(tokens) > most:
+        counts = counts - np.partition(counts, len(counts) - most - 1)[len(counts) - most - 1]
+        tokens, counts = tokens[counts > 0], counts[counts > 0]
+    return tokens, counts
+
+
+def token_counts(docs: DataFrame, tokens: Tokens, table: int = TABLE) -> tuple[np.ndarray, np.ndarray]:
+    """The tokens that occur in most sets, sorted, and their counts over all rows; at most ``table``.
+
+    A task reports the tokens it has met twice, so a token's count is too low by at most one per task
+    and the error of the task's own summary.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        waiting, n = [], 0
+        for batch in batches:
+            for text in batch["text"]:
+                found = np.unique(tokens(text))
+                waiting.append((found, np.ones(len(found), np.int64)))
+                n += len(found)
+            if n > HELD:
+                held, waiting, n = merged_counts([held, *waiting], HELD), [], 0
+        every, counts = merged_counts([held, *waiting], HELD)
+        often = counts > 1
+        for a in range(0, int(often.sum()), 50_000):
+            yield pd.DataFrame({"h": every[often][a:a + 50_000].view(np.int64), "n": counts[often][a:a + 50_000]})
+
+    counted = docs.select("text").mapInPandas(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    top = counted.orderBy(F.desc("n"), "h").limit(table).toPandas()
+    found, counts = top["h"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64)
+    order = np.argsort(found)
+    return found[order], counts[order]
+
+
 def nodes_of(signed: DataFrame) -> DataFrame:
     """One row per set of a table with doc_id, key, n and odd (the map of parities): its smallest doc_id, and the mark of a row that has it.
 

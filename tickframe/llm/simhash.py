@@ -10,10 +10,10 @@
 5. Links become groups by alternating large-star and small-star steps, each a grouped minimum and a join.
 6. ``one_per_group`` confirms these links by the exact Jaccard similarity and adds the pairs that fingerprints miss. Under any fixed order of shingles two sets that
    are ALIKE share one of the first n - ceil(ALIKE n) + 1 shingles of both, so a join of these prefixes misses
-   no pair; each is confirmed by its exact Jaccard similarity. Frequent shingles of a sample come last in
-   the order: that saves candidates and loses none.
+   no pair; each is confirmed by its exact Jaccard similarity. The order is by the number of documents that
+   hold a shingle, counted over all of them, rare ones first: that saves candidates and loses none.
 
-Nothing but the sample and two sums per step reaches the driver; the steps are staged in the shared folder.
+Nothing but the sample, the table of frequent shingles and two sums per step reaches the driver; the steps are staged in the shared folder.
 
 Edge cases: a null text counts as empty; texts without words have fingerprint zero and link like any
 other. Repeated rows have equal fingerprints and share a group. Rows with a null doc_id are grouped, but
@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickframe.llm.common import discard, staged
-from tickframe.llm.sets import all_of, nodes_of, parities, possible, set_key, verified
+from tickframe.llm.sets import all_of, nodes_of, parities, possible, set_key, token_counts, verified
 
 SEED = 42
 #: Multipliers that derive the hashes of further tables from the first one; table 0 uses the hash itself.
@@ -43,7 +43,6 @@ SHARD = 6_000    # points a shard should hold
 DEAL = 20_000    # points a task sends to shards at once
 LEAF = 384       # points compared all with all
 ALIKE = (4, 5)   # least Jaccard similarity of near copies, as a fraction
-FREQUENT = (20_000, 4, 100_000)  # sampled documents, of them hold a frequent shingle at least, most such shingles
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
 
 
@@ -261,34 +260,22 @@ def groups(docs: DataFrame, shingle: int = 3, radius: int = 2, tables: int = 1)
 
 # --- pairs by exact similarity ----------------------------------------------------------------
 
-def frequent_shingles(docs: DataFrame, shingle: int) -> np.ndarray:
-    """Shingles that many documents of a bounded sample hold, sorted."""
-    size, least, most = FREQUENT
-    share = int(min(1.0, size / max(docs.count(), 1)) * 1_000_000) + 1
+def frequent_shingles(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles that most documents hold, sorted, and in how many; all documents are counted."""
+    return token_counts(docs, partial(shingle_hashes, size=shingle))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            found = [np.unique(shingle_hashes(text, shingle)) for text in batch["text"]]
-            if found:
-                held, n = np.unique(np.concatenate(found), return_counts=True)
-                yield pd.DataFrame({"h": held.view(np.int64), "n": n})
-
-    picked = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share).select("text")
-    counted = picked.mapInPandas(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
-    top = counted.orderBy(F.desc("n"), "h").limit(most).select("h").collect()
-    return np.sort(np.array([r[0] for r in top], dtype=np.int64).view(np.uint64))
-
-
-def _prefix(found: np.ndarray, frequent: np.ndarray) -> np.ndarray:
-    """The first shingles of a sorted set, frequent ones last, of which two sets that are ALIKE share one."""
-    if len(frequent):
-        late = frequent[np.minimum(np.searchsorted(frequent, found), len(frequent) - 1)] == found
-        found = np.concatenate([found[~late], found[late]])
+
+def _prefix(found: np.ndarray, frequent: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The first shingles of a sorted set, rare ones first, of which two sets that are ALIKE share one."""
+    held, counts = frequent
+    if len(held):
+        at = np.minimum(np.searchsorted(held, found), len(held) - 1)
+        found = found[np.argsort(np.where(held[at] == found, counts[at], 0), kind="stable")]
     least = -(-ALIKE[0] * len(found) // ALIKE[1])
     return found[: len(found) - least + 1]
 
 
-def signed(docs: DataFrame, shingle: int, frequent: np.ndarray) -> DataFrame:
+def signed(docs: DataFrame, shingle: int, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     """doc_id, fingerprint, and of the set of shingles its key, size, prefix and map of parities."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
