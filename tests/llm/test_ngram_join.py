@@ -127,3 +127,40 @@ def test_counts_are_low_by_little():
         held = J.merged_counts([held, (part, np.ones(len(part), np.int64))], 100)
     seen = dict(zip(held[0].tolist(), held[1].tolist()))
     assert len(seen) <= 100 and all(400 - len(stream) / 100 <= seen[k] <= 400 for k in range(5))
+
+
+def copies_of_one(seed=4):
+    """A text and copies of it with one to four words changed."""
+    rng = random.Random(seed)
+    base = [f"b{k}" for k in range(150)]
+    out = [base]
+    for edits in (1, 2, 3, 4):
+        for _ in range(50):
+            words = list(base)
+            for k in rng.sample(range(5, 145, 7), edits):
+                words[k] = f"own{rng.random()}"
+            out.append(words)
+    rng.shuffle(out)
+    return [(k, " ".join(w)) for k, w in enumerate(out)]
+
+
+@pytest.mark.parametrize("classes", [J.CLASSES, (20, 100_000)])
+def test_copies_of_one_text_are_not_paired(spark, rows, monkeypatch, classes):
+    """Copies are compared with the text they come from; rare tokens of both sides rule out what is farther."""
+    compared, verified = [], J.verified
+
+    def counting(docs, tokens, pairs, *more):
+        compared.append(pairs.distinct().count())
+        return verified(docs, tokens, pairs, *more)
+
+    monkeypatch.setattr(J, "verified", counting)
+    data = copies_of_one()
+    assert rows(J.groups(spark.createDataFrame(data, "doc_id long, text string"), classes=classes)) == brute(data)
+    assert sum(compared) < 4 * len(data)
+
+
+def test_combinations_reach_no_rare_token():
+    found = np.arange(1, 41, dtype=np.uint64)
+    often = np.arange(6, 41, dtype=np.uint64)  # five tokens are rare
+    sigs, reach = J.signatures(found, J.Frequent(often, np.full(35, 20), (10, 100)))
+    assert len(sigs) > 5 and reach[:5].tolist() == [40, 39, 38, 37, 36] and reach[5:].max() <= 35

@@ -12,13 +12,14 @@ ALIKE / (1 + ALIKE) * (n + m) of them; then each shares all but t = n - ceil(ALI
    prefix that ends first: of its tokens at most t are missing in the other set, so in some section both prefixes
    share k tokens, and with them a signature. Sections depend on the size class of a set; a set that may
    have partners in the next class is indexed for both.
-3. A pair's first common signature bounds what it can share: the tokens after it, and k - 1 per section before. Each
-   signature carries this reach, so a pair that cannot meet the bound is left out before anything is compared.
+3. A pair's first common signature bounds what it can share: the tokens after it, and k - 1 per section before, but no rare
+   token if it is a combination. Each signature carries this reach, so a pair that cannot meet the bound is left out before anything is compared.
 4. Every set has a bit map of the parities of its tokens' slots. Two maps differ in no more bits than the sets do in
    tokens, so a pair whose maps differ too much is left out as well; what remains is compared exactly.
 5. Sets that share a signature are first compared with one leader each, which joins a group of near copies without
-   its pairs; signatures whose sets are all joined drop out. After a second leader, sets that are still apart are
-   compared pair by pair. Every comparison counts the exact intersection of the sets.
+   its pairs: the set with the fewest tokens before the signature, since near copies have rare tokens of their own where
+   they were changed, and the text that they were made from has none. Signatures whose sets are all joined drop out. After
+   a second leader, sets that are still apart are compared pair by pair. Every comparison counts the exact intersection of the sets.
 6. Equal sets are one node from the start; links become groups by the star steps of ``simhash.components``.
 
 Only the table of frequent tokens and two sums per star step reach the driver. Results equal those of comparing all pairs,
@@ -93,7 +94,7 @@ def signatures(found: np.ndarray, frequent: Frequent) -> tuple[np.ndarray, np.nd
     if len(frequent.tokens):
         at = np.minimum(np.searchsorted(frequent.tokens, found), len(frequent.tokens) - 1)
         counts = np.where(frequent.tokens[at] == found, frequent.counts[at], 0)
-    order = np.lexsort((found, counts))
+    order = np.argsort(counts, kind="stable")  # equal counts stay in the order of tokens
     found, counts = found[order], counts[order]
     width = 1 + (counts >= frequent.classes[0]) + (counts >= frequent.classes[1])
     singles = int((width == 1).sum())  # the order puts them first
@@ -125,7 +126,8 @@ def signatures(found: np.ndarray, frequent: Frequent) -> tuple[np.ndarray, np.nd
                 for c in range(w):
                     sig = mixed(sig ^ rest[picked[:, c]], c)
                 out.append(sig)
-                reach.append(np.minimum(n, n - singles - picked[:, -1] + slack[w]))
+                # Without a common single, which would be an earlier signature, nothing of the singles is shared.
+                reach.append(n - singles - np.maximum(picked[:, -1] - slack[w], 0))
     return np.concatenate(out), np.concatenate(reach)
 
 
@@ -172,7 +174,8 @@ def links(docs: DataFrame, signed: DataFrame, nodes: DataFrame, shingle: int) ->
     tokens = partial(shingle_hashes, size=shingle)
     found: list[DataFrame] = []
     for turn in range(LEADERS):
-        leader = staged(held.groupBy("sig").agg(F.min_by(other, F.xxhash64("comp", F.lit(turn))).alias("o")).select("sig", "o.*"), "leaders")
+        by = F.struct(F.lit(0) if turn else F.col("n") - F.col("reach"), F.xxhash64("comp", F.lit(turn)), "key")
+        leader = staged(held.groupBy("sig").agg(F.min_by(other, by).alias("o")).select("sig", "o.*"), "leaders")
         pairs = held.join(leader, "sig").filter("comp != other_comp").filter(possible(ALIKE)).select(*ordered)
         found.append(verified(docs, tokens, pairs, nodes, ALIKE))
         discard(leader)

@@ -77,11 +77,11 @@ def token_counts(docs: DataFrame, tokens: Tokens, table: int = TABLE) -> tuple[n
         for batch in batches:
             for text in batch["text"]:
                 found = np.unique(tokens(text))
-                waiting.append((found, np.ones(len(found), np.int64)))
+                waiting.append(found)
                 n += len(found)
             if n > HELD:
-                held, waiting, n = merged_counts([held, *waiting], HELD), [], 0
-        every, counts = merged_counts([held, *waiting], HELD)
+                held, waiting, n = merged_counts([held, np.unique(np.concatenate(waiting), return_counts=True)], HELD), [], 0
+        every, counts = merged_counts([held, np.unique(np.concatenate([np.zeros(0, np.uint64), *waiting]), return_counts=True)], HELD)
         often = counts > 1
         for a in range(0, int(often.sum()), 50_000):
             yield pd.DataFrame({"h": every[often][a:a + 50_000].view(np.int64), "n": counts[often][a:a + 50_000]})
