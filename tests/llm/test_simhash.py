@@ -148,3 +148,33 @@ def test_rare_shingles_come_first():
     counts = np.array([9, 8, 1], np.int64)
     assert H._prefix(found, (found[:3], counts)).tolist() == [4, 5, 6]
     assert H._prefix(found, (found[:9], np.arange(19, 10, -1))).tolist() == [10, 9, 8]
+
+
+def test_copies_of_one_text_meet_it_first(spark, monkeypatch):
+    """Every copy is alike to the text it comes from, so few pairs of copies are compared or linked."""
+    rng = random.Random(6)
+    base = [f"b{k}" for k in range(150)]
+    texts = [base]
+    for edits in (1, 2, 3, 4):
+        for _ in range(50):
+            words = list(base)
+            for k in rng.sample(range(6, 144, 8), edits):
+                words[k] = f"own{rng.random()}"
+            texts.append(words)
+    rng.shuffle(texts)
+    compared, linked, verified = [], [], H.verified
+
+    def counting(docs, tokens, pairs, *more):
+        found = verified(docs, tokens, pairs, *more)
+        compared.append(pairs.distinct().count())
+        linked.append(found.count())
+        return found
+
+    monkeypatch.setattr(H, "verified", counting)
+    sets = [{tuple(t[k:k + 5]) for k in range(146)} for t in texts]
+    data = [(k, " ".join(t)) for k, t in enumerate(texts)]
+    kept = sorted(r.doc_id for r in H.one_per_group(spark.createDataFrame(data, "doc_id long, text string")).collect())
+    at = texts.index(base)
+    alike = {k for k, s in enumerate(sets) if 5 * len(s & sets[at]) >= 4 * len(s | sets[at])}
+    assert len(alike) > 100 and kept == sorted({min(alike)} | (set(range(len(texts))) - alike))
+    assert sum(compared) < 6 * len(texts) and sum(linked) < 3 * len(texts)

@@ -308,7 +308,8 @@ def alike_links(docs: DataFrame, rows: DataFrame, nodes: DataFrame, shingle: int
     """(key, other) of sets that are ALIKE, enough of them to connect all that is connected.
 
     ``rows`` is what ``signed`` gives, staged, ``nodes`` its sets. Pairs that the fingerprints find come first. Then every set
-    meets the first one of each of its prefix shingles, which joins a large group without its pairs; then
+    meets the leader of each of its prefix shingles, which joins a large group without its pairs: the set with the fewest
+    shingles before it, since near copies have rare ones of their own and the text they were made from has none; then
     the pairs of sets that share a prefix shingle, are still apart and whose sizes and places in the order
     allow it. All are confirmed by their exact similarity.
     """
@@ -323,7 +324,8 @@ def alike_links(docs: DataFrame, rows: DataFrame, nodes: DataFrame, shingle: int
     other = F.struct(F.col("key").alias("other"), F.col("n").alias("m"), F.col("reach").alias("other_reach"), F.col("comp").alias("other_comp"))
     ordered = (F.least("key", "other").alias("key"), F.greatest("key", "other").alias("other"))
     held = _apart(held, found)
-    first = staged(held.groupBy("h").agg(F.min(other).alias("o")).select("h", "o.*"), "firsts")
+    by = F.struct(F.col("n") - F.col("reach"), "key")
+    first = staged(held.groupBy("h").agg(F.min_by(other, by).alias("o")).select("h", "o.*"), "leaders")
     pairs = held.join(first, "h").filter("comp != other_comp").filter(possible(ALIKE)).select(*ordered)
     found.append(verified(docs, tokens, pairs, nodes, ALIKE))
     discard(first)
