@@ -95,3 +95,32 @@ def test_no_training_and_no_documents(spark, no_docs):
     df = spark.createDataFrame([(k, "some words") for k in ids], "doc_id long, text string")
     assert all((r.n_known, r.train_tokens, r.base_score) == (0, 0, 0.0) for r in L.score(df).collect())
     assert L.score(no_docs).count() == 0
+
+
+def brute_whole(rows, prior):
+    """Scores from plain counts of all pairs of words."""
+    train = [tokens(r.text) for r in rows if not held_out(r.doc_id)]
+    c, pairs, left = Counter(w for t in train for w in t), Counter(), Counter()
+    n, v = sum(c.values()), len(c)
+    for t in train:
+        pairs.update(zip(["start", *t], t))
+        left.update(["start", *t][:-1])
+    out = []
+    for r in rows:
+        t = tokens(r.text)
+        out.append((str(r.doc_id), held_out(r.doc_id), len(t), sum(c[w] > 0 for w in t), n,
+                    sum(math.log10((c[w] + 1) / (n + v + 1)) for w in t),
+                    sum(math.log10((pairs[u, w] + prior * (c[w] + 1) / (n + v + 1)) / (left[u] + prior)) for u, w in zip(["start", *t], t))))
+    return out
+
+
+@pytest.mark.parametrize("head", [0, 50, 1 << 18])
+def test_pairs_of_words_without_a_number_are_counted(docs, monkeypatch, head):
+    monkeypatch.setattr(L, "HEAD", head)
+    monkeypatch.setattr(L, "HOT", 8)
+    monkeypatch.setattr(L, "SHARD_ENTRIES", 500)
+    got = sorted((str(r.doc_id), *r[1:]) for r in L.score(docs, whole=True).collect())
+    want = sorted(brute_whole(docs.select("doc_id", "text").collect(), L.PRIOR))
+    assert [g[:5] for g in got] == [w[:5] for w in want]
+    assert np.allclose([g[5] for g in got], [w[5] for w in want], rtol=1e-12)
+    assert all(abs(g[6] - w[6]) <= L.CODE * w[2] for g, w in zip(got, want))

@@ -1,20 +1,24 @@
 """LM scoring with a bigram trie in Elias-Fano levels, spread over shards.
 
 Tokens are words (A-Z lower-cased) and one end per text. Words are counted exactly over all training
-documents. The HEAD most frequent ones have numbers of their own in the n-gram model; all other words are
-one class there, within which a word has its share of the unigram model:
+documents. The HEAD most frequent ones have numbers. The ``whole`` model tells all words apart:
 
     P1(w) = (c(w) + 1) / (N + V + 1)
-    P(w | u) = (c(u w) + PRIOR P1(w)) / (c(u) + PRIOR)               for numbered w, the class and the end
+    P(w | u) = (c(u w) + PRIOR P1(w)) / (c(u) + PRIOR)
+
+Without ``whole``, words that have no number are one class, as context and as successor, within which a word has
+its share of the unigram model:
+
     P(w | u) = P(class | u) P1(w) / P1(class)                        for a word of the class
 
-which sums to one over all words, one unseen word included.
+Both sum to one over all words, one unseen word included.
 
 Scoring is a shuffle of look-ups, not of the model: each batch of documents packs its (word pair,
 document, count) entries per shard. A shard counts the pairs of the training documents, builds its trie,
 answers all entries and returns one sum per document. Pairs of the HOT most frequent numbers are counted
 in a small dense table instead and answered where they stand, so no pair left has more than about one in
-HOT of all tokens. Words of the class are joined to their counts by Spark. Documents are never shuffled.
+HOT of all tokens. Words without a number are joined to their counts by Spark; in the whole model with what
+precedes and follows them, and pairs that hold such a word are counted there. Documents are never shuffled.
 
 Nothing of the corpus reaches the driver but the numbered words and the dense table, both bounded.
 
@@ -33,7 +37,7 @@ from math import ceil, log10
 import numpy as np
 import pandas as pd
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickframe.llm.common import least_count, remainder, staged
@@ -196,10 +200,11 @@ class Unigrams:
         return p
 
 
-def score(docs: DataFrame, modulus: int = 7, held: int = 2) -> DataFrame:
+def score(docs: DataFrame, modulus: int = 7, held: int = 2, whole: bool = False) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score per document.
 
-    Documents whose crc32(doc_id as text) modulo ``modulus`` is ``held`` are held out of the training.
+    Documents whose crc32(doc_id as text) modulo ``modulus`` is ``held`` are held out of the training. ``whole`` counts
+    the pairs of all words, also of those without a number.
     """
     marked = docs.select(F.col("doc_id"), "text", (remainder(F.col("doc_id"), modulus) == held).alias("held_out"))
     training = marked.filter(~F.col("held_out"))
@@ -234,15 +239,26 @@ def score(docs: DataFrame, modulus: int = 7, held: int = 2) -> DataFrame:
                 us.append(ids[:-1])
                 ws.append(ids[1:])
                 ds.append(np.full(len(ids) - 1, i))
-                others = Counter(w for w, k in zip(found, ids[1:]) if k == CLASS)
-                rare += [(i, w, m) for w, m in others.items()]
+                plain, ctx_log = np.flatnonzero(ids == CLASS), 0.0
+                if whole:
+                    # A pair of two such words stands with the second one. Start and end are the empty word.
+                    around = [b"", *found, b""]
+                    others = Counter((around[k], around[k - 1], None) for k in plain)
+                    others.update((around[k], around[k + 1], PRIOR * p1[ids[k + 1]]) for k in plain[ids[plain + 1] != CLASS])
+                    rare += [(i, *key, m, out) for key, m in others.items()]
+                    before = ids[plain - 1]
+                    ctx_log = -float(np.log10(contexts[before[before != CLASS]] + PRIOR).sum())
+                    us[-1], ws[-1], ds[-1] = (x[(ids[:-1] != CLASS) & (ids[1:] != CLASS)] for x in (us[-1], ws[-1], ds[-1]))
+                else:
+                    rare += [(i, w, None, None, m, out) for w, m in Counter(found[k - 1] for k in plain).items()]
                 own = ids[1:][ids[1:] != CLASS]
                 rows.append((i, doc_id, out, len(found) + 1, int((counts[own] > 0).sum()), float(logs[own].sum()),
-                             len(ids) - 1 - len(own)))
-            docs_ = pd.DataFrame(rows, columns=["idx", "doc_id", "held_out", "n_tokens", "n_known", "log_sum", "n_class"])
+                             len(ids) - 1 - len(own), ctx_log))
+            docs_ = pd.DataFrame(rows, columns=["idx", "doc_id", "held_out", "n_tokens", "n_known", "log_sum", "n_class", "ctx_log"])
             yield _shaped(docs_.assign(kind="doc", batch=batch_id))
             if rare:
-                yield _shaped(pd.DataFrame(rare, columns=["idx", "word", "times"]).assign(kind="word", batch=batch_id))
+                yield _shaped(pd.DataFrame(rare, columns=["idx", "word", "other", "prior", "times", "held_out"]).assign(
+                    kind="word", batch=batch_id))
             u, w, d = np.concatenate(us), np.concatenate(ws), np.concatenate(ds)
             codes, times = np.unique(
                 ((u << BITS | w) << 16 | d).astype(np.uint64), return_counts=True)
@@ -252,7 +268,7 @@ def score(docs: DataFrame, modulus: int = 7, held: int = 2) -> DataFrame:
             flags = np.packbits(~batch["held_out"].to_numpy(bool)).tobytes()
             order = np.argsort(to, kind="stable")
             cuts = np.flatnonzero(np.diff(to[order])) + 1
-            parts = [(int(to[o[0]]), pack(codes[o], times[o])) for o in np.split(order, cuts)]
+            parts = [(int(to[o[0]]), pack(codes[o], times[o])) for o in np.split(order, cuts) if len(o)]
             yield _shaped(pd.DataFrame(parts, columns=["shard", "packed"]).assign(
                 kind="pair", batch=batch_id, flags=flags, idx=len(batch)))
 
@@ -307,9 +323,19 @@ def score(docs: DataFrame, modulus: int = 7, held: int = 2) -> DataFrame:
     sums = pairs.filter("shard >= 0").groupBy("shard").applyInPandas(answer, "batch long, sums binary").union(
         hot_pairs.select("batch", "packed", "size").mapInPandas(answer_hot, "batch long, sums binary"))
     per_doc = sums.groupBy("batch").applyInPandas(add_up, "batch long, idx int, pair_sum double")
-    rare = dealt.filter("kind = 'word'").select("batch", "idx", "word", "times").join(vocabulary, "word", "left").groupBy(
-        "batch", "idx").agg(F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("rare_known"),
-                            F.sum(F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + 1.0)).alias("rare_log"))
+    around = dealt.filter("kind = 'word'").select("batch", "idx", "word", "other", "prior", "times", "held_out").join(
+        vocabulary, "word", "left").withColumns({"n": F.coalesce("n", F.lit(0)), "second": F.col("prior").isNull()})
+    pair_log = F.lit(0.0)
+    if whole:
+        # Where the word comes second, what it adds as the context of its successor stands beside it.
+        seen = F.sum(F.when(F.col("held_out"), 0).otherwise(F.col("times"))).over(Window.partitionBy("word", "other", "second"))
+        around = around.withColumn("pairs", seen)
+        as_second = F.log10(F.col("pairs") + PRIOR * (F.col("n") + 1) / (n + v + 1)) - F.log10(F.col("n") + PRIOR)
+        pair_log = F.when(F.col("second"), as_second).otherwise(F.log10(F.col("pairs") + F.col("prior")))
+    rare = around.groupBy("batch", "idx").agg(
+        F.sum(F.when(F.col("second") & (F.col("n") > 0), F.col("times")).otherwise(0)).alias("rare_known"),
+        F.sum(F.when(F.col("second"), F.col("times") * F.log10(F.col("n") + 1.0)).otherwise(0.0)).alias("rare_log"),
+        F.sum(F.col("times") * pair_log).alias("rare_pairs"))
     log_class = log10(p1[CLASS])
     rows = dealt.filter("kind = 'doc'").join(per_doc, ["batch", "idx"], "left").join(rare, ["batch", "idx"], "left")
     rare_log, n_class = F.coalesce("rare_log", F.lit(0.0)), F.col("n_class")
@@ -318,18 +344,19 @@ def score(docs: DataFrame, modulus: int = 7, held: int = 2) -> DataFrame:
         (F.col("n_known") + F.coalesce("rare_known", F.lit(0))).cast("long").alias("n_known"),
         F.lit(n).cast("long").alias("train_tokens"),
         (F.col("log_sum") + rare_log - F.col("n_tokens") * uni.log_total).alias("base_score"),
-        (F.col("pair_sum") + rare_log - n_class * (uni.log_total + log_class)).alias("score"))
+        (F.coalesce("pair_sum", F.lit(0.0)) + (F.coalesce("rare_pairs", F.lit(0.0)) + F.col("ctx_log") if whole else
+                                               rare_log - n_class * (uni.log_total + log_class))).alias("score"))
 
 
 _DEALT = ("kind string, batch long, idx int, doc_id string, held_out boolean, n_tokens long, n_known long, log_sum double, "
-          "n_class long, word binary, times long, shard int, packed binary, flags binary")
+          "n_class long, ctx_log double, word binary, other binary, prior double, times long, shard int, packed binary, flags binary")
 
 
 def _shaped(rows: pd.DataFrame) -> pd.DataFrame:
     """All columns of the dealt table; whole numbers that may be missing stay whole."""
     rows = rows.reindex(columns=[c.split()[0] for c in _DEALT.split(", ")])
     return rows.astype({c: "Int64" for c in ("n_tokens", "n_known", "n_class", "times", "shard")} | {"held_out": "boolean"} | {
-        c: object for c in ("kind", "doc_id", "word", "packed", "flags")})
+        c: object for c in ("kind", "doc_id", "word", "other", "packed", "flags")} | {c: "float64" for c in ("ctx_log", "prior")})
 
 
 def _mixed(code: np.ndarray) -> np.ndarray:

@@ -81,7 +81,7 @@ def op9_topk(spark, sf_dir):
 
 @query
 def op10_ngram_lm(spark, sf_dir):
-    return ngram_lm.score(table(spark, sf_dir, "documents"))
+    return ngram_lm.score(table(spark, sf_dir, "documents"), whole=True)
 
 
 @query
@@ -234,7 +234,8 @@ def _codes_sql() -> str:
 _JOIN_SQL = r"""
   WITH RECURSIVE d AS (
     SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
-             'abcdefghijklmnopqrstuvwxyz'), '[ 	-]+'), lambda x: x <> '') AS w FROM documents),
+             'abcdefghijklmnopqrstuvwxyz'), '[ 	-
+]+'), lambda x: x <> '') AS w FROM documents),
   g AS MATERIALIZED (
     SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
              ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) END) AS g FROM d),
