@@ -160,7 +160,7 @@ def test_copies_of_one_text_are_not_paired(spark, rows, monkeypatch, classes):
 
 
 def test_combinations_reach_no_rare_token():
-    found = np.arange(1, 41, dtype=np.uint64)
-    often = np.arange(6, 41, dtype=np.uint64)  # five tokens are rare
-    sigs, reach = J.signatures(found, J.Frequent(often, np.full(35, 20), (10, 100)))
-    assert len(sigs) > 5 and reach[:5].tolist() == [40, 39, 38, 37, 36] and reach[5:].max() <= 35
+    found = np.arange(1, 148, dtype=np.uint64)
+    often = np.arange(13, 148, dtype=np.uint64)  # twelve tokens are rare
+    sigs, reach = J.signatures(found, J.Frequent(often, np.full(135, 20), (10, 15)))
+    assert len(sigs) > 12 and reach[:12].tolist() == list(range(147, 135, -1)) and reach[12:].max() <= 135
