@@ -91,3 +91,19 @@ def test_validate_refuses_other_types_for_text(spark):
     ok, bad = E.validate(texts(spark, *map(json.dumps, [fine, *odd, *lenient])), TRADE, TRADE_OPTIONAL)
     assert ok.count() == 3 and bad.count() == len(odd)
     assert {r.trade_id for r in ok.collect()} == {7}
+
+
+def test_fields_are_checked_in_the_parse(spark):
+    """No later step checks a field of a message again: with the checks in it, it was too long a method to be compiled."""
+    plan = E.tag_events(E.unwrap_envelope(texts(spark, TRADE_TEXT, KLINE_TEXT)))._jdf.queryExecution().executedPlan().toString()
+    steps = [line for line in plan.splitlines() if "variant_get" in line]
+    assert len(steps) == 1 and "inline" in steps[0]
+
+
+def test_a_bar_without_a_body(spark):
+    """Its fields are null one by one; a body that is no object counts as none."""
+    bare = [json.dumps({"e": "kline", "E": 5, "s": "A"} | more) for more in ({}, {"k": None}, {"k": 3}, {"kline": {"open_time": 7}})]
+    rows = E.normalise_klines(texts(spark, *bare, None, "no json")).collect()
+    assert [(r.event_type, r.event_time, r.symbol) for r in rows] == [("kline", 5, "A")] * 4 + [(None, None, None)] * 2
+    assert [r.kline.open_time for r in rows] == [None, None, None, 7, None, None] and all(r.kline.close_time is None for r in rows)
+    assert E.route_events(texts(spark, *bare)).dlq.count() == 4

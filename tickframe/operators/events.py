@@ -61,20 +61,23 @@ def parse_wire(df: DataFrame, value: str = "value") -> DataFrame:
     "5" and 5 are both a valid number, but a text field must be text; what does not fit is null.
     """
     wire, unique = _wire_layout()
-    parsed = df.select("*", parsed_once(F.from_json(F.col(value).cast("string"), wire).cast(unique)))
-
-    def pick(layout: T.StructType, short: str = "", long: str = "") -> list[Column]:
-        return [
-            _strict(F.coalesce(f"{short}s_{f.name}", f"{short}l_{f.name}",
-                               *([f"{long}s_{f.name}", f"{long}l_{f.name}"] if long else [])), f.dataType).alias(f.name)
-            for f in layout
-        ]
-
-    head = T.StructType(KLINE_EVENT.fields[:3])
-    return parsed.withColumns({
-        "trade": F.struct(*pick(TRADE)),
-        "bar": F.struct(*pick(head), F.struct(*pick(KLINE_BODY, "s_kline.", "l_kline.")).alias("kline")),
-    }).drop(*unique.names)
+    head = KLINE_EVENT.names[:3]
+
+    def pick(row: Column, layout: T.StructType, short: str | None = None, long: str | None = None) -> list[Column]:
+        bodies = [row[b] for b in (short, long) if b] or [row]
+        return [_strict(F.coalesce(*[b[f"{end}_{f.name}"] for b in bodies for end in ("s", "l")]), f.dataType).alias(f.name) for f in layout]
+
+    def events(row: Column) -> Column:
+        nothing = F.struct(*[F.lit(None).cast(f.dataType).alias(f.name) for f in KLINE_BODY])
+        body = F.when(row["s_kline"].isNotNull() | row["l_kline"].isNotNull(),
+                      F.struct(*pick(row, KLINE_BODY, "s_kline", "l_kline"))).otherwise(nothing)
+        return F.struct(F.struct(*pick(row, TRADE)).alias("trade"), body.alias("_kline"))
+
+    # The fields are checked beside the parse: as a projection of their own, the checks and the conditions on them make one method
+    # that is too long for the JVM to compile, and each condition checks its fields again. Both events have the same head.
+    parsed = F.from_json(F.col(value).cast("string"), wire).cast(unique)
+    checked = df.select("*", F.inline_outer(F.transform(F.array(parsed), events)))
+    return checked.withColumn("bar", F.struct(*[F.col(f"trade.{n}") for n in head], F.col("_kline").alias("kline"))).drop("_kline")
 
 
 def _strict(field: Column, kind: T.DataType) -> Column:
