@@ -123,6 +123,14 @@ def test_batches_are_spread_over_files(spark, monkeypatch):
     assert len(files.names(spark, replay.path)) == 1 + 3 * 4  # and _SUCCESS
 
 
+def test_staged_batches_are_read_apart(spark, monkeypatch):
+    """A batch is staged in files of FILE_ROWS, so that its delivery is not one task."""
+    monkeypatch.setattr("tickframe.sources.replay.FILE_ROWS", 10)
+    replay = Replay(spark.createDataFrame([(0, i) for i in range(35)] + [(1, 100)], "b int, i int"), "b")
+    sizes = replay._dealt.groupBy("_batch", F.input_file_name()).count().collect()
+    assert max(r["count"] for r in sizes) <= 10 and [r["_batch"] for r in sizes].count(0) >= 4
+
+
 def test_a_long_batch_is_waited_for(spark, tmp_path):
     """Patience is for a query that does nothing, not for a batch that takes longer."""
     replay = Replay(spark.createDataFrame([(0, "t", message(i)) for i in range(3)], "b int, topic string, value string"), "b")
@@ -203,3 +211,8 @@ def test_bounds_are_checked(spark):
     for bad in ({"max_rows": 0}, {"seconds": 0}, {"lanes": 0}):
         with pytest.raises(ValueError):
             G.flush_groups(spark.createDataFrame([], "topic string, value string"), **bad)
+
+
+def test_state_does_not_count_its_rows(spark):
+    """A count costs a look-up for each row that is written or removed."""
+    assert spark.conf.get("spark.sql.streaming.stateStore.rocksdb.trackTotalNumberOfRows") == "false"

@@ -11,6 +11,8 @@ from pyspark.sql import SparkSession
 # Dedup state of a busy stream outgrows the heap; this store keeps it on disk.
 STATE_STORE = ("spark.sql.streaming.stateStore.providerClass",
                "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+# Counting all rows held reads a key before each write and removal; no result depends on the count.
+STATE_COUNT = ("spark.sql.streaming.stateStore.rocksdb.trackTotalNumberOfRows", "false")
 
 
 def build_session(app: str = "tickframe", master: str | None = None, **conf: str) -> SparkSession:
@@ -31,6 +33,7 @@ def prepare(spark: SparkSession) -> SparkSession:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.execution.arrow.pyspark.enabled", "true")
     spark.conf.set(*STATE_STORE)
+    spark.conf.set(*STATE_COUNT)
     shared_folder(spark)
     return spark
 

@@ -24,7 +24,8 @@ class Replay:
 
     Without ``files`` there are as many as the largest batch has FILE_ROWS, so that batches are written and read by more tasks as they
     grow. Every batch has the same number of files: each holds one row that is no message, which ``stream`` leaves out.
-    The rows are staged by batch once, and batches that hold no rows are passed over. The driver holds their numbers and sizes alone.
+    The rows are staged by batch once, in files of at most FILE_ROWS that tasks read apart, and batches that hold no rows are passed over.
+    The driver holds their numbers and sizes alone.
     """
 
     def __init__(self, rows: DataFrame, batch: str | Column, files: int | None = None):
@@ -33,7 +34,7 @@ class Replay:
         number = F.coalesce((F.col(batch) if isinstance(batch, str) else batch).cast("long"), F.lit(0))
         dealt = rows.withColumn("_batch", number)
         self.layout = rows.schema
-        dealt.hint("rebalance", "_batch").write.partitionBy("_batch").parquet(staged)
+        dealt.hint("rebalance", "_batch").write.option("maxRecordsPerFile", FILE_ROWS).partitionBy("_batch").parquet(staged)
         self._dealt = self.spark.read.schema(dealt.schema).parquet(staged)
         sizes = dict(self._dealt.groupBy("_batch").count().collect())
         self.waiting = sorted(sizes)
