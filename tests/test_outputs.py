@@ -197,6 +197,24 @@ def test_groups_by_count_then_by_time(spark, tmp_path):
     assert max(sizes.values()) <= 4 and [t for t, _ in sizes].count("u") == 1
 
 
+def test_a_batch_done_again_does_not_end_the_wait(spark, tmp_path):
+    """An empty batch that was planned before the stop says nothing about rows that came after it."""
+    rows = [(i // 4, "t", message(i)) for i in range(16)]
+    replay = Replay(spark.createDataFrame(rows, "b int, topic string, value string"), "b")
+    replay.deliver(1)
+    _, query = landed(replay, tmp_path, seconds=600)
+    G.caught_up(query)
+    query.stop()
+    planned = max(int(n) for n in files.names(spark, str(tmp_path / "progress/offsets")) if n.isdigit())
+    for name in (str(planned), f".{planned}.crc"):
+        files.remove(spark, str(tmp_path / "progress/commits" / name))
+    replay.deliver()
+    outputs, query = landed(replay, tmp_path, seconds=600)
+    G.caught_up(query)
+    query.stop()
+    assert sorted(r.trade_id for r in outputs.read("trades").collect()) == list(range(16))
+
+
 def test_lanes_share_a_topic(spark, tmp_path):
     replay = Replay(spark.createDataFrame([(0, "t", message(i)) for i in range(40)], "b int, topic string, value string"), "b")
     replay.deliver()

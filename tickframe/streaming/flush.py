@@ -95,13 +95,17 @@ def land_groups(messages: DataFrame, max_rows: int = 1000, seconds: float = 30,
 def _wait(query: StreamingQuery, since: float, empty: bool, patience: float) -> None:
     """Wait for the end of a batch that has begun after ``since`` and, if ``empty``, has brought no rows.
 
+    The first batch of a run may be one that an earlier run has planned and not finished: that it is empty does not
+    say what has come since. So an empty one counts only after another batch.
     Time in which a batch is at work does not count: how long one takes depends on what it holds.
     """
-    end, last = max(since, time.time()) + patience, None
+    end, last, first = max(since, time.time()) + patience, None, None
     while time.time() < end:
         done, working = query.lastProgress, query.status["isTriggerActive"]
+        if done and first is None:
+            first = done["batchId"]
         if done and datetime.fromisoformat(done["timestamp"].replace("Z", "+00:00")).timestamp() > since and not (
-                empty and done["numInputRows"]):
+                empty and (done["numInputRows"] or done["batchId"] == first)):
             return
         if not query.isActive:
             raise query.exception() or RuntimeError("the query has stopped")
