@@ -1,4 +1,5 @@
 import math
+import re
 
 import numpy as np
 import pytest
@@ -49,3 +50,37 @@ def test_index_is_exact(n, dims):
         at, scores = index.search(q, 4, int(ids[0]))
         want = sorted((-int(v @ q), int(i)) for i, v in zip(ids, vectors) if i != ids[0])[:4]
         assert [(-int(s), int(index.ids[a])) for a, s in zip(at, scores)] == want
+
+
+@pytest.mark.parametrize("largest", [100, 1 << 13, 1 << 28])
+def test_a_block_of_queries_is_exact(largest):
+    """Each query of a block as if it were alone, with sums that need 24, 53 and more bits."""
+    rng = np.random.default_rng(largest)
+    vectors, queries = (rng.integers(-largest, largest, (n, 12)) for n in (500, 30))
+    queries[3], queries[4, 1:], vectors[:40] = 0, 0, vectors[40]
+    ids, barred = rng.permutation(500), rng.integers(0, 600, 30)
+    index = K.Index(ids, vectors)
+    for q, own, (at, scores) in zip(queries, barred, index.search_block(queries, 4, barred)):
+        want = sorted((-int(v @ q), int(i)) for i, v in zip(ids, vectors) if i != own)[:4]
+        assert [(-int(s), int(index.ids[a])) for a, s in zip(at, scores)] == want
+
+
+def test_searches_stop_on_proof(monkeypatch):
+    """Most queries are done before their last segments are read."""
+    rng = np.random.default_rng(1)
+    index = K.Index(np.arange(2000), rng.normal(0, 40, (2000, 16)).astype(np.int64))
+    queries, barred = index.vectors[:50], np.arange(50)
+    whole = index.search_block(queries, 5, barred)
+    monkeypatch.setattr(K, "LEFT", K.LEFT[:-1])  # without the last look, at which all is read
+    early = index.search_block(queries, 5, barred)
+    done = [q for q, (at, _) in enumerate(early) if len(at)]
+    assert len(done) > 25 and all(early[q][0].tolist() == whole[q][0].tolist() for q in done)
+
+
+def test_candidates_are_not_copied_for_every_block(spark, monkeypatch):
+    monkeypatch.setattr(K, "BLOCK", 1)
+    monkeypatch.setattr(K, "BLOCKS", 50)
+    df = spark.createDataFrame([(k, [float(k % 7), 1.0]) for k in range(400)], "vec_id long, embedding array<float>")
+    plan = K.search(df, 5, 1)._jdf.queryExecution().optimizedPlan().toString()
+    copies = int(re.search(r"pmod\(xxhash64\(id#\d+L, 42\), (\d+)\) as int", plan)[1])  # by which queries are dealt out
+    assert copies == max(400 // 50, 2 * spark.sparkContext.defaultParallelism)
