@@ -59,6 +59,17 @@ def test_fold_and_merge_agree_with_the_library(spark, bpe, library):
             assert B.merge(word.encode(), ranks) == library._encode_single_piece(word.encode())
 
 
+def test_no_word_is_left_out(docs, bpe, library, monkeypatch):
+    """Without folded words, and with next to no memory of merged ones, every match gets the library's ids."""
+    monkeypatch.setattr(B, "RECENT", 2)
+    coder = B.Coder(bpe.tokens, bpe.pattern, [], [])
+    for r in docs.collect():
+        ids = library.encode_ordinary(r.text or "")
+        assert coder.encode(r.text) == struct.pack(f"<{len(ids)}I", *ids)
+    ranks = {t: k for k, t in enumerate(bpe.tokens)}
+    assert all(B.merge(t, ranks) == [k] == B._merge_long(t, ranks) for t, k in ranks.items())
+
+
 def test_spaces_of_every_kind(spark, bpe, library):
     texts = ["a\x1c b\x85c\xa0 d　e\n\n f \t", "x   y  \n z\r\n", "it's WE'LL 'sa", "<|endoftext|> ok"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
